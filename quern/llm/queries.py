@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe
+from quern.llm import bpe, linededup, mixing
 from quern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,95 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return linededup.line_dedup(docs, host="source").select("doc_id", "source", "n_lines", "n_dropped", "text")
+
+
+ORACLE["op1_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, source, i, line, trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS bare FROM (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+), found AS (
+  SELECT source, bare FROM lines WHERE bare <> '' GROUP BY source, bare
+  HAVING count(DISTINCT doc_id) >= 5
+     AND count(DISTINCT doc_id) > 0.05 * (SELECT count(*) FROM documents d WHERE d.source = lines.source)
+), marked AS (
+  SELECT l.*, f.bare IS NOT NULL AS hit FROM lines l LEFT JOIN found f ON l.source = f.source AND l.bare = f.bare
+), judged AS (
+  SELECT *, coalesce(sum(length(line)) FILTER (hit) OVER (PARTITION BY doc_id), 0) > 0.5 * sum(length(line)) OVER (PARTITION BY doc_id) AS whole FROM marked
+)
+SELECT doc_id, source, count(*) AS n_lines, count(*) FILTER (hit AND NOT whole) AS n_dropped,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT hit OR whole), '') AS text
+FROM judged GROUP BY doc_id, source
+"""
+
+
+def mix_weight(place: int, source: str | None) -> float:
+    """Weights 5, 2, 1, repeating over the sources in code-point order."""
+    return (5.0, 2.0, 1.0)[place % 3]
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, "doc_id", "source", "text", mix_weight).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# Apportionment in SQL: seats by rounding at one divisor, then the next highest (or lowest) quotients.
+ORACLE["op8_mixing"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || substr(md5('1:shard:' || doc_id), 1, 7))::BIGINT AS spread, ('0x' || substr(md5('1:row:' || doc_id), 1, 7))::BIGINT AS place FROM documents
+), src AS (
+  SELECT source, sum(size)::BIGINT AS s, ([5.0, 2.0, 1.0])[1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)]::DOUBLE AS w FROM docs GROUP BY source
+), tot AS (SELECT sum(s)::BIGINT AS t FROM src),
+lev AS (
+  SELECT *, 3.0 * s / w AS r, row_number() OVER (ORDER BY 3.0 * s / w, source NULLS LAST) AS rn,
+    ((SELECT t FROM tot) - coalesce(sum(3 * s) OVER (ORDER BY 3.0 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+      / sum(w) OVER (ORDER BY 3.0 * s / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM src
+), goal AS (
+  SELECT source, s, CASE WHEN rn < (SELECT min(rn) FROM lev WHERE r >= lam) THEN 3.0 * s ELSE w * (SELECT arg_min(lam, rn) FROM lev WHERE r >= lam) END::DOUBLE AS target FROM lev
+), seats AS (SELECT (2 * t + 16) // 32 AS n FROM tot),
+k0 AS (SELECT source, s, target, floor(target / ((SELECT sum(target) FROM goal) / (SELECT n FROM seats)) + 0.5)::BIGINT AS k FROM goal),
+e AS (SELECT (SELECT n FROM seats) - (SELECT sum(k) FROM k0) AS short),
+more AS (
+  SELECT source, row_number() OVER (ORDER BY target / (2 * (k + j) + 1) DESC, source NULLS LAST) AS rk
+  FROM k0, (SELECT unnest(range(0, (SELECT greatest(short, 0) FROM e)::BIGINT)) AS j) WHERE target > 0
+), less AS (
+  SELECT source, row_number() OVER (ORDER BY target / (2 * (k - j) - 1), source DESC NULLS FIRST) AS rk
+  FROM k0, (SELECT unnest(range(0, (SELECT greatest(-short, 0) FROM e)::BIGINT)) AS j) WHERE k - j > 0
+), quota AS (
+  SELECT source, s, target, k + (SELECT count(*) FROM more m WHERE m.source IS NOT DISTINCT FROM k0.source AND rk <= (SELECT short FROM e))
+    - (SELECT count(*) FROM less l WHERE l.source IS NOT DISTINCT FROM k0.source AND rk <= -(SELECT short FROM e)) AS seats,
+    greatest(1, (s + greatest(4096, ((SELECT t FROM tot) + 65535) // 65536) - 1) // greatest(4096, ((SELECT t FROM tot) + 65535) // 65536)) AS n_shards FROM k0
+), cut AS (
+  SELECT d.*, q.s, q.target, q.seats, (d.spread * q.n_shards) >> 28 AS shard FROM docs d JOIN quota q ON d.source IS NOT DISTINCT FROM q.source
+), cell AS (
+  SELECT source, shard, sum(size)::BIGINT AS v, any_value(s) AS s, any_value(seats) AS seats FROM cut GROUP BY source, shard
+), c0 AS (
+  SELECT *, CASE WHEN s > 0 AND seats > 0 THEN floor(v / (s::DOUBLE / seats) + 0.5)::BIGINT ELSE 0 END AS k FROM cell
+), ce AS (SELECT *, seats - sum(k) OVER (PARTITION BY source) AS short FROM c0),
+cmore AS (
+  SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY v / (2 * (k + j) + 1) DESC, shard) AS rk, short
+  FROM (SELECT *, unnest(range(0, greatest(short, 0)::BIGINT)) AS j FROM ce WHERE v > 0)
+), cless AS (
+  SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY v / (2 * (k - j) - 1), shard DESC) AS rk, short
+  FROM (SELECT *, unnest(range(0, greatest(-short, 0)::BIGINT)) AS j FROM ce) WHERE k - j > 0
+), cq AS (
+  SELECT source, shard, v, least(3 * v, 16 * (k
+    + (SELECT count(*) FROM cmore m WHERE m.source IS NOT DISTINCT FROM ce.source AND m.shard = ce.shard AND rk <= m.short)
+    - (SELECT count(*) FROM cless l WHERE l.source IS NOT DISTINCT FROM ce.source AND l.shard = ce.shard AND rk <= -l.short))) AS quota,
+    CASE WHEN v > 0 THEN ('0x' || substr(md5('1:start:' || coalesce(source, '') || '/' || shard), 1, 7))::BIGINT % v ELSE 0 END AS start FROM ce
+), laid AS (
+  SELECT c.*, cq.v, quota, start, CASE WHEN cq.v > 0 THEN quota // cq.v ELSE 0 END AS whole,
+    coalesce(sum(size) OVER (PARTITION BY c.source, c.shard ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f
+  FROM cut c JOIN cq ON c.source IS NOT DISTINCT FROM cq.source AND c.shard = cq.shard
+)
+SELECT doc_id, size::BIGINT AS size, s AS source_size, target,
+  (whole * size + greatest(0, least(f + size, least(start + quota - whole * v, v)) - greatest(f, start))
+    + greatest(0, least(f + size, greatest(start + quota - whole * v - v, 0)) - f))::BIGINT AS taken FROM laid
+"""
