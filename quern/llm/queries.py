@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from quern.llm import bpe, linededup, mixing
+from quern.llm import bpe, chat, linededup, mixing
 from quern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +117,55 @@ SELECT doc_id, size::BIGINT AS size, s AS source_size, target,
   (whole * size + greatest(0, least(f + size, least(start + quota - whole * v, v)) - greatest(f, start))
     + greatest(0, least(f + size, greatest(start + quota - whole * v - v, 0)) - f))::BIGINT AS taken FROM laid
 """
+
+
+#: Code points of a streamed delta in the event log made of ``conversations``.
+DELTA_CHARS = 256
+
+
+def conversation_events(rows: DataFrame) -> DataFrame:
+    """The rows (conv_id, turn, role, text) as an event log: assistant texts come in deltas, others whole."""
+    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.select("conv_id", F.row_number().over(by_turn).alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    streamed = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / DELTA_CHARS).cast("int") - 1, F.lit(0))), lambda i: F.substring(F.col("text"), i * DELTA_CHARS + 1, F.lit(DELTA_CHARS)))
+    parts = F.when(F.col("role") == "assistant", F.concat(F.array(F.lit("")), streamed)).otherwise(F.array("text"))
+    events = rows.select("conv_id", "turn", "role", F.posexplode(parts).alias("part", "text"))
+    seq = F.col("turn").cast("long") * (1 << 31) + F.col("part")
+    kind = F.when(F.col("part") == 0, "message").otherwise("delta")
+    return events.select("conv_id", seq.alias("seq"), "turn", kind.alias("kind"), "role", "text")
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    out = chat.render(chat.reconstruct(conversation_events(rows)))
+    out = out.withColumns({"turns": chat.parse(F.col("formatted")), "masked": chat.masked(F.col("formatted"), F.col("loss"))})
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.length("masked").cast("long").alias("loss_chars"),
+        F.sha2(F.col("masked").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLE["op10_chat"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')))
+), e AS (
+  SELECT *, length(role) + length(text) + 10
+    + (length(role || text) - length(replace(role || text, '\', '')))
+    + list_sum(list_transform(['<s>', '</s>', '<|', '|>', '<<SYS>>', '<</SYS>>', '[INST]', '[/INST]'],
+        lambda c: (length(role) - length(replace(role, c, '')) + length(text) - length(replace(text, c, ''))) // length(c))) AS chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
