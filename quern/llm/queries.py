@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, linededup, mixing
+from quern.llm import bpe, chat, linededup, mixing, quality
 from quern.llm.common import table
 
+#: Labelled rows a class from which the quality rules are learned.
+QUALITY_EXAMPLES = 700
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -169,3 +172,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn(docs, table(spark, sf_dir, "labels"), cap=QUALITY_EXAMPLES)
+    return quality.judge(docs, rules).drop("text")
