@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, linededup, mixing, quality
+from quern.llm import bpe, chat, linededup, mixing, quality, simhash
 from quern.llm.common import table
 
 #: Labelled rows a class from which the quality rules are learned.
@@ -179,3 +179,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.learn(docs, table(spark, sf_dir, "labels"), cap=QUALITY_EXAMPLES)
     return quality.judge(docs, rules).drop("text")
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
