@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, linededup, mixing, quality, simhash
-from quern.llm.common import table
+from quern.llm import bpe, chat, langid, linededup, mixing, quality, simhash
+from quern.llm.common import held_out, table
 
 #: Labelled rows a class from which the quality rules are learned.
 QUALITY_EXAMPLES = 700
@@ -186,3 +186,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs)
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def language_model(docs: DataFrame) -> langid.LanguageModel:
+    """Learned from the rows of documents that are not held out (crc32 of the id mod 4 is 2)."""
+    return langid.learn(docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id"), 4, 2)))
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), language_model(docs), keep_text=False)
+    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
