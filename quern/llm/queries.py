@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, langid, linededup, mixing, quality, simhash
+from quern.llm import bpe, chat, langid, linededup, mixing, quality, simhash, toxicity
 from quern.llm.common import held_out, table
 
 #: Labelled rows a class from which the quality rules are learned.
@@ -198,3 +198,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), language_model(docs), keep_text=False)
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 3, 1))
+    found = toxicity.score(docs, toxicity.learn(docs, labels), keep_text=False)
+    return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
