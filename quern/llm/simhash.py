@@ -182,7 +182,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     of = cut(roots.join(least, roots["node"] == least["fp"]).select("fp", "root", "least"))
     best = of.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = of.join(best, "root").select("fp", "component_id")
-    named = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written once more, so that rows and names are both dealt by fingerprint and Spark can split a large group of copies
+    named = cut(least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return prints.join(named, "fp")
 
 
