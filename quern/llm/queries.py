@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, langid, linededup, mixing, quality, simhash, toxicity, transport
+from quern.llm import bpe, chat, langid, linededup, mixing, pii, quality, simhash, toxicity, transport
 from quern.llm.common import held_out, table
 
 #: Labelled rows a class from which the quality rules are learned.
@@ -213,3 +213,9 @@ def op3_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = transport.demux(transport.mux(docs, keep_text=False), with_payload=False)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "points")
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train(), redacted=None, keep_text=False)
