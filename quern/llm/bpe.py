@@ -192,34 +192,36 @@ class Encoder:
         return " ".join(map(self.model.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", with_ids: bool = True) -> DataFrame:
-    """Add ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked, the ids and the decoded text.
+def encode(df: DataFrame, path: str, text: str = "text", with_ids: bool = True, with_decoded: bool = False, keep_text: bool = True) -> DataFrame:
+    """Add ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked, ``ids`` and the text ``decoded`` from them.
 
     ``path`` is the tokenizer file, on every executor at the same place.
     """
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
-        added += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
-    kept = [f for f in df.schema.fields if f.name not in {x.name for x in added}]
-    drop_text = not with_ids and text in df.columns
-    kept = [f for f in kept if not (drop_text and f.name == text)]
+        added.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+    if with_decoded:
+        added.append(T.StructField("decoded", T.StringType()))
+    names = {f.name for f in added} | (set() if keep_text else {text})
+    kept = [f for f in df.schema.fields if f.name not in names]
     schema = T.StructType(kept + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(path)
-        target = None
         for batch in batches:
-            for a, b in slices(texts := strings(batch.column(text)), 1 << 24):
+            texts = strings(batch.column(text))
+            for a, b in slices(texts, 1 << 22):
                 part = batch.slice(a, b - a)
                 got = coder.encode(texts[a:b])
                 columns = [part.column(f.name) for f in kept]
-                columns += [pa.array([len(r) // 4 for r, _ in got], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r, _ in got]), pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in got])]
+                columns += [pa.array([len(r) // 4 for r, _ in got], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r, _ in got], pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in got], pa.string())]
                 if with_ids:
                     flat = np.frombuffer(b"".join(r for r, _ in got), "<u4").astype(np.int32)
                     edges = np.concatenate(([0], np.cumsum([len(r) // 4 for r, _ in got]))).astype(np.int32)
-                    columns += [pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), pa.array([t for _, t in got])]
-                target = [f.name for f in kept] + [f.name for f in added]
-                yield pa.RecordBatch.from_arrays(columns, names=target)
+                    columns.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)))
+                if with_decoded:
+                    columns.append(pa.array([t for _, t in got], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     needed = [text, *[f.name for f in kept if f.name != text]]
     return df.select(*needed).mapInArrow(run, schema)

@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quern.llm import bpe, chat, langid, linededup, mixing, pii, quality, simhash, toxicity, transport
 from quern.llm.common import held_out, table
-
-#: Labelled rows a class from which the quality rules are learned.
-QUALITY_EXAMPLES = 700
+from quern.llm.production import QUALITY_EXAMPLES, language_model, mix_weight, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,12 +21,15 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return bpe.encode(docs, tokenizer_path(), with_ids=False, keep_text=False)
 
 
 @query
@@ -55,11 +57,6 @@ FROM judged GROUP BY doc_id, source
 """
 
 
-def mix_weight(place: int, source: str | None) -> float:
-    """Weights 5, 2, 1, repeating over the sources in code-point order."""
-    return (5.0, 2.0, 1.0)[place % 3]
-
-
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -188,11 +185,6 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def language_model(docs: DataFrame) -> langid.LanguageModel:
-    """Learned from the rows of documents that are not held out (crc32 of the id mod 4 is 2)."""
-    return langid.learn(docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id"), 4, 2)))
-
-
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
