@@ -107,11 +107,12 @@ def spans() -> Iterator[tuple[int, int, slice]]:
 
 
 def convolve(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Filter values at every place (the last places repeat padding)."""
+    """Filter values at every place; none at padding, where a filter would reach into the next text."""
     out = np.zeros((len(ids), FILTERS * len(WIDTHS)), np.float32)
     for w, j, cols in spans():
         k = WIDTHS.index(w)
         out[: len(ids) - j, k * FILTERS : (k + 1) * FILTERS] += rows[:, cols][ids[j:]]
+    out[ids == 0] = -np.inf
     return out
 
 
