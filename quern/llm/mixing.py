@@ -70,7 +70,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], max_repeat: float) -
             for j in order[n:]:
                 out[j] = level * weights[j]
             break
-        out[i] = caps[i]
+        out[i] = float(caps[i])
         left -= caps[i]
         weight -= weights[i]
     return out

@@ -14,7 +14,7 @@ which is searched against it, so no task holds more than two parts and no pair i
 
 Defined results: null and empty texts have no words and fingerprint zero, which links like
 any other; repeated rows share a component; an empty table gives an empty result. The key
-must be an integer. Other columns pass through.
+must be an integer. Other columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -175,7 +175,7 @@ def links(prints: DataFrame, radius: int, blocks: int, shard_rows: int) -> DataF
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, blocks: int = 6, shard_rows: int = 2048) -> DataFrame:
     """``df`` without ``text``, with the signed fingerprint ``fp`` and ``component_id``, the least key it reaches."""
-    prints = cut(with_fingerprint(df, text, shingle, "fp"))
+    prints = cut(with_fingerprint(df.drop("component_id"), text, shingle, "fp"))
     least = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
     roots = components(links(least, radius, blocks, shard_rows))
     # the least key of each component, for the fingerprints that have links; the others stand alone
