@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import expand, query_words, substring_hits, tokenize
@@ -63,6 +63,20 @@ def scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     return index.postings.join(wanted, "term").groupBy("query_id", "id").agg(F.sum("impact").alias("kw"))
 
 
+def top(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, ordinal, kw, rank): the first k of all rows of ``docs`` (id, ordinal), by score, then place.
+
+    Rows without a match score 0. Of those no more than the first k by place can be among the
+    first k, so queries meet only these, not every row.
+    """
+    places = docs.select("id", "ordinal")
+    matched = found.join(places, "id").select("query_id", "id", "ordinal", "kw")
+    first = places.orderBy("ordinal").limit(k).crossJoin(queries.select("query_id"))
+    rest = first.join(found, ["query_id", "id"], "left_anti").select("query_id", "id", "ordinal", F.lit(0.0).alias("kw"))
+    by = Window.partitionBy("query_id").orderBy(F.round("kw", 6).desc(), F.col("ordinal"))
+    return matched.union(rest).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
 def all_scores(index: LexicalIndex, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """As :func:`scores`, with 0 for all other rows: every query meets every row."""
     every = docs.select("id").crossJoin(queries.select("query_id"))

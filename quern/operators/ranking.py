@@ -64,17 +64,26 @@ def cluster_boost(tags: Column, words: Column) -> Column:
     return substring_hits(tags, words) * F.lit(CLUSTER_BOOST)
 
 
-def scored(chunks: DataFrame, queries: DataFrame, o: Options, clusters: bool = True) -> DataFrame:
-    """Every row of ``chunks`` with every query: vec, tb (title boost), boosted."""
-    asked = queries.select("query_id", "query", query_words(F.col("query")).alias("__words"), F.col("vector").alias("__vector"))
-    if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+def prepared(queries: DataFrame) -> DataFrame:
+    """Queries with their distinct words; more than MAX_QUERIES at once raise ValueError."""
+    out = queries.select("query_id", "query", query_words(F.col("query")).alias("__words"), F.col("vector").alias("__vector"))
+    if out.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries at once")
-    pairs = chunks.crossJoin(F.broadcast(asked))
+    return out
+
+
+def with_scores(pairs: DataFrame, o: Options, clusters: bool = True) -> DataFrame:
+    """Pairs of a chunk and a prepared query with tb (title boost) and boosted (vector score and boosts)."""
     vec = similarity(F.col("embedding"), F.col("__vector"), F.col("norm"), o.dim)
     tb = title_boost(F.col("title"), F.col("__words"), o.case_insensitive_titles)
+    sibling = cluster_boost(F.col("cluster_tags"), F.col("__words")) if clusters and "cluster_tags" in pairs.columns else F.lit(0.0)
     out = pairs.withColumns({"vec": vec, "tb": tb})
-    sibling = cluster_boost(F.col("cluster_tags"), F.col("__words")) if clusters and "cluster_tags" in chunks.columns else F.lit(0.0)
-    return out.withColumn("boosted", F.col("vec") + F.col("tb") + sibling)
+    return out.withColumn("boosted", F.col("vec") + F.col("tb") + sibling).drop("embedding", "norm", "__vector", "vec")
+
+
+def scored(chunks: DataFrame, queries: DataFrame, o: Options, clusters: bool = True) -> DataFrame:
+    """Every row of ``chunks`` with every query and its scores."""
+    return with_scores(chunks.crossJoin(F.broadcast(prepared(queries))), o, clusters)
 
 
 def order(score: str) -> list[Column]:
@@ -94,10 +103,24 @@ def pool_size(top_k: int) -> int:
     return max(20 * top_k, 50)
 
 
-def pool(df: DataFrame, n: int) -> DataFrame:
-    """Rows that are among the first n by boosted vector score or by keyword score."""
-    keys = best(df, "boosted", n).select("query_id", "id").union(best(df, "kw", n).select("query_id", "id")).distinct()
-    return df.join(keys, ["query_id", "id"])
+def pool(chunks: DataFrame, queries: DataFrame, index: lexical.LexicalIndex | None, o: Options) -> DataFrame:
+    """Scored rows among the first by boosted vector score or by keyword score, with ``kw``.
+
+    The scan for the vector side keeps the first rows of each task and shuffles only those; the
+    keyword side comes from the index alone. Scores are joined to the pooled rows, never to all
+    pairs. Without an index the keyword score is counted in the same scan.
+    """
+    n = pool_size(o.top_k)
+    asked = F.broadcast(prepared(queries))
+    rows = with_scores(chunks.crossJoin(asked), o)
+    if index is None:
+        rows = rows.withColumn("kw", lexical.fallback(F.col("text"), F.col("query")))
+        both = best(rows, "boosted", n).drop("rank").unionByName(best(rows, "kw", n).drop("rank"))
+        return both.dropDuplicates(["query_id", "id"])
+    found = lexical.scores(index, queries)
+    keys = best(rows, "boosted", n).select("query_id", "id").union(lexical.top(found, queries, chunks, n).select("query_id", "id")).distinct()
+    pairs = with_scores(keys.join(chunks, "id").join(asked, "query_id"), o)
+    return pairs.join(found, ["query_id", "id"], "left").withColumn("kw", F.coalesce("kw", F.lit(0.0)))
 
 
 def fused(df: DataFrame, mode: str) -> DataFrame:
@@ -145,16 +168,12 @@ def collect(df: DataFrame, top_k: int, min_score: float) -> DataFrame:
 def search(chunks: DataFrame, queries: DataFrame, index: lexical.LexicalIndex | None, o: Options) -> DataFrame:
     """Hits (query_id, rank, id, score and the fields of the chunk) of every query."""
     o.check()
-    rows = scored(filtered(chunks, o), queries, o)
+    chosen_rows = filtered(chunks, o)
     if o.mode == "vector":
         n = o.candidate_k or o.top_k
-        hits = best(rows.withColumn("score", F.col("boosted")), "score", n)
+        hits = best(scored(chosen_rows, queries, o).withColumn("score", F.col("boosted")), "score", n)
         return _fields(collect(hits, n, o.min_score))
-    if index is not None:
-        rows = rows.join(lexical.scores(index, queries), ["query_id", "id"], "left").withColumn("kw", F.coalesce("kw", F.lit(0.0)))
-    else:
-        rows = rows.withColumn("kw", lexical.fallback(F.col("text"), F.col("query")))
-    pooled = ranked(fused(pool(rows, pool_size(o.top_k)), o.mode), "score")
+    pooled = ranked(fused(pool(chosen_rows, queries, index, o), o.mode), "score")
     if o.mode == "hybrid" and o.top_k > 1:
         worded = pooled.where(F.size("__words") > 0)
         chosen = diverse(worded, o.top_k)

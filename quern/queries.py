@@ -82,13 +82,27 @@ def markdown(spark: SparkSession, sf: str) -> DataFrame:
     return every.select(F.concat(F.lit("talk"), (F.col("conv_id") % 3).cast("string")).alias("publication"), F.concat(F.lit("c/"), number, F.lit(".md")).alias("file"), F.concat(head, "b").alias("text"))
 
 
+_INDEXES: dict[tuple[str, str, str], lexical.LexicalIndex] = {}
+
+
+def _kept(spark: SparkSession, sf: str, kind: str, build: Callable[[], lexical.LexicalIndex]) -> lexical.LexicalIndex:
+    """An index is built once a session and folder, as a bundle is opened once; its tables are cached."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _INDEXES:
+        index = build()
+        for part in (index.postings, index.terms, index.fields):
+            part.persist()
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 def doc_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
-    return lexical.build_index(doc_chunks(spark, sf), {"text": F.col("text")})
+    return _kept(spark, sf, "text", lambda: lexical.build_index(doc_chunks(spark, sf), {"text": F.col("text")}))
 
 
 def fielded_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
     fields = {"text": F.col("text"), "title": F.col("title"), "heading": F.col("heading"), "file_path": lexical.file_path_field(F.col("file"))}
-    return lexical.build_index(doc_chunks(spark, sf), fields, lexical.FIELD_WEIGHTS)
+    return _kept(spark, sf, "fields", lambda: lexical.build_index(doc_chunks(spark, sf), fields, lexical.FIELD_WEIGHTS))
 
 
 C = r"""chunks AS (
@@ -167,9 +181,8 @@ def bm25_field_stats(spark, sf):
 
 
 def _top(index: lexical.LexicalIndex, spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    docs = doc_chunks(spark, sf).select("id", "ordinal")
-    got = lexical.all_scores(index, asked(spark, sf), docs).join(docs, "id")
-    return ranking.best(got, "kw", k).select("query_id", "rank", "id", F.round("kw", 4).alias("score"))
+    got = lexical.top(lexical.scores(index, asked(spark, sf)), asked(spark, sf), doc_chunks(spark, sf), k)
+    return got.select("query_id", "rank", "id", F.round("kw", 4).alias("score"))
 
 
 _ALL = "every AS (SELECT query_id, id, ordinal, coalesce(kw, 0) AS kw FROM chunks CROSS JOIN asked LEFT JOIN kw USING (query_id, id))"
@@ -283,10 +296,8 @@ def cluster_boost(spark, sf):
     return chunking.cluster_tags(files(spark, sf)).select("publication", "file", F.round(ranking.cluster_boost(F.col("cluster_tags"), words), 4).alias("boost"))
 
 
-def _boosted(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ranking.scored(vector_chunks(spark, sf), asked(spark, sf), ranking.Options(dim=DIM))
-    kw = lexical.scores(doc_index(spark, sf), asked(spark, sf))
-    return rows.join(kw, ["query_id", "id"], "left").withColumn("kw", F.coalesce("kw", F.lit(0.0)))
+def _pool(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.pool(vector_chunks(spark, sf), asked(spark, sf), doc_index(spark, sf), ranking.Options(top_k=5, dim=DIM))
 
 
 _POOL = f"""WITH {C}, {Q}, {WORDS}, {VEC}, {EXPANDED}, {BM25},
@@ -297,7 +308,7 @@ pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 @query(_POOL + " SELECT query_id, id FROM pool")
 def hybrid_pool(spark, sf):
-    return ranking.pool(_boosted(spark, sf), ranking.pool_size(5)).select("query_id", "id")
+    return _pool(spark, sf).select("query_id", "id")
 
 
 _FUSED = ", fused AS (SELECT *, 0.6 * boosted + 0.4 * (CASE WHEN max(kw) OVER (PARTITION BY query_id) > 0 THEN kw / max(kw) OVER (PARTITION BY query_id) ELSE kw END) AS score FROM pool)"
@@ -305,7 +316,7 @@ _FUSED = ", fused AS (SELECT *, 0.6 * boosted + 0.4 * (CASE WHEN max(kw) OVER (P
 
 @query(_POOL + _FUSED + " SELECT query_id, id, round(score, 4) + 0 AS score FROM fused")
 def hybrid_fusion(spark, sf):
-    return ranking.fused(ranking.pool(_boosted(spark, sf), ranking.pool_size(5)), "hybrid").select("query_id", "id", (F.round("score", 4) + 0.0).alias("score"))
+    return ranking.fused(_pool(spark, sf), "hybrid").select("query_id", "id", (F.round("score", 4) + 0.0).alias("score"))
 
 
 @query(_POOL + """ SELECT query_id, rank, id, round(kw + tb, 4) AS score FROM (
