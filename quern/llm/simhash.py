@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import cut, strings
+from quern.llm.common import cut, over_batches, strings
 from quern.llm.components import components
 
 BITS = 64
@@ -68,66 +68,113 @@ def with_fingerprint(df: DataFrame, text: str, shingle: int, name: str) -> DataF
             prints = np.array([fingerprint(t, shingle) for t in strings(batch.column(text))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(prints)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return over_batches(df, run, schema)
 
 
 class BKTree:
     """Metric tree over integers under Hamming distance; a node's children are keyed by distance."""
 
-    def __init__(self, values: list[int]):
-        self.values = values
+    def __init__(self, values: list[int] = ()):
+        self.values: list[int] = []
         self.children: list[dict[int, int]] = []
-        for i, v in enumerate(values):
-            self.children.append({})
-            if i:
-                at = 0
-                while True:
-                    d = (values[at] ^ v).bit_count()
-                    nxt = self.children[at].get(d)
-                    if nxt is None:
-                        self.children[at][d] = i
-                        break
-                    at = nxt
-
-    def within(self, value: int, radius: int) -> list[int]:
-        """Positions of the values at most ``radius`` bits away."""
+        for v in values:
+            self.add(v)
+
+    def add(self, value: int) -> None:
+        new = len(self.values)
+        self.values.append(value)
+        self.children.append({})
+        at = 0
+        while at < new:
+            at = self.children[at].setdefault((self.values[at] ^ value).bit_count(), new)
+
+    def within(self, value: int, radius: int, first: bool = False) -> list[int]:
+        """Places of the values at most ``radius`` bits away; of the first one met, if so asked."""
         out, todo = [], [0] if self.values else []
         while todo:
             at = todo.pop()
             d = (self.values[at] ^ value).bit_count()
             if d <= radius:
                 out.append(at)
+                if first:
+                    break
             for edge, child in self.children[at].items():
                 if d - radius <= edge <= d + radius:
                     todo.append(child)
         return out
 
 
+class Forest:
+    """Disjoint sets over a list of values."""
+
+    def __init__(self, values: list[int]):
+        self.values, self.parent = values, list(range(len(values)))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def links(self) -> list[tuple[int, int]]:
+        return [(v, self.values[r]) for i, v in enumerate(self.values) if (r := self.root(i)) != i]
+
+
+#: Shards of more values are first looked through for dense clusters.
+DENSE = 64
+
+
 def forest(left: list[int], right: list[int] | None, radius: int) -> list[tuple[int, int]]:
     """Links (value, root) that join what the pairs within the radius join.
 
     Searched are the values of ``left`` among themselves, or those of ``right`` in the tree of ``left``.
     """
     values = left + (right or [])
-    parent = list(range(len(values)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    sets = Forest(values)
     if len(values) == 2:
-        pairs = iter([(0, 1)] if (values[0] ^ values[1]).bit_count() <= radius else [])
-    else:
+        if (values[0] ^ values[1]).bit_count() <= radius:
+            sets.join(0, 1)
+    elif len(values) <= DENSE or not _clustered(sets, radius):
         tree = BKTree(left)
-        queries = range(len(left), len(values)) if right is not None else range(len(left))
-        pairs = ((q, hit) for q in queries for hit in tree.within(values[q], radius))
-    for q, hit in pairs:
-        a, b = root(q), root(hit)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [(values[i], values[r]) for i in range(len(values)) if (r := root(i)) != i]
+        for q in range(len(left), len(values)) if right is not None else range(len(left)):
+            for hit in tree.within(values[q], radius):
+                sets.join(q, hit)
+    return sets.links()
+
+
+def _clustered(sets: Forest, radius: int) -> bool:
+    """Join dense values through leaders; false, with nothing wrong joined, if most are leaders.
+
+    Values within half the radius of one leader are within the radius of each other. Members of
+    two leaders can only be near if the leaders are within twice the radius, and need a look only
+    while they are in different sets, so a tight cluster costs its leaders, not its pairs.
+    """
+    half, values = radius // 2, sets.values
+    tree, members = BKTree(), []
+    for i, v in enumerate(values):
+        if near := tree.within(v, half, first=True):
+            members[near[0]].append(i)
+            sets.join(i, members[near[0]][0])
+        else:
+            tree.add(v)
+            members.append([i])
+    if 2 * len(members) > len(values):
+        return False
+    for k, v in enumerate(tree.values):
+        for h in tree.within(v, radius + 2 * half):
+            if h < k and sets.root(members[h][0]) != sets.root(members[k][0]) and _near([values[i] for i in members[k]], [values[i] for i in members[h]], radius):
+                sets.join(members[h][0], members[k][0])
+    return True
+
+
+def _near(a: list[int], b: list[int], radius: int) -> bool:
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    return any((np.bitwise_count(x[i : i + 256, None] ^ y) <= radius).any() for i in range(0, len(x), 256))
 
 
 def masks(radius: int, blocks: int) -> list[int]:
@@ -170,7 +217,7 @@ def links(prints: DataFrame, radius: int, blocks: int, shard_rows: int) -> DataF
             found = sorted(set(found))
             yield pa.RecordBatch.from_arrays([pa.array([back(a) for a, _ in found], pa.int64()), pa.array([back(b) for _, b in found], pa.int64())], names=["a", "b"])
 
-    return grouped.select("first", "second", (F.col("tree") == F.col("query")).alias("same")).mapInArrow(run, "a long, b long").distinct()
+    return over_batches(grouped.select("first", "second", (F.col("tree") == F.col("query")).alias("same")), run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, blocks: int = 6, shard_rows: int = 2048) -> DataFrame:

@@ -43,6 +43,25 @@ def test_tree_finds_all_within_the_radius():
     assert simhash.BKTree([]).within(1, 3) == []
 
 
+def test_forest_of_dense_and_sparse_shards():
+    rnd = random.Random(3)
+    ball = lambda n, r, c: {c ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, r))) for _ in range(n)}
+    for n, r, m in ((300, 3, 1), (300, 4, 2), (400, 6, 3), (100, 12, 4), (300, 64, 1), (2, 2, 1), (1, 0, 1)):
+        values = sorted(set().union(*(ball(n, r, rnd.getrandbits(64)) for _ in range(m))))
+        want = plain_components(values, 4)
+        for right in (None, len(values) // 2):
+            links = dict(simhash.forest(values, None, 4)) if right is None else None
+            if right is not None:
+                edges = simhash.forest(values[:right], None, 4) + simhash.forest(values[right:], None, 4) + simhash.forest(values[:right], values[right:], 4)
+                sets = simhash.Forest(values)
+                at = {v: i for i, v in enumerate(values)}
+                for a, b in edges:
+                    sets.join(at[a], at[b])
+                links = dict(sets.links())
+            got = [links.get(v, v) for v in values]
+            assert [got.index(g) for g in got] == [want.index(w) for w in want]
+
+
 def clustered(n, seed):
     rnd = random.Random(seed)
     centres = [rnd.getrandbits(64) for _ in range(max(1, n // 40))]
