@@ -18,17 +18,16 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quern.llm.common import slices, strings
+from quern.llm.common import over_batches, slices, strings
 
 #: What a worker remembers of chunks between white space, in chunks (about 150 bytes each).
-CACHE = 150_000
+CACHE = 120_000
 
 #: White space to str.split() that is no white space to the pre-tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -177,7 +176,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
         out = []
-        for a, b in slices(texts, 1 << 21):
+        for a, b in slices(texts, 1 << 20):
             split = [self._chunks(t) for t in texts[a:b]]
             new = self._learn({c for c in set().union(*split) if isinstance(c, str)})
             for s, t in zip(split, texts[a:b], strict=True):
@@ -193,12 +192,6 @@ class Encoder:
         return " ".join(map(self.model.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    """One encoder a Python worker, kept from task to task."""
-    return Encoder(path)
-
-
 def encode(df: DataFrame, path: str, text: str = "text", with_ids: bool = True, with_decoded: bool = False, keep_text: bool = True) -> DataFrame:
     """Add ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked, ``ids`` and the text ``decoded`` from them.
 
@@ -214,10 +207,10 @@ def encode(df: DataFrame, path: str, text: str = "text", with_ids: bool = True,
     schema = T.StructType(kept + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(path)
+        coder = Encoder(path)
         for batch in batches:
             texts = strings(batch.column(text))
-            for a, b in slices(texts, 1 << 21):
+            for a, b in slices(texts, 1 << 20):
                 part = batch.slice(a, b - a)
                 got = coder.encode(texts[a:b])
                 columns = [part.column(f.name) for f in kept]
@@ -231,4 +224,4 @@ def encode(df: DataFrame, path: str, text: str = "text", with_ids: bool = True,
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     needed = [text, *[f.name for f in kept if f.name != text]]
-    return df.select(*needed).mapInArrow(run, schema)
+    return over_batches(df.select(*needed), run, schema)

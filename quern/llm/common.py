@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,24 @@ def held_out(key: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus == remainder
 
 
-def ragged(lengths: np.ndarray) -> np.ndarray:
-    """Starts of consecutive runs of the given lengths."""
-    return np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
+Batches = Iterator[pa.RecordBatch]
+
+
+def over_batches(df: DataFrame, run: Callable[[Batches], Batches], schema: object, rows: int = 1000) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for rows that are whole texts.
+
+    Batches hold at most ``rows`` rows, and a Python worker gives back the memory a task took
+    before it takes the next: several workers share an executor's memory with its JVM.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > rows:
+        conf.set(key, str(rows))
+
+    def tidy(batches: Batches) -> Batches:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return df.mapInArrow(tidy, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import slices, stratified, strings
+from quern.llm.common import over_batches, slices, stratified, strings
 
 DIMS = 4096
 UNKNOWN = "und"
@@ -91,7 +91,7 @@ class LanguageModel:
         lang, score, rejected = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
         if not self.languages:
             return lang, score, rejected
-        for a, b in slices(texts, 1 << 20):
+        for a, b in slices(texts, 1 << 19):
             for lo in range(a, b, 512):
                 part = texts[lo : min(b, lo + 512)]
                 spoken = np.array([any(map(str.isalpha, t)) for t in part])
@@ -113,7 +113,7 @@ def fit(texts: list[str], langs: list[str], clusters: int = 4, rounds: int = 10,
     names = sorted(set(langs))
     if not names:
         return LanguageModel([], np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
-    raw = np.concatenate([counts(texts[a:b]) for a, b in slices(texts, 1 << 20)])
+    raw = np.concatenate([counts(texts[a:b]) for a, b in slices(texts, 1 << 19)])
     df = (raw > 0).sum(axis=0)
     idf = (np.log((1 + len(texts)) / (1 + df)) + 1).astype(np.float32)
     v = np.log1p(raw) * idf
@@ -162,4 +162,4 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep_text:
             lang, score, rejected = shared.value.predict(strings(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
 
-    return df.select(text, *[f.name for f in kept if f.name != text]).mapInArrow(run, schema)
+    return over_batches(df.select(text, *[f.name for f in kept if f.name != text]), run, schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quern.llm.common import strings
+from quern.llm.common import over_batches, strings
 
 BASE = ["email", "ip", "card", "phone"]
 ADDED = ["secret", "iban", "national_id", "local_phone", "hidden_email"]
@@ -366,4 +366,4 @@ def find(df: DataFrame, detector: Detector, text: str = "text", redacted: str |
                 columns.append(pa.array([redact(t, every) for t, (_, every) in zip(texts, found, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *columns], names=schema.names)
 
-    return df.select(text, *[f.name for f in kept if f.name != text]).mapInArrow(run, schema)
+    return over_batches(df.select(text, *[f.name for f in kept if f.name != text]), run, schema)

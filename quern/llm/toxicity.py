@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import slices, stratified, strings
+from quern.llm.common import over_batches, slices, stratified, strings
 
 BUCKETS, DIM, WIDTHS, FILTERS, PIECE = 1 << 15, 16, (1, 2, 3), 8, 5
 COLUMNS = FILTERS * sum(WIDTHS)
@@ -128,7 +128,7 @@ class ToxicityModel:
     def logits(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
         """Logit and guessed language of each text."""
         out, guess = np.zeros(len(texts)), ["other"] * len(texts)
-        for a, b in slices(texts, 1 << 20):
+        for a, b in slices(texts, 1 << 19):
             distinct, ids, lengths = indexed(texts[a:b])
             rows = np.concatenate([embed(self.table, distinct[i : i + 50_000]) @ self.project for i in range(0, len(distinct), 50_000)])
             rows[0] = 0
@@ -268,4 +268,4 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", keep_text: bo
             s = shared.value.scores(strings(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=schema.names)
 
-    return df.select(text, *[f.name for f in kept if f.name != text]).mapInArrow(run, schema)
+    return over_batches(df.select(text, *[f.name for f in kept if f.name != text]), run, schema)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quern.llm.common import over_batches
+
 # Fixed values of the format.
 PACKET, SYNC, PAT_PID, STUFFING = 188, 0x47, 0x0000, 0xFF
 PRIVATE_DATA_STREAM, PRIVATE_DATA_TYPE = 0xBD, 0x06
@@ -226,7 +228,7 @@ def mux(df: DataFrame, text: str = "text", media: str = "media", keep_text: bool
                 made = [(n, write(p)) for p, n in map(payload_of, batch.column(text).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array([n for n, _ in made], pa.int64()), pa.array([m for _, m in made], pa.binary())], names=schema.names)
 
-    return df.select(text, *[f.name for f in kept if f.name != text]).mapInArrow(run, schema)
+    return over_batches(df.select(text, *[f.name for f in kept if f.name != text]), run, schema)
 
 
 def demux(df: DataFrame, media: str = "media", with_payload: bool = True) -> DataFrame:
@@ -256,4 +258,4 @@ def demux(df: DataFrame, media: str = "media", with_payload: bool = True) -> Dat
                 columns = [pa.array([r[k] for r in made], t) for k, t in enumerate(arrow[: len(added)])]
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *columns], names=schema.names)
 
-    return df.select(media, *[f.name for f in kept if f.name != media]).mapInArrow(run, schema)
+    return over_batches(df.select(media, *[f.name for f in kept if f.name != media]), run, schema)
