@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import warnings
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -103,3 +105,43 @@ def validate(spark: SparkSession, folder: str) -> DataFrame:
         said = told.get(part, {})
         out.append((part, there, there and rows == said.get("rows"), there and digest == said.get("sha256")))
     return spark.createDataFrame(out, "part string, present boolean, rows_ok boolean, digest_ok boolean")
+
+
+def check_source(manifest: dict, expected: str) -> bool:
+    """Whether a bundle was built from the expected repository; warns if not."""
+    told = manifest.get("source_repo")
+    if told == expected:
+        return True
+    warnings.warn(f"the bundle was built from {told}, not from {expected}", stacklevel=2)
+    return False
+
+
+def _copy(spark: SparkSession, source: str, target: str) -> None:
+    (a, fs), (b, other) = _path(spark, source), _path(spark, target)
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, other, b, False, True, spark._jsc.hadoopConfiguration()):
+        raise OSError(f"{source} could not be copied to {target}")
+
+
+def snapshot(spark: SparkSession, folder: str, store: str) -> str:
+    """Copy a bundle to ``store/v=<build time>``, outside the bundle, and give that path."""
+    if f"{store.rstrip('/')}/".startswith(f"{folder.rstrip('/')}/"):
+        raise ValueError("snapshots don't belong inside the bundle")
+    built = read_manifest(spark, folder)["built_at"]
+    target = f"{store.rstrip('/')}/v={re.sub('[^0-9]', '', built)}"
+    _copy(spark, folder, target)
+    return target
+
+
+def restore(spark: SparkSession, saved: str, folder: str) -> None:
+    """Put a snapshot in the place of a bundle, after its digests were checked.
+
+    A folder that holds something other than a bundle is left alone (ValueError).
+    """
+    if validate(spark, saved).where("present AND NOT (rows_ok AND digest_ok)").count():
+        raise ValueError(f"the snapshot {saved} does not match its manifest")
+    path, fs = _path(spark, folder)
+    if fs.exists(path):
+        if not exists(spark, f"{folder}/manifest.json"):
+            raise ValueError(f"{folder} is no bundle")
+        fs.delete(path, True)
+    _copy(spark, saved, folder)

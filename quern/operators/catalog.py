@@ -71,3 +71,10 @@ def search_text(files: DataFrame, query: str, scope: str | None = None, regex: b
     found = files.where(hit(F.col("text")) if not regex else F.lit(True)).withColumn("line", first).where(F.col("line") > 0)
     out = found.select(F.concat("publication", F.lit("/"), "file").alias("file"), "line", preview(lines, F.col("line")).alias("preview"))
     return out if max_results is None else out.orderBy("file").limit(max_results)
+
+
+def files_by_folder(files: DataFrame) -> DataFrame:
+    """(folder, n, files): the files of each folder below the root, sorted; ``.`` is the root itself."""
+    path = F.when(F.col("publication") == F.col("file"), F.col("file")).otherwise(F.concat("publication", F.lit("/"), "file"))
+    folder = F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("."))
+    return files.select(folder.alias("folder"), path.alias("path")).groupBy("folder").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("path")).alias("files"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.urls import links, main_text, mirror_path
@@ -32,3 +32,16 @@ def outcome(urls: DataFrame, stored: DataFrame, fetched: DataFrame) -> DataFrame
         F.count(F.when(~skipped & F.col("__body").isNull(), 1)).alias("errors"),
         F.coalesce(F.sum(F.when(~skipped, F.octet_length("__body"))), F.lit(0)).alias("bytes"),
     )
+
+
+def crawl_plan(indexes: DataFrame, max_pages: int) -> DataFrame:
+    """(section, place, url) of a whole crawl of indexes (place_of_section, section, base_url, content).
+
+    Every section gives its first ``max_pages``; sections are taken in order until those before
+    have ``max_pages`` together, so the last one may go beyond.
+    """
+    found = index_links(indexes, max_pages)
+    sizes = indexes.select("section", "place_of_section").join(found.groupBy("section").agg(F.count("*").alias("__n")), "section", "left")
+    before = Window.orderBy("place_of_section").rowsBetween(Window.unboundedPreceding, -1)  # one row a section
+    taken = sizes.withColumn("__before", F.coalesce(F.sum(F.coalesce("__n", F.lit(0))).over(before), F.lit(0))).where(F.col("__before") < max_pages)
+    return found.join(taken.select("section"), "section", "left_semi")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as t
-from quern.functions import urls, vectors
+from quern.functions import sql, urls, vectors
 from quern.operators import bundle, catalog, chunking, embedding, evaluation, lexical, ranking, rerank, web
 from quern.session import table
 from quern.sources import corpus, golden
@@ -165,6 +165,13 @@ def tokenize_counts(spark, sf):
     return d.select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.size(F.array_distinct("ts")).cast("long").alias("n_distinct"))
 
 
+@query(r"SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9_#]+'), lambda x: x <> '') AS tokens FROM benchmark")
+def sql_functions(spark, sf):
+    sql.register(spark)
+    table(spark, sf, "benchmark").createOrReplaceTempView("quern_benchmark")
+    return spark.sql("SELECT item_id, quern_tokens(text) AS tokens FROM quern_benchmark")
+
+
 @query(f"WITH {Q}, {EXPANDED} SELECT query_id, t AS term FROM wanted WHERE t <> ''")
 def query_expansion(spark, sf):
     return asked(spark, sf).select("query_id", F.explode(t.expand(t.tokenize(F.col("query")))).alias("term")).where("term <> ''")
@@ -469,6 +476,11 @@ def grep_scoped(spark, sf):
     return catalog.search_text(files(spark, sf), "the", scope="src4", max_results=10)
 
 
+@query("SELECT source AS folder, count(*) AS n, list(source || '/' || doc_id || '.md' ORDER BY source || '/' || doc_id || '.md') AS files FROM documents GROUP BY source")
+def files_by_folder(spark, sf):
+    return catalog.files_by_folder(files(spark, sf))
+
+
 @query("SELECT 'local' AS branch, 'local' AS sha, 'local://docs' AS repo_url, count(*) AS file_count FROM documents")
 def release_info(spark, sf):
     source = corpus.LocalSource(spark, sf)
@@ -533,6 +545,17 @@ def crawl_resume(spark, sf):
     return web.to_fetch(pages, stored)
 
 
+@query(r"""WITH i AS (SELECT page_id % 5 AS section, page_id, url, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) - 1 AS place FROM pages WHERE NOT contains(url, '#') AND NOT contains(url, '?')),
+n AS (SELECT section, least(count(*), 8) AS n FROM i GROUP BY section),
+b AS (SELECT section, coalesce(sum(n) OVER (ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
+SELECT section, place, url || '.md' AS url FROM i JOIN b USING (section) WHERE place < 8 AND before < 8""")
+def crawl_plan(spark, sf):
+    lines = table(spark, sf, "pages").where(~F.col("url").rlike("[?#]")).select((F.col("page_id") % 5).alias("section"), "page_id", F.concat(F.lit("- [page]("), "url", F.lit(".md)")).alias("line"))
+    index = lines.groupBy("section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    index = index.select("section", F.col("section").alias("place_of_section"), F.lit("https://docs.example.com/en/llms.txt").alias("base_url"), "content")
+    return web.crawl_plan(index, 8).select("section", F.col("place").cast("long").alias("place"), "url")
+
+
 # Evaluation
 
 

@@ -167,3 +167,42 @@ def test_catalog_handles_nulls(spark):
     df = spark.createDataFrame([("p", "f.md", None), ("p", "g.md", "x")], "publication string, file string, text string")
     assert [r["file"] for r in catalog.search_text(df, "x").collect()] == ["p/g.md"]
     assert catalog.list_files(df, "p").count() == 2
+
+
+def test_snapshot_and_restore(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", "x y")], "id string, text string")
+    folder, store = str(tmp_path / "b"), str(tmp_path / "store")
+    manifest = bundle.write(folder, chunks, lexical.build_index(chunks, {"text": F.col("text")}), None, {"repo": "r"})
+    saved = bundle.snapshot(spark, folder, store)
+    spark.createDataFrame([("z", "q")], "id string, text string").write.mode("overwrite").parquet(f"{folder}/chunks")
+    bundle.restore(spark, saved, folder)
+    assert [r["id"] for r in bundle.open_bundle(spark, folder).chunks.collect()] == ["a"]
+    with pytest.raises(ValueError):
+        bundle.snapshot(spark, folder, f"{folder}/inside")
+    (tmp_path / "other").mkdir()
+    with pytest.raises(ValueError):
+        bundle.restore(spark, saved, str(tmp_path / "other"))
+    spark.createDataFrame([("z", "q")], "id string, text string").write.mode("overwrite").parquet(f"{saved}/chunks")
+    with pytest.raises(ValueError):
+        bundle.restore(spark, saved, folder)
+    assert bundle.check_source(manifest, "r")
+    with pytest.warns(UserWarning):
+        assert not bundle.check_source(manifest, "other")
+
+
+def test_sql_functions(spark):
+    from quern.functions import sql
+
+    sql.register(spark)
+    row = spark.sql("SELECT quern_tokens('A-b'), quern_words(' x X y'), quern_hits('xyz', array('x', 'q')), quern_has_fence('a\n```'), quern_dot(array(1D, 2D), array(3D, 4D))").first()
+    assert tuple(row) == (["a", "b"], ["x", "y"], 1, True, 11.0)
+
+
+def test_term_counts_of_a_stream(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/a.md").write_text("x y x")
+    (tmp_path / "p/b.md").write_text("y")
+    counts = ingest.term_counts(ingest.markdown_stream(spark, str(tmp_path)))
+    q = counts.writeStream.outputMode("complete").format("memory").queryName("quern_terms").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert {(r["term"], r["df"]) for r in spark.table("quern_terms").collect()} == {("x", 1), ("y", 2)}
