@@ -60,8 +60,8 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def stratified(rows: DataFrame, key: str, stratum: str, cap: int) -> DataFrame:
-    """About ``cap`` rows of each stratum, the same ones in every run.
+def stratified(rows: DataFrame, key: str, stratum: str, cap: int, total: int = 10_000) -> DataFrame:
+    """About ``cap`` rows of each stratum, ``total`` in all, the same ones in every run.
 
     A row is taken when the hash of its key is below ``cap`` / the rows of its stratum, so
     each stratum gives ``cap`` rows on average and all its rows if it has no more. The
@@ -71,6 +71,7 @@ def stratified(rows: DataFrame, key: str, stratum: str, cap: int) -> DataFrame:
     counts = rows.groupBy(stratum).count().limit(1001).collect()
     if len(counts) > 1000:
         raise ValueError(f"more than 1000 values of {stratum}")
+    cap = min(cap, total // max(1, len(counts)))
     chosen = F.lit(False)
     unit = F.pmod(F.xxhash64(F.lit("stratified"), F.col(key)), F.lit(1 << 40)) / float(1 << 40)
     for value, count in counts:

@@ -134,10 +134,13 @@ def fit(texts: list[str], langs: list[str], clusters: int = 4, rounds: int = 10,
     return LanguageModel(names, idf, np.concatenate(centroids).astype(np.float32), np.array(of), least)
 
 
-def learn(labelled: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", cap: int = 400, sample_chars: int = 8_000_000) -> LanguageModel:
-    """Fit on about ``cap`` labelled texts of each language, at most ``sample_chars`` characters in all."""
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = stratified(known.select(key, lang, text), key, lang, cap).select(key, lang, text).collect()
+def learn(labelled: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", cap: int = 400, sample_chars: int = 8_000_000, longest: int = 20_000) -> LanguageModel:
+    """Fit on about ``cap`` labelled texts of each language, at most ``sample_chars`` characters in all.
+
+    No more than 10,000 texts of up to ``longest`` characters come to the driver.
+    """
+    known = stratified(labelled.where(F.col(lang).isNotNull()).select(key, lang, text), key, lang, cap)
+    rows = known.where(F.length(text) <= longest).select(key, lang, text).collect()
     rows.sort(key=lambda r: (len(r[2]), str(r[0])))
     held, chosen = 0, []
     for r in rows:

@@ -238,11 +238,14 @@ def fit(texts: list[str], toxic: list[int], ratio: float = 1.0, steps: int = 900
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", text: str = "text", cap: int = 1200, sample_chars: int = 8_000_000) -> ToxicityModel:
-    """Fit on about ``cap`` labelled rows of each class, at most ``sample_chars`` characters in all."""
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", text: str = "text", cap: int = 1200, sample_chars: int = 8_000_000, longest: int = 20_000) -> ToxicityModel:
+    """Fit on about ``cap`` labelled rows of each class, at most ``sample_chars`` characters in all.
+
+    Of the sampled rows, those of up to ``longest`` characters come to the driver.
+    """
     known = labels.where(F.col(label).isNotNull()).select(key, label)
     sizes = {r[0]: r[1] for r in known.groupBy(label).count().limit(100).collect()}
-    rows = docs.select(key, text).join(F.broadcast(stratified(known, key, label, cap)), key).where(F.col(text).isNotNull()).select(key, text, label).collect()
+    rows = docs.select(key, text).join(F.broadcast(stratified(known, key, label, cap)), key).where(F.length(text) <= longest).select(key, text, label).collect()
     rows.sort(key=lambda r: (len(r[1]), str(r[0])))
     held, chosen = 0, []
     for r in rows:
