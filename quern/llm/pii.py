@@ -23,6 +23,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -291,20 +292,45 @@ def examples(n: int, seed: int) -> tuple[list[list[float]], list[int], list[str]
     return features, truth, kinds
 
 
+class Intervals:
+    """Occupied parts of a text, kept in order; parts may overlap."""
+
+    def __init__(self, parts: Iterator[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(parts):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)  # the last part that starts before b
+        return k == 0 or self.ends[k - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        """Occupy a free part."""
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 @dataclass
 class Detector:
     trees: Trees
     limits: dict[str, float]
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
-        free = [c for c in candidates(text) if not any(a < c[1] and c[0] < b for a, b, _ in base)]
+        taken = Intervals((a, b) for a, b, _ in base)
+        free = [c for c in candidates(text) if taken.free(c[0], c[1])]
         if not free:
             return []
         z = self.trees.logit(np.array([describe(text, c) for c in free]))
-        good = sorted((-v, c) for v, c in zip(z.tolist(), free, strict=True) if v >= self.limits[c[2]])
         out: list[Span] = []
-        for _, c in good:
-            if not any(a < c[1] and c[0] < b for a, b, _ in out):
+        for _, c in sorted((-v, c) for v, c in zip(z.tolist(), free, strict=True) if v >= self.limits[c[2]]):
+            if taken.free(c[0], c[1]):
+                taken.add(c[0], c[1])
                 out.append(c)
         return out
 
