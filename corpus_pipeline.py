@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, langid, linededup, mixing, production, simhash
+from quern.llm import bpe, langid, linededup, mixing, production, similar
 
 #: Language ID and BPE can't be said in SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
@@ -39,11 +39,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each near-duplicate group.
+    """Keep the document with the least id of each near-duplicate group (five-word shingles, similarity 0.8).
 
     Ids name documents: of rows with one id one stays, and a row without an id always stays.
     """
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    groups = similar.near_duplicates(docs.select("doc_id", "text"))
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)

@@ -37,25 +37,31 @@ BITS = 64
 SEED = 42
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """SimHash of a text: XXH64 of its word shingles, a bit is 1 if set in over half of them."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of the word shingles of a text, repeats included; a shorter text is one shingle."""
     words = text.encode().lower().split()  # bytes: only A-Z change, and words end at ASCII white space
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([digest(joined, SEED)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[: len(words) - shingle])).tolist()
     stops = (ends[shingle - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def vote(hashes: np.ndarray) -> int:
+    """The bits that more than half the hashes have."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65536):  # bit 63 first
         part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    set_bits = 2 * ones > len(hashes)
-    return int.from_bytes(np.packbits(set_bits).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str, shingle: int) -> int:
+    """SimHash of a text; without words zero."""
+    return vote(shingle_hashes(text, shingle))
 
 
 def with_fingerprint(df: DataFrame, text: str, shingle: int, name: str) -> DataFrame:

@@ -32,10 +32,10 @@ def test_stages(spark, sf_dir, tmp_path):
     assert ids(before) == ids(after)
     assert after.where(F.length("text") != F.col("n_chars")).count() == 0
     # near duplicates: one document a group
-    from quern.llm import simhash
+    from quern.llm import similar
 
     before, after = seen[2]
-    groups = simhash.near_duplicates(before.select("doc_id", "text"))
+    groups = similar.near_duplicates(before.select("doc_id", "text"))
     assert ids(after) == Counter(r[0] for r in groups.select("component_id").distinct().collect())
     # mix: no document more than three times, the sources near their targets
     before, after = seen[3]
