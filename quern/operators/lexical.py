@@ -57,24 +57,32 @@ def build_index(docs: DataFrame, fields: dict[str, Column], weights: dict[str, f
     return LexicalIndex(postings, terms, stats)
 
 
-def scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, id, kw) of the rows that hold a term of the expanded query (query_id, query)."""
+def scores(index: LexicalIndex, queries: DataFrame, at_least: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, kw) of the rows that hold a term of the expanded query (query_id, query).
+
+    The pairs (query_id, id) of ``at_least`` are there too, with 0 if nothing matches.
+    """
     wanted = queries.select("query_id", F.explode(expand(tokenize(F.col("query")))).alias("term"))
-    return index.postings.join(wanted, "term").groupBy("query_id", "id").agg(F.sum("impact").alias("kw"))
+    rows = index.postings.join(wanted, "term").select("query_id", "id", "impact")
+    if at_least is not None:
+        rows = rows.union(at_least.select("query_id", "id", F.lit(0.0)))
+    return rows.groupBy("query_id", "id").agg(F.sum("impact").alias("kw"))
+
+
+def first_rows(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Each query with the first ``k`` rows by place: all that rows without a match can give to its first k."""
+    return docs.select("id", "ordinal").orderBy("ordinal").limit(k).crossJoin(queries.select("query_id")).select("query_id", "id")
 
 
-def top(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, ordinal, kw, rank): the first k of all rows of ``docs`` (id, ordinal), by score, then place.
+def top(found: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, ordinal, kw, rank): the first k rows of each query by score, then place.
 
-    Rows without a match score 0. Of those no more than the first k by place can be among the
-    first k, so queries meet only these, not every row.
+    ``found`` are scores with :func:`first_rows`, so that rows that score 0 take part without
+    every query meeting every row; those of rows that ``docs`` lacks drop out.
     """
-    places = docs.select("id", "ordinal")
-    matched = found.join(places, "id").select("query_id", "id", "ordinal", "kw")
-    first = places.orderBy("ordinal").limit(k).crossJoin(queries.select("query_id"))
-    rest = first.join(found, ["query_id", "id"], "left_anti").select("query_id", "id", "ordinal", F.lit(0.0).alias("kw"))
+    placed = found.join(docs.select("id", "ordinal"), "id")
     by = Window.partitionBy("query_id").orderBy(F.round("kw", 6).desc(), F.col("ordinal"))
-    return matched.union(rest).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return placed.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
 def all_scores(index: LexicalIndex, queries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -117,8 +117,8 @@ def pool(chunks: DataFrame, queries: DataFrame, index: lexical.LexicalIndex | No
         rows = rows.withColumn("kw", lexical.fallback(F.col("text"), F.col("query")))
         both = best(rows, "boosted", n).drop("rank").unionByName(best(rows, "kw", n).drop("rank"))
         return both.dropDuplicates(["query_id", "id"])
-    found = lexical.scores(index, queries)
-    keys = best(rows, "boosted", n).select("query_id", "id").union(lexical.top(found, queries, chunks, n).select("query_id", "id")).distinct()
+    found = lexical.scores(index, queries, lexical.first_rows(chunks, queries, n))
+    keys = best(rows, "boosted", n).select("query_id", "id").union(lexical.top(found, chunks, n).select("query_id", "id")).distinct()
     pairs = with_scores(keys.join(chunks, "id").join(asked, "query_id"), o)
     return pairs.join(found, ["query_id", "id"], "left").withColumn("kw", F.coalesce("kw", F.lit(0.0)))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as t
 from quern.functions import sql, urls, vectors
 from quern.operators import bundle, catalog, chunking, embedding, evaluation, lexical, ranking, rerank, web
-from quern.session import table
+from quern.session import spread, table
 from quern.sources import corpus, golden
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +43,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     return docs.select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").alias("ordinal"),
@@ -161,7 +161,7 @@ def ranks(score: str, k: int, extra: str = "") -> str:
 @query(r"""SELECT doc_id, len(ts) AS n_tokens, len(list_distinct(ts)) AS n_distinct FROM (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9_#]+'), lambda x: x <> '') AS ts FROM documents)""")
 def tokenize_counts(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", t.tokenize(F.col("text")).alias("ts"))
+    d = spread(table(spark, sf, "documents")).select("doc_id", t.tokenize(F.col("text")).alias("ts"))
     return d.select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.size(F.array_distinct("ts")).cast("long").alias("n_distinct"))
 
 
@@ -188,7 +188,8 @@ def bm25_field_stats(spark, sf):
 
 
 def _top(index: lexical.LexicalIndex, spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    got = lexical.top(lexical.scores(index, asked(spark, sf)), asked(spark, sf), doc_chunks(spark, sf), k)
+    docs, queries = doc_chunks(spark, sf), asked(spark, sf)
+    got = lexical.top(lexical.scores(index, queries, lexical.first_rows(docs, queries, k)), docs, k)
     return got.select("query_id", "rank", "id", F.round("kw", 4).alias("score"))
 
 
@@ -269,7 +270,7 @@ def mean_pool(spark, sf):
 
 @query()
 def embed_hash(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     out = embedding.embed(docs, lambda: embedding.hashing_model(DIM), DIM)
     return out.select("doc_id", "embedding", F.round(vectors.norm(F.col("embedding"), DIM), 4).alias("norm"))
 

@@ -19,3 +19,9 @@ def session(master: str | None = None, **conf: object) -> SparkSession:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a folder of Parquet files."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer partitions than cores (a small file is one) dealt to all cores; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
