@@ -3,15 +3,19 @@
 Texts whose word shingles have a Jaccard similarity of 0.8 differ in about ten of 64 bits, too
 many for shards of agreeing bit runs. Here a shard holds the texts that share a minimum of
 their hashed shingles: two texts of similarity s share each of the ``keys`` minima with
-probability s, so at 0.8 all but 0.2 ** keys of the pairs meet in some shard. In a shard a
-BK-tree over the fingerprints is searched within ``radius`` bits (fourteen hold 97 in 100 pairs
-at 0.80 to 0.85 and all above), and a hit counts if the similarity estimated from a sketch of
-``SKETCH`` hashed shingle classes reaches the threshold less one standard error.
+probability s, so at 0.8 all but 0.2 ** keys of the pairs meet in some shard. In a shard all
+pairs within ``radius`` bits whose similarity, estimated from a sketch of ``SKETCH`` hashed
+shingle classes, is not three standard errors below the threshold are candidates; a pair links
+if the exact Jaccard similarity of its shingle sets reaches the threshold. So wide a radius
+prunes no branch of a BK-tree, so a shard is compared in whole blocks.
 
-Texts of one fingerprint meet before the search. A shard of more than ``shard_rows``
-fingerprints is dealt again by further minima; what is still larger is cut into parts, and the
-tree of each part is searched for each later part, so no task holds more than two parts and no
-pair is left out.
+The sets go only to the shards in which a text has a candidate. There the likeliest pairs are
+confirmed first, and a pair that is joined already is left out: a shard gives a forest of links,
+never all pairs. A set holds 32 bits of each shingle hash.
+
+Texts of one fingerprint meet before the search, and one of them stands for all. A shard of more
+than ``shard_rows`` fingerprints is cut into parts, and each part is compared with each later
+part, so no task holds more than two parts and no pair is left out.
 
 Defined results: as for :mod:`quern.llm.simhash`; texts without words are one group.
 """
@@ -22,16 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quern.llm.common import cut, over_batches, strings
 from quern.llm.components import components
-from quern.llm.simhash import BKTree, Forest, shingle_hashes, vote
+from quern.llm.simhash import Forest, shingle_hashes, vote
 
 SKETCH = 128
-AGAIN = 4
+SHARD = ["mask", "part", "tree", "query"]
+MASK = (1 << 64) - 1
+#: Standard errors of the sketch below the threshold at which a pair is no candidate.
+LOOSE = 3.0
+#: Fingerprints with candidates up to this many are broadcast to fetch their texts (8 bytes each).
+BROADCAST_TEXTS = 200_000
 
 
 def _mixers(n: int) -> np.ndarray:
@@ -77,81 +87,125 @@ def with_signature(df: DataFrame, text: str, shingle: int, keys: int) -> DataFra
     return over_batches(df, run, schema)
 
 
-def forest(left: list[tuple[int, bytes]], right: list[tuple[int, bytes]], radius: int, least: float) -> list[tuple[int, int]]:
-    """Links (value, root) that join the similar pairs of ``left``, or those of ``left`` and ``right``."""
-    items = left + right
-    values = [v for v, _ in items]
-    classes = np.frombuffer(b"".join(s for _, s in items), np.uint8).reshape(len(items), SKETCH)
-
-    def similar(i: int, j: int) -> bool:
-        a, b = classes[i], classes[j]
-        either = np.count_nonzero(a | b)
-        return np.count_nonzero((a == b) & (a > 0)) >= least * either
-
-    sets = Forest(values)
-    tree = BKTree([v for v, _ in left])
-    for q in range(len(left), len(items)) if right else range(len(left)):
-        for hit in tree.within(values[q], radius):
-            if sets.root(q) != sets.root(hit) and similar(q, hit):
-                sets.join(q, hit)
+def candidates(values: list[int], sketches: list[bytes], left: int, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the pairs to confirm, likeliest of a block first: all pairs if ``left`` is all, else those of a later and one of the first ``left``."""
+    prints = np.array(values, np.uint64)
+    classes = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(values), SKETCH)
+    loose = LOOSE * (similarity * (1 - similarity)) ** 0.5
+    for at in range(0 if left == len(values) else left, len(values), 256):
+        near = np.bitwise_count(prints[at : at + 256, None] ^ prints[:left]) <= radius
+        i, j = np.nonzero(np.tril(near, at - 1) if left == len(values) else near)
+        i += at
+        over = np.empty(len(i))
+        for lo in range(0, len(i), 8192):
+            a, b = classes[i[lo : lo + 8192]], classes[j[lo : lo + 8192]]
+            either = np.maximum(np.count_nonzero(a | b, axis=1), 1)
+            over[lo : lo + 8192] = (np.count_nonzero((a == b) & (a > 0), axis=1) / either - similarity) * either**0.5
+        order = np.argsort(-over, kind="stable")
+        order = order[over[order] >= -loose]
+        yield i[order], j[order]
+
+
+def forest(values: list[int], sketches: list[bytes], shingles: list[bytes], left: int, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (value, root) that join the pairs of :func:`candidates` whose shingle sets are similar."""
+    sets, held = Forest(values), [np.frombuffer(s, np.uint32) for s in shingles]
+    for i, j in candidates(values, sketches, left, radius, similarity):
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = held[x], held[y]
+            if sets.root(x) == sets.root(y) or min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                continue
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if both / max(1, len(a) + len(b) - both) >= similarity:
+                sets.join(x, y)
     return sets.links()
 
 
-def links(prints: DataFrame, keys: int, radius: int, similarity: float, shard_rows: int) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints (fp, __minima, __sketch)."""
-    key = F.struct("mask", "part")
+def proposed(prints: DataFrame, keys: int, radius: int, similarity: float, shard_rows: int) -> DataFrame:
+    """The members (mask, part, tree, query, left, fp, __sketch) of shards of distinct fingerprints that have a candidate there."""
     of = F.transform(F.slice("__minima", 1, keys), lambda v, i: F.struct(i.alias("mask"), v.alias("part")))
-    sharded = prints.select("fp", "__sketch", F.slice("__minima", keys + 1, AGAIN).alias("__more"), F.explode(of).alias("k")).select("fp", "__sketch", "__more", "k.mask", "k.part")
+    sharded = prints.select("fp", "__sketch", F.explode(of).alias("k")).select("fp", "__sketch", "k.mask", "k.part")
 
-    def large(rows: DataFrame) -> DataFrame:
-        return cut(rows.groupBy("mask", "part").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows))
-
-    hot = large(sharded)
+    hot = cut(sharded.groupBy("mask", "part").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows))
     few = hot.limit(10_001).count()
-    if few:
-        found = F.broadcast(hot) if few <= 10_000 else hot
-        again = F.transform("__more", lambda v, i: F.struct((F.col("mask") * AGAIN + i + keys).alias("mask"), F.xxhash64(key, v).alias("part")))
-        dealt = sharded.join(found, ["mask", "part"]).select("fp", "__sketch", "__more", F.explode(again).alias("k")).select("fp", "__sketch", "__more", "k.mask", "k.part")
-        sharded = sharded.join(found, ["mask", "part"], "left_anti").unionByName(dealt)
-        hot = large(dealt)
-        few = hot.limit(10_001).count()
     if few:
         wide = sharded.join(F.broadcast(hot) if few <= 10_000 else hot, ["mask", "part"], "left")
         n = F.ceil(F.coalesce("n", F.lit(1)) / shard_rows).cast("int")
         own = F.pmod(F.xxhash64("fp"), n).cast("int")
-        # a fingerprint of part o meets the parts before it as a query and those after it as the tree
+        # a fingerprint of part o meets the parts before it as "query" and those after it as "tree"
         others = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.least(i, own).alias("tree"), F.greatest(i, own).alias("query")))
         parts = wide.select("fp", "__sketch", "mask", "part", own.alias("own"), F.explode(others).alias("o")).select("fp", "__sketch", "mask", "part", "o.tree", "o.query", (F.col("own") == F.col("o.tree")).alias("left"))
     else:
         parts = sharded.select("fp", "__sketch", "mask", "part", F.lit(0).alias("tree"), F.lit(0).alias("query"), F.lit(True).alias("left"))
-    item = F.struct("fp", "__sketch")
-    grouped = parts.groupBy("mask", "part", "tree", "query").agg(F.collect_list(F.when(F.col("left"), item)).alias("first"), F.collect_list(F.when(~F.col("left"), item)).alias("second"))
-    grouped = grouped.where((F.size("first") > 0) & (F.size("first") + F.size("second") > 1) & ((F.col("tree") == F.col("query")) | (F.size("second") > 0)))
-    # one standard error of the estimate below the threshold, so that hardly any pair at it is missed
-    least = similarity - (similarity * (1 - similarity) / SKETCH) ** 0.5
+    grouped = _shards(parts, F.struct("fp", "__sketch"))
+    schema = T.StructType([*[grouped.schema[c] for c in SHARD], T.StructField("left", T.BooleanType()), T.StructField("fp", T.LongType()), T.StructField("__sketch", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                first, second = row["first"], row["second"]
+                items, left = first + second, len(first)
+                pairs = candidates([r["fp"] & MASK for r in items], [r["__sketch"] for r in items], left, radius, similarity)
+                out += [{**{c: row[c] for c in SHARD}, "left": k < left, **items[k]} for k in sorted({k for p in pairs for k in np.unique(np.concatenate(p)).tolist()})]
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    arrow = to_arrow_schema(schema)
+    return over_batches(grouped, run, schema)
+
+
+def _shards(parts: DataFrame, item: Column) -> DataFrame:
+    """The items of each shard, those of its tree and those that are looked up in it."""
+    grouped = parts.groupBy(*SHARD).agg(F.collect_list(F.when(F.col("left"), item)).alias("first"), F.collect_list(F.when(~F.col("left"), item)).alias("second"))
+    return grouped.where((F.size("first") > 0) & (F.size("first") + F.size("second") > 1) & ((F.col("tree") == F.col("query")) | (F.size("second") > 0)))
+
+
+def with_shingles(df: DataFrame, text: str, shingle: int) -> DataFrame:
+    """Replace ``text`` by __set, 32 bits of each of its distinct shingle hashes."""
+    kept = [f for f in df.schema.fields if f.name != text]
+    schema = T.StructType([*kept, T.StructField("__set", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle).astype(np.uint32)).tobytes() for t in strings(batch.column(text))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(sets, pa.binary())], names=schema.names)
+
+    return over_batches(df, run, schema)
+
+
+def links(members: DataFrame, stands: DataFrame, texts: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the fingerprints of ``members`` whose shingle sets have at least ``similarity``.
+
+    ``stands`` (fp, __h) names the text that stands for a fingerprint by its hash among ``texts`` (__h, __text).
+    """
+    nodes = cut(members.select("fp").distinct().join(stands, "fp"))
+    few = nodes.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+    # of equal texts the first met: they have one set
+    found = texts.join(F.broadcast(nodes) if few else nodes, "__h").groupBy("fp").agg(F.first("__text").alias("__text"))
+    grouped = _shards(members.join(with_shingles(found, "__text", shingle), "fp"), F.struct("fp", "__sketch", "__set"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = (1 << 64) - 1
         back = lambda v: v - (1 << 64) if v >> 63 else v
-        pick = lambda rows: [(r["fp"] & mask, r["__sketch"]) for r in rows]
         for batch in batches:
-            found: set[tuple[int, int]] = set()
+            pairs: set[tuple[int, int]] = set()
             for first, second in zip(batch.column("first"), batch.column("second"), strict=True):
-                found.update(forest(pick(first.as_py()), pick(second.as_py()), radius, least))
-            pairs = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([back(a) for a, _ in pairs], pa.int64()), pa.array([back(b) for _, b in pairs], pa.int64())], names=["a", "b"])
+                left, right = first.as_py(), second.as_py()
+                items = left + right
+                pairs.update(forest([r["fp"] & MASK for r in items], [r["__sketch"] for r in items], [r["__set"] for r in items], len(left), radius, similarity))
+            found = sorted(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array([back(a) for a, _ in found], pa.int64()), pa.array([back(b) for _, b in found], pa.int64())], names=["a", "b"])
 
     return over_batches(grouped.select("first", "second"), run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 14, keys: int = 10, shard_rows: int = 512) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, keys: int = 10, shard_rows: int = 2048) -> DataFrame:
     """``df`` without ``text``, with the signed fingerprint ``fp`` and ``component_id``, the least key it reaches."""
-    signed = cut(with_signature(df.drop("component_id"), text, shingle, keys + AGAIN))
-    least = cut(signed.groupBy("fp").agg(F.min(key).alias("least"), F.min(F.struct("__minima", "__sketch")).alias("s")))
-    prints = least.select("fp", "s.__minima", "s.__sketch")
-    roots = components(links(prints, keys, radius, similarity, shard_rows))
+    signed = cut(with_signature(df.drop("component_id").withColumn("__h", F.xxhash64(text)), text, shingle, keys))
+    least = cut(signed.groupBy("fp").agg(F.min(key).alias("least"), F.min(F.struct("__minima", "__sketch", "__h")).alias("s")))
+    members = cut(proposed(least.select("fp", "s.__minima", "s.__sketch"), keys, radius, similarity, shard_rows))
+    texts = df.select(F.xxhash64(text).alias("__h"), F.col(text).alias("__text"))
+    roots = components(links(members, least.select("fp", "s.__h"), texts, shingle, radius, similarity))
     of = cut(roots.join(least.select("fp", "least"), F.col("node") == F.col("fp")).select("fp", "root", "least"))
     best = of.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = of.join(best, "root").select("fp", "component_id")
     named = cut(least.select("fp", "least").join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return signed.drop("__minima", "__sketch").join(named, "fp")
+    return signed.drop("__minima", "__sketch", "__h").join(named, "fp")

@@ -68,3 +68,26 @@ def test_odd_rows(odd, nothing):
     assert len(rows) == odd.count()
     assert {by[i] for i in (0, 1, 2)} == {0} and {by[i] for i in (4, 5, 6)} == {4}
     assert similar.near_duplicates(nothing).count() == 0
+
+
+def test_pairs_just_above_the_threshold_link_and_those_below_do_not(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6)))
+    rows, j = [], []
+    while len(j) < 400:  # pairs at 0.74 to 0.83, unrelated to each other
+        base = [word() for _ in range(rnd.randint(150, 500))]
+        copy = list(base)
+        for _ in range(max(1, len(base) // 40)):
+            copy[rnd.randrange(len(copy))] = word()
+        a, b = " ".join(base), " ".join(copy)
+        s = jaccard(*(np.unique(shingle_hashes(t, 5)) for t in (a, b)))
+        if 0.74 <= s < 0.83:
+            rows += [(2 * len(j), a), (2 * len(j) + 1, b)]
+            j.append(s)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(df).collect()}
+    linked = np.array([got[2 * k] == got[2 * k + 1] for k in range(len(j))])
+    near = np.array(j) >= 0.8
+    assert near.sum() > 80 and (~near).sum() > 80
+    assert linked[near].mean() >= 0.99
+    assert not linked[~near].any()
