@@ -3,8 +3,12 @@
 A text is a vector of hashed letter n-grams (one to three, with word boundaries), damped,
 weighted by inverse document frequency and normalised. Each language is described by several
 centroids, found by spherical k-means over a bounded sample of its labelled texts. The
-language of the centroid with the largest cosine is predicted. A text whose largest cosine
-lies below what nearly all sample texts of that language reach is rejected.
+language of the centroid with the largest cosine is predicted. A text is rejected if its largest
+cosine lies below 0.7 of what 99.5 % of the sample texts of that language reach, each measured
+with centroids of the other parts of the sample. Short texts reach less, so there is a limit for
+each of ``FLOORS`` letters, and a text has that of the largest floor it reaches: below the last
+floor it is 0.7 of what all sample texts of such a length and 97 % of as short beginnings of
+longer ones reach. No limit is below 0.2 of what whole sample texts reach.
 
 The sample is ``cap`` texts a language (documented bound: at most 1000 languages, and
 ``sample_chars`` characters of all texts in it); everything else runs over all rows.
@@ -32,6 +36,9 @@ from quern.llm.common import over_batches, slices, stratified, strings
 
 DIMS = 4096
 UNKNOWN = "und"
+#: Letters from which a limit of its own holds.
+FLOORS = (1, 8, 16, 32, 64, 128, 256)
+FOLDS = 4
 
 
 @cache
@@ -73,13 +80,18 @@ def counts(texts: list[str]) -> np.ndarray:
     return out
 
 
+def letter_ends(text: str) -> np.ndarray:
+    """The place after each letter of a text."""
+    return np.flatnonzero(letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]) + 1
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray  # a row each, of length 1
     of: np.ndarray  # language of each centroid
-    least: np.ndarray  # a language's smallest accepted cosine
+    least: np.ndarray  # a language's smallest accepted cosine from each of FLOORS letters
 
     def vectors(self, texts: list[str]) -> np.ndarray:
         v = np.log1p(counts(texts)) * self.idf
@@ -94,7 +106,8 @@ class LanguageModel:
         for a, b in slices(texts, 1 << 19):
             for lo in range(a, b, 512):
                 part = texts[lo : min(b, lo + 512)]
-                spoken = np.array([any(map(str.isalpha, t)) for t in part])
+                spoken = np.array([len(letter_ends(t)) for t in part])
+                floor = np.maximum(np.searchsorted(FLOORS, spoken, "right") - 1, 0)
                 cos = self.vectors(part) @ self.centroids.T
                 best = np.full((len(part), len(self.languages)), -1.0)
                 for k, language in enumerate(self.of):
@@ -104,33 +117,57 @@ class LanguageModel:
                 for i in np.flatnonzero(spoken).tolist():
                     lang[lo + i] = self.languages[top[i]]
                     score[lo + i] = min(1.0, max(0.0, float(value[i])))
-                    rejected[lo + i] = value[i] < self.least[top[i]]
+                    rejected[lo + i] = value[i] < self.least[top[i], floor[i]]
         return lang, score, rejected
 
 
-def fit(texts: list[str], langs: list[str], clusters: int = 4, rounds: int = 10, accept: float = 0.995, slack: float = 0.2, seed: int = 7) -> LanguageModel:
-    """Centroids of the languages; ``slack`` times the cosine that ``accept`` of the sample reaches is the least accepted."""
+def fit(texts: list[str], langs: list[str], clusters: int = 4, rounds: int = 10, accept: float = 0.995, slack: float = 0.7, accept_begun: float = 0.97, weakest: float = 0.2, seed: int = 7) -> LanguageModel:
+    """Centroids of the languages; ``slack`` times the cosine that ``accept`` of the sample reaches unseen is the least accepted."""
     names = sorted(set(langs))
     if not names:
-        return LanguageModel([], np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
-    raw = np.concatenate([counts(texts[a:b]) for a, b in slices(texts, 1 << 19)])
-    df = (raw > 0).sum(axis=0)
-    idf = (np.log((1 + len(texts)) / (1 + df)) + 1).astype(np.float32)
-    v = np.log1p(raw) * idf
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        return LanguageModel([], np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros((0, len(FLOORS))))
+    counted = lambda ts: np.concatenate([counts(ts[a:b]) for a, b in slices(ts, 1 << 19)])
+    raw = counted(texts)
+    idf = (np.log((1 + len(texts)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
+
+    def vectors(n: np.ndarray) -> np.ndarray:
+        v = np.log1p(n) * idf
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+    v = vectors(raw)
     which = np.array([names.index(x) for x in langs])
     rng = np.random.default_rng(seed)
-    centroids, of, least = [], [], np.zeros(len(names))
-    for k in range(len(names)):
-        own = v[which == k]
+
+    def means(own: np.ndarray) -> np.ndarray:
         c = own[rng.permutation(len(own))[:clusters]]
         for _ in range(rounds):
             nearest = (own @ c.T).argmax(axis=1)
             sums = np.stack([own[nearest == j].sum(axis=0) if (nearest == j).any() else c[j] for j in range(len(c))])
             c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        centroids.append(c)
-        of += [k] * len(c)
-        least[k] = slack * np.quantile((own @ c.T).max(axis=1), 1 - accept)
+        return c
+
+    centroids, of, least = [], [], np.zeros((len(names), len(FLOORS)))
+    for k in range(len(names)):
+        at = np.flatnonzero(which == k)
+        centroids.append(means(v[at]))
+        of += [k] * len(centroids[-1])
+        fold = rng.permutation(len(at)) % FOLDS
+        others = [means(v[at[fold != f]]) for f in range(FOLDS)] if len(at) >= 2 * FOLDS else [centroids[-1]] * FOLDS
+        reached = lambda x, of_text, others=others, fold=fold: np.array([(u @ others[fold[i]].T).max() for u, i in zip(x, of_text, strict=True)])
+        whole = reached(v[at], range(len(at)))
+        ends = [letter_ends(texts[i]) for i in at]
+        size = np.array([len(e) for e in ends])
+        for j, (low, high) in enumerate(zip(FLOORS, (*FLOORS[1:], None), strict=True)):
+            if high is None:
+                seen = whole[size >= low] if (size >= low).any() else whole
+                least[k, j] = slack * np.quantile(seen, 1 - accept)
+                continue
+            least[k, j] = slack * whole[(size >= low) & (size < high)].min(initial=1.0)
+            if longer := np.flatnonzero(size >= high).tolist():
+                begun = vectors(counted([texts[at[i]][: ends[i][low - 1]] for i in longer]))
+                least[k, j] = min(least[k, j], slack * np.quantile(reached(begun, longer), 1 - accept_begun))
+        least[k] = np.minimum(least[k], least[k, -1])
+        least[k] = np.maximum(least[k], weakest * np.quantile(whole, 1 - accept))
     return LanguageModel(names, idf, np.concatenate(centroids).astype(np.float32), np.array(of), least)
 
 

@@ -96,3 +96,22 @@ def test_toxicity_odd_rows(spark, odd, nothing):
     assert toxicity.score(nothing, model).count() == 0
     blank = toxicity.learn(odd, labels.limit(0))
     assert {r["score"] for r in toxicity.score(odd, blank).collect()} == {0.0}
+
+
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+]
+
+
+def test_languages_not_learned_and_random_letters_are_rejected(spark):
+    from quern.llm import production
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = production.language_model(docs)
+    rng = np.random.default_rng(3)
+    noise = [" ".join("".join(rng.choice(list(letters), rng.integers(2, 10))) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz") for n in (20, 100, 500, 2000)]
+    assert model.predict(FOREIGN + noise)[2].all()
+    held = [r["text"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and sum(map(str.isalpha, r["text"] or "")) >= 32]
+    assert len(held) > 2000 and model.predict(held)[2].mean() <= 0.002
