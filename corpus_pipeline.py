@@ -34,8 +34,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the boilerplate lines of each source from its documents."""
-    return _aside(docs, ["doc_id", "text", "source", "n_chars"], lambda d: linededup.line_dedup(d, host="source").withColumn("n_chars", F.length("text").cast("long")))
+    """Drop the boilerplate lines of each source from its documents that have a line of their own."""
+    return _aside(docs, ["doc_id", "text", "source", "n_chars"], lambda d: linededup.line_dedup(d, host="source", max_page_share=None).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 For every host the share of its pages that hold a line is the pages with the line over all
 pages of the host; lines above a ratio are boilerplate of that host and go from all its
-pages. A page that would lose more than ``max_page_share`` of its characters is left as it
-is: a page that consists of such lines is a copy of another page, which is for the
-near-duplicate operators to decide.
+pages. A page whose lines are all such lines is left as it is: it is a copy of another page,
+which is for the near-duplicate operators to decide. With ``max_page_share`` set, so is a page
+that would lose more than this share of its characters (the contract of ``op1_line_dedup``).
 
 Only a 64-bit hash of each line and its host are shuffled, summed before the shuffle, so a
 line that is on a third of all pages costs one row a task. At most (lines a page / ratio)
@@ -44,7 +44,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float, min_pa
     return common.groupBy("__host").agg(F.collect_list("__key").alias("__flagged"))
 
 
-def line_dedup(pages: DataFrame, host: str, text: str = "text", max_ratio: float = 0.05, min_pages: int = 5, max_page_share: float = 0.5) -> DataFrame:
+def line_dedup(pages: DataFrame, host: str, text: str = "text", max_ratio: float = 0.05, min_pages: int = 5, max_page_share: float | None = 0.5) -> DataFrame:
     """``pages`` with boilerplate lines dropped from ``text``; adds n_lines and n_dropped."""
     flagged = cut(boilerplate(pages, host, text, max_ratio, min_pages))
     n = flagged.agg(F.sum(F.size("__flagged"))).first()[0] or 0
@@ -54,7 +54,10 @@ def line_dedup(pages: DataFrame, host: str, text: str = "text", max_ratio: float
     chars = lambda ls: F.length(F.array_join(ls, ""))
     joined = pages.withColumn("__host", _host(host)).join(found, "__host", "left")
     joined = joined.withColumn("__kept", F.when(F.col("__flagged").isNull() | F.col(text).isNull(), lines).otherwise(F.filter(lines, lambda x: ~hit(x))))
-    whole = chars(lines) - chars(F.col("__kept")) > max_page_share * chars(lines)
+    if max_page_share is None:
+        whole = ~F.exists("__kept", lambda x: line_key(x).isNotNull())
+    else:
+        whole = chars(lines) - chars(F.col("__kept")) > max_page_share * chars(lines)
     joined = joined.withColumn("__kept", F.when(whole, lines).otherwise(F.col("__kept")))
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     counted = {"n_lines": F.greatest(n_lines, F.lit(0)), "n_dropped": F.greatest(n_lines, F.lit(0)) - F.greatest(F.coalesce(F.size("__kept"), F.lit(0)).cast("long"), F.lit(0))}

@@ -112,3 +112,15 @@ def test_mix_odd_rows(odd, nothing):
 @pytest.mark.parametrize("name", ["op1_line_dedup", "op8_mixing"])
 def test_query(name, compare):
     compare(queries.QUERIES[name], queries.ORACLE[name])
+
+
+def test_pipeline_drops_boilerplate_from_every_document_with_a_line_of_its_own(spark):
+    import corpus_pipeline
+
+    passage = "a passage that many short documents of the site carry, much longer than their own text"
+    texts = [f"{passage}\nown {i}" for i in range(12)] + [passage, f"{passage}\n \n{passage}"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert [got[i] for i in range(12)] == [f"own {i}" for i in range(12)]
+    # nothing but boilerplate: copies, for near-dedup
+    assert [got[12], got[13]] == texts[12:]
