@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, langid, linededup, mixing, production, similar
@@ -50,11 +50,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number of times."""
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
+    """Each document as often as the mix takes it, a whole number of times.
+
+    What a document is taken beyond whole times is carried to the next one of its source and about
+    its length (a power of two), in seeded order, so documents of any length come as often as their
+    source asks for. A line of more than about 4096 documents is dealt into several by hash.
+    """
 
     def mixed(d: DataFrame) -> DataFrame:
-        return mixing.mix(d, "doc_id", "source", "text", production.mix_weight).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
+        d = mixing.mix(d, "doc_id", "source", "text", production.mix_weight)
+        # fixed point: shares of a line add up without loss
+        share = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size") * (1 << 32))).otherwise(F.lit(0)).cast("long")
+        order = F.xxhash64(F.lit("copies"), "doc_id", "text")
+        length = F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(F.lit(0)).cast("int")
+        n = F.ceil(F.col("source_size") / F.pow(F.lit(2.0), "__length") / 4096)
+        d = d.withColumns({"__share": share, "__order": order, "__length": length}).withColumn("__line", F.pmod(F.xxhash64("__order"), F.greatest(n, F.lit(1)).cast("long")))
+        start = F.pmod(F.xxhash64(F.lit("start"), "source", "__length", "__line"), F.lit(1 << 32))
+        before = Window.partitionBy("source", "__length", "__line").orderBy("__order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        d = d.withColumn("__from", start + F.coalesce(F.sum("__share").over(before), F.lit(0)))
+        copies = F.shiftright(F.col("__from") + F.col("__share"), 32) - F.shiftright("__from", 32)
+        return d.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
 
     return _aside(docs, ["doc_id", "text", "source"], mixed)
 

@@ -72,3 +72,17 @@ def test_odd_rows(spark, odd, nothing, k):
     if k == 2:
         kept = [r["doc_id"] for r in got.collect()]
         assert kept.count(None) == 2 and kept.count(4) == 1 and 5 not in kept
+
+
+def test_mix_takes_long_documents_as_often_as_short_ones(spark):
+    rows = [(i, " ".join(["w"] * (6000 if i % 4 == 0 else 50)), "en", "abc"[i % 3], 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    copies = Counter(r["doc_id"] for r in corpus_pipeline.source_mix(spark, docs, "").select("doc_id").collect())
+    target = {r["source"]: r["target"] for r in mixing.mix(docs, "doc_id", "source", "text", production.mix_weight).select("source", "target").distinct().collect()}
+    for s in "abc":
+        own = [(i, 6000 if i % 4 == 0 else 50) for i, _, _, source, _ in rows if source == s]
+        rate = target[s] / sum(n for _, n in own)
+        assert abs(sum(copies[i] * n for i, n in own) / target[s] - 1) < 0.2
+        for size in (50, 6000):
+            mean = np.mean([copies[i] for i, n in own if n == size])
+            assert abs(mean - rate) < 0.2 * max(rate, 0.5), (s, size, mean, rate)
