@@ -41,12 +41,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each near-duplicate group (five-word shingles, similarity 0.8).
 
-    Ids name documents: of rows with one id one stays, and a row without an id always stays.
+    Rows are told apart by all they hold, so rows of one id and different texts are documents of
+    their own, and of equal rows one stays. Rows without an id come last in a group; a row with
+    neither id nor text always stays.
     """
-    groups = similar.near_duplicates(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    blank = F.col("doc_id").isNull() & F.col("text").isNull()
+    rows = docs.withColumn("__row", F.xxhash64(*docs.columns))
+    groups = similar.near_duplicates(rows.where(~blank).select("doc_id", "__row", "text"), "__row")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("best")
+    first = groups.groupBy("component_id").agg(best).select(F.col("best.__row").alias("__row"))
+    kept = rows.where(~blank).join(first, "__row", "left_semi").dropDuplicates(["__row"])
+    return kept.unionByName(rows.where(blank)).select(docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,3 +86,11 @@ def test_mix_takes_long_documents_as_often_as_short_ones(spark):
         for size in (50, 6000):
             mean = np.mean([copies[i] for i, n in own if n == size])
             assert abs(mean - rate) < 0.2 * max(rate, 0.5), (s, size, mean, rate)
+
+
+def test_near_dedup_tells_rows_of_one_id_or_none_apart(spark):
+    text = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("b")), (None, text("c")), (None, text("c")), (None, text("a")), (3, text("d"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"][0]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == Counter([(1, "a"), (1, "b"), (None, "c"), (3, "d")])
