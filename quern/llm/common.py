@@ -5,10 +5,11 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words everywhere in the training-data operators.
@@ -19,15 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written copy.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where that is
-    unset (tests on one machine) a temporary folder is set.
+    Only a session that runs on this machine alone and names none (tests) gets a temporary one;
+    on a cluster that is an error, as a machine-local folder would lose data there.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from the written copy."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -61,11 +71,12 @@ def strings(column: pa.Array) -> list[str]:
 
 
 def stratified(rows: DataFrame, key: str, stratum: str, cap: int, total: int = 10_000) -> DataFrame:
-    """About ``cap`` rows of each stratum, ``total`` in all, the same ones in every run.
+    """About ``cap`` rows of each stratum, at most twice as many in all, the same ones in every run.
 
     A row is taken when the hash of its key is below ``cap`` / the rows of its stratum, so
-    each stratum gives ``cap`` rows on average and all its rows if it has no more. The
-    counts are an aggregate of one row per stratum; strata are class labels, and more than
+    each stratum gives ``cap`` rows on average and all its rows if it has no more; of the rows
+    taken the first 2 * ``cap`` for each stratum, in order of the hash, stay, however often a key is
+    repeated. ``cap`` is at most ``total`` / the strata. The counts are an aggregate of one row per stratum; strata are class labels, and more than
     1000 of them raise ValueError.
     """
     counts = rows.groupBy(stratum).count().limit(1001).collect()
@@ -76,7 +87,26 @@ def stratified(rows: DataFrame, key: str, stratum: str, cap: int, total: int = 1
     unit = F.pmod(F.xxhash64(F.lit("stratified"), F.col(key)), F.lit(1 << 40)) / float(1 << 40)
     for value, count in counts:
         chosen = chosen | (F.col(stratum).eqNullSafe(F.lit(value)) & (unit < cap / count))
-    return rows.where(chosen)
+    return rows.where(chosen).orderBy(unit, key, stratum).limit(2 * cap * max(1, len(counts)))
+
+
+def middle(text: str, longest: int) -> Column:
+    """A text of up to ``longest`` characters, or so many from the middle of a longer one; null counts as empty."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    start = F.floor((F.length(body) - longest) / 2).cast("int") + 1
+    return F.when(F.length(body) <= longest, body).otherwise(F.substring(body, start, F.lit(longest)))
+
+
+def within_budget(rows: list[Row], stratum: str, text: str, chars: int) -> list[Row]:
+    """Of a sample's rows in their order those whose texts fit an even share of ``chars`` for each stratum."""
+    share = chars // max(1, len({r[stratum] for r in rows}))
+    held: Counter = Counter()
+    out = []
+    for r in rows:
+        if held[r[stratum]] + len(r[text]) <= share:
+            held[r[stratum]] += len(r[text])
+            out.append(r)
+    return out
 
 
 def held_out(key: Column, modulus: int, remainder: int) -> Column:
@@ -90,15 +120,13 @@ Batches = Iterator[pa.RecordBatch]
 def over_batches(df: DataFrame, run: Callable[[Batches], Batches], schema: object, rows: int = 1000) -> DataFrame:
     """``df.mapInArrow(run, schema)`` for rows that are whole texts.
 
-    Batches hold at most ``rows`` rows, and a Python worker gives back the memory a task took
-    before it takes the next: several workers share an executor's memory with its JVM.
+    ``run`` sees at most ``rows`` rows at a time (Spark bounds the bytes of a batch), and a Python
+    worker gives back the memory a task took before it takes the next: several workers share an
+    executor's memory with its JVM.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key)) > rows:
-        conf.set(key, str(rows))
 
     def tidy(batches: Batches) -> Batches:
-        yield from run(batches)
+        yield from run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
         gc.collect()
         pa.default_memory_pool().release_unused()
         if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):

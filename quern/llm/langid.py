@@ -16,7 +16,9 @@ The sample is ``cap`` texts a language (documented bound: at most 1000 languages
 Defined results: a text that is null, empty or without a letter is ``und`` with score 0 and is
 rejected. A text with letters always gets a learned language. Equal cosines go to the language
 that sorts first. Without labelled rows every text is ``und`` and rejected. Repeated rows get
-equal results; other columns pass through.
+equal results, whatever stands beside them. A very long text is counted whole, in blocks. An empty
+table gives an empty one. Other columns pass through, those named lang_pred, score or rejected
+are replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import over_batches, slices, stratified, strings
+from quern.llm.common import middle, over_batches, slices, stratified, strings, within_budget
 
 DIMS = 4096
 UNKNOWN = "und"
@@ -52,32 +54,63 @@ def letters() -> np.ndarray:
     return table
 
 
-def counts(texts: list[str]) -> np.ndarray:
-    """Hashed n-gram counts of each text, one row each."""
-    codes = [letters()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)] for t in texts]
+def blocks(text: str, size: int) -> Iterator[str]:
+    """A text in parts of about ``size`` characters, cut where no letter stands on either side.
+
+    So the parts have the n-grams of the whole; only a run of letters longer than a part is cut
+    inside, and loses the few n-grams that reach over the cut.
+    """
+    at = 0
+    while len(text) - at > size:
+        cut = at + size
+        while cut > at and text[cut].isalpha():
+            cut -= 1
+        stop = cut if cut > at else at + size
+        yield text[at:stop]
+        at = stop
+    yield text[at:] if at else text
+
+
+def counts(texts: list[str], block: int = 1 << 19) -> np.ndarray:
+    """Hashed n-gram counts of each text, one row each; a long text is counted in blocks."""
+    out = np.zeros((len(texts), DIMS), np.float32)
+    part: list[tuple[int, str]] = []
+    held = 0
+    for i, text in enumerate(texts):
+        for piece in blocks(text, block):
+            if part and held + len(piece) > block:
+                _count(part, out)
+                part, held = [], 0
+            part.append((i, piece))
+            held += len(piece)
+    if part:
+        _count(part, out)
+    return out
+
+
+def _count(parts: list[tuple[int, str]], out: np.ndarray) -> None:
+    """Add the n-grams of texts (row of ``out``, text) to their rows."""
+    codes = [letters()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)] for _, t in parts]
+    # a boundary before each text and one behind the last; a run of what is no letter is one boundary
     flat = np.concatenate([x for c in codes for x in (np.zeros(1, np.uint32), c)] + [np.zeros(1, np.uint32)])
-    # a run of what is no letter is one boundary
+    starts = np.cumsum([0, *(len(c) + 1 for c in codes)])
     keep = np.ones(len(flat), bool)
     keep[1:] = (flat[1:] != 0) | (flat[:-1] != 0)
-    owner_len = np.array([len(c) + 1 for c in codes])
-    starts = np.concatenate(([0], np.cumsum(owner_len)))
-    edges = np.concatenate(([0], np.cumsum(keep)))[starts]
+    keep[starts] = True
+    edges = (np.cumsum(keep) - 1)[starts].tolist()
     c = flat[keep]
+    real = c != 0
     one = c * np.uint32(0x9E3779B1)
     two = (one[:-1] ^ (c[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
     three = (two[:-1] ^ (c[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
     shift = np.uint32(33 - DIMS.bit_length())
-    real = c[1:-1] != 0
-    out = np.zeros((len(texts), DIMS), np.float32)
     g1, g2, g3 = ((x >> shift).astype(np.int64) for x in (one, two, three))
-    for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-        if b - a < 2:
-            continue
-        # three-grams are kept round each letter; the first symbol of a text is its boundary
-        last = min(b + 1, len(c))
-        three_here = g3[a : last - 2][real[a : last - 2]]
-        out[i] = np.bincount(np.concatenate((g1[a + 1 : b][c[a + 1 : b] != 0], g2[a : last - 1], three_here)), minlength=DIMS)
-    return out
+    some = real[:-1] | real[1:]
+    for (row, _), a, b in zip(parts, edges[:-1], edges[1:], strict=True):
+        # places a to b: the text's boundaries and all between; three-grams are kept round each letter
+        if b - a > 1:
+            grams = (g1[a:b][real[a:b]], g2[a:b][some[a:b]], g3[a : b - 1][real[a + 1 : b]])
+            out[row] += np.bincount(np.concatenate(grams), minlength=DIMS)
 
 
 def letter_ends(text: str) -> np.ndarray:
@@ -85,6 +118,10 @@ def letter_ends(text: str) -> np.ndarray:
     return np.flatnonzero(letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]) + 1
 
 
+def letter_count(text: str, block: int = 1 << 19) -> int:
+    return sum(len(letter_ends(text[at : at + block])) for at in range(0, len(text), block))
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -106,7 +143,7 @@ class LanguageModel:
         for a, b in slices(texts, 1 << 19):
             for lo in range(a, b, 512):
                 part = texts[lo : min(b, lo + 512)]
-                spoken = np.array([len(letter_ends(t)) for t in part])
+                spoken = np.array([letter_count(t) for t in part])
                 floor = np.maximum(np.searchsorted(FLOORS, spoken, "right") - 1, 0)
                 cos = self.vectors(part) @ self.centroids.T
                 best = np.full((len(part), len(self.languages)), -1.0)
@@ -174,19 +211,14 @@ def fit(texts: list[str], langs: list[str], clusters: int = 4, rounds: int = 10,
 def learn(labelled: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", cap: int = 400, sample_chars: int = 8_000_000, longest: int = 20_000) -> LanguageModel:
     """Fit on about ``cap`` labelled texts of each language, at most ``sample_chars`` characters in all.
 
-    No more than 10,000 texts of up to ``longest`` characters come to the driver.
+    The sample is bounded, what is learned is used on whole texts: no more than 20,000 texts come to
+    the driver, of a text longer than ``longest`` that many characters from its middle. Each language
+    may take an even share of ``sample_chars``, in order of a hash of its rows.
     """
-    known = stratified(labelled.where(F.col(lang).isNotNull()).select(key, lang, text), key, lang, cap)
-    rows = known.where(F.length(text) <= longest).select(key, lang, text).collect()
-    rows.sort(key=lambda r: (len(r[2]), str(r[0])))
-    held, chosen = 0, []
-    for r in rows:
-        held += len(r[2])
-        if held > sample_chars:
-            break
-        chosen.append(r)
-    chosen = [r for r in chosen if any(map(str.isalpha, r[2]))]
-    return fit([r[2] for r in chosen], [r[1] for r in chosen])
+    known = labelled.where(F.col(lang).isNotNull()).select(key, lang, middle(text, longest).alias(text))
+    rows = stratified(known, key, lang, cap).select(key, lang, text).collect()
+    chosen = [r for r in within_budget(rows, lang, text, sample_chars) if any(map(str.isalpha, r[text]))]
+    return fit([r[text] for r in chosen], [r[lang] for r in chosen])
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep_text: bool = True) -> DataFrame:

@@ -1,10 +1,10 @@
 """Line dedup by site-relative frequency.
 
 For every host the share of its pages that hold a line is the pages with the line over all
-pages of the host; lines above a ratio are boilerplate of that host and go from all its
-pages. A page whose lines are all such lines is left as it is: it is a copy of another page,
-which is for the near-duplicate operators to decide. With ``max_page_share`` set, so is a page
-that would lose more than this share of its characters (the contract of ``op1_line_dedup``).
+pages of the host; lines above a ratio (and on ``min_pages`` pages) are boilerplate of that host
+and go from all its pages. Only a page whose lines are all such lines is left as it is: it holds
+nothing of its own, so it is a copy of other pages, which is for the near-duplicate operators to
+decide. A line whose share equals the ratio stays.
 
 Only a 64-bit hash of each line and its host are shuffled, summed before the shuffle, so a
 line that is on a third of all pages costs one row a task. At most (lines a page / ratio)
@@ -14,7 +14,9 @@ counted size is small, and else joined by host, where Spark can split a large ho
 Defined results: lines are compared without white space at their ends; blank lines are
 never boilerplate and stay. A null text stays null and counts as a page; pages without a
 host form one host. A line twice on a page counts once and goes twice. Repeated rows are
-pages of their own. Columns that are not named here pass through.
+pages of their own. A very long text is split whole, inside its row. An empty table gives an
+empty one. Other columns pass through; those named n_lines, n_dropped or like the working
+columns (``__host``, ``__flagged``, ``__kept``) are replaced.
 """
 
 from __future__ import annotations
@@ -44,23 +46,19 @@ def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float, min_pa
     return common.groupBy("__host").agg(F.collect_list("__key").alias("__flagged"))
 
 
-def line_dedup(pages: DataFrame, host: str, text: str = "text", max_ratio: float = 0.05, min_pages: int = 5, max_page_share: float | None = 0.5) -> DataFrame:
+def line_dedup(pages: DataFrame, host: str, text: str = "text", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
     """``pages`` with boilerplate lines dropped from ``text``; adds n_lines and n_dropped."""
     flagged = cut(boilerplate(pages, host, text, max_ratio, min_pages))
     n = flagged.agg(F.sum(F.size("__flagged"))).first()[0] or 0
     found = F.broadcast(flagged) if n <= BROADCAST_LINES else flagged
     lines = F.split(F.col(text), "\n")
     hit = lambda line: F.coalesce(F.array_contains("__flagged", line_key(line)), F.lit(False))
-    chars = lambda ls: F.length(F.array_join(ls, ""))
-    joined = pages.withColumn("__host", _host(host)).join(found, "__host", "left")
+    joined = pages.drop("__flagged").withColumn("__host", _host(host)).join(found, "__host", "left")
     joined = joined.withColumn("__kept", F.when(F.col("__flagged").isNull() | F.col(text).isNull(), lines).otherwise(F.filter(lines, lambda x: ~hit(x))))
-    if max_page_share is None:
-        whole = ~F.exists("__kept", lambda x: line_key(x).isNotNull())
-    else:
-        whole = chars(lines) - chars(F.col("__kept")) > max_page_share * chars(lines)
-    joined = joined.withColumn("__kept", F.when(whole, lines).otherwise(F.col("__kept")))
-    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    counted = {"n_lines": F.greatest(n_lines, F.lit(0)), "n_dropped": F.greatest(n_lines, F.lit(0)) - F.greatest(F.coalesce(F.size("__kept"), F.lit(0)).cast("long"), F.lit(0))}
+    alone = ~F.exists("__kept", lambda x: line_key(x).isNotNull())
+    joined = joined.withColumn("__kept", F.when(alone, lines).otherwise(F.col("__kept")))
+    length = lambda ls: F.greatest(F.coalesce(F.size(ls), F.lit(0)), F.lit(0)).cast("long")
+    counted = {"n_lines": length(lines), "n_dropped": length(lines) - length(F.col("__kept"))}
     return joined.withColumns(counted | {text: F.array_join("__kept", "\n")}).drop("__host", "__flagged", "__kept")
 
 

@@ -49,7 +49,7 @@ WITH lines AS (
 ), marked AS (
   SELECT l.*, f.bare IS NOT NULL AS hit FROM lines l LEFT JOIN found f ON l.source = f.source AND l.bare = f.bare
 ), judged AS (
-  SELECT *, coalesce(sum(length(line)) FILTER (hit) OVER (PARTITION BY doc_id), 0) > 0.5 * sum(length(line)) OVER (PARTITION BY doc_id) AS whole FROM marked
+  SELECT *, count(*) FILTER (bare <> '' AND NOT hit) OVER (PARTITION BY doc_id) = 0 AS whole FROM marked
 )
 SELECT doc_id, source, count(*) AS n_lines, count(*) FILTER (hit AND NOT whole) AS n_dropped,
   coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT hit OR whole), '') AS text

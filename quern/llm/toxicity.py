@@ -11,13 +11,16 @@ language; the language of a text is read off its own function words, so neither
 other column enters a score. The score is 0.7 at the calibrated logit and grows with the logit.
 
 The classifier is fitted on a bounded sample (``cap`` labelled rows a class, ``sample_chars``
-characters); scoring reads whole texts. Defined results: null, empty and wordless texts
-score 0; repeated rows get equal
-scores; without examples of both classes every score is 0. Other columns pass through.
+characters); scoring reads whole texts, long ones in blocks. Defined results: null, empty and
+wordless texts score 0; repeated rows get equal scores; a score of exactly 0.7 is toxic; without
+examples of both classes every score is 0. Of languages whose function words are equally frequent
+the first counts. An empty table gives an empty one. Other columns pass through, those named score
+or predicted are replaced.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import over_batches, slices, stratified, strings
+from quern.llm.common import middle, over_batches, stratified, strings, within_budget
 
 BUCKETS, DIM, WIDTHS, FILTERS, PIECE = 1 << 15, 16, (1, 2, 3), 8, 5
 COLUMNS = FILTERS * sum(WIDTHS)
@@ -42,6 +45,9 @@ FUNCTION_WORDS = {
 }
 LANGUAGES = [*FUNCTION_WORDS, "other"]
 
+#: Words that are scored at a time.
+WORDS_AT_ONCE = 1 << 17
+
 #: ASCII marks and controls part words; letters, digits and bytes beyond ASCII make them.
 _GAPS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -72,12 +78,25 @@ def pieces(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return whole.astype(np.int64), mix(g[inside]).astype(np.int64), owner[: len(g)][inside]
 
 
-def indexed(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def blocks(text: str, size: int) -> Iterator[tuple[list[bytes], int, bool]]:
+    """Words of a text in blocks of about ``size`` characters, how many of them end the block before, and whether more come."""
+    at, before = 0, []
+    while len(text) - at > size:
+        stop = at + size
+        while stop > at and ord(text[stop]) < 128 and text[stop].isalnum() or ord(text[stop]) >= 128 and stop > at:
+            stop -= 1
+        stop = stop if stop > at else at + size  # a word longer than a block is cut
+        own = words(text[at:stop])
+        yield before + own, len(before), True
+        before, at = (before + own)[-(max(WIDTHS) - 1) :], stop
+    yield before + words(text[at:] if at else text), len(before), False
+
+
+def indexed(split: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, the texts as their places one after the other, and each text's length.
 
     Place 0 is padding; every text ends with as much of it as the widest filter needs.
     """
-    split = [words(t) for t in texts]
     place: dict[bytes, int] = {b"": 0}
     for ws in split:
         for w in dict.fromkeys(ws):
@@ -125,36 +144,58 @@ class ToxicityModel:
     levels: dict[str, float]
     trained: bool = True
 
-    def logits(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
-        """Logit and guessed language of each text."""
-        out, guess = np.zeros(len(texts)), ["other"] * len(texts)
-        for a, b in slices(texts, 1 << 19):
-            distinct, ids, lengths = indexed(texts[a:b])
-            rows = np.concatenate([embed(self.table, distinct[i : i + 50_000]) @ self.project for i in range(0, len(distinct), 50_000)])
-            rows[0] = 0
-            starts = np.cumsum(lengths) - lengths
-            known = np.zeros((len(distinct), len(FUNCTION_WORDS)), np.float32)
-            place = {w: i for i, w in enumerate(distinct)}
-            for k, ws in enumerate(FUNCTION_WORDS.values()):
-                for w in ws:
-                    if (i := place.get(w.encode())) is not None:
-                        known[i, k] = 1
-            hits = np.add.reduceat(known[ids], starts, axis=0)
-            best = hits.argmax(axis=1)
-            for i in np.flatnonzero(hits.max(axis=1) > 0).tolist():
-                guess[a + i] = LANGUAGES[best[i]]
-            # whole texts, a million places at a time
-            peak = np.maximum.reduceat(convolve(rows, ids), starts, axis=0) if len(ids) <= 1 << 20 else np.stack([convolve(rows, ids[s : s + n]).max(axis=0) for s, n in zip(starts, lengths, strict=True)])
-            out[a:b] = np.maximum(peak, 0) @ self.weights + self.bias
-        return out, guess
+    def logits(self, texts: list[str], block: int = 1 << 20) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Logit and guessed language of each text, and whether it has a word.
+
+        A long text is read in blocks, each with the words before it that a filter may reach over.
+        """
+        peak = np.full((len(texts), FILTERS * len(WIDTHS)), -np.inf, np.float32)
+        hits = np.zeros((len(texts), len(FUNCTION_WORDS)), np.float32)
+        part: list[tuple[int, list[bytes], int, bool]] = []
+        held = 0
+        for i, text in enumerate(texts):
+            for piece in blocks(text, block):
+                if held and held + len(piece[0]) > WORDS_AT_ONCE:
+                    self._read(part, peak, hits)
+                    part, held = [], 0
+                part.append((i, *piece))
+                held += len(piece[0])
+        if part:
+            self._read(part, peak, hits)
+        best = hits.argmax(axis=1)
+        guess = [LANGUAGES[b] if h else "other" for b, h in zip(best.tolist(), (hits.max(axis=1) > 0).tolist(), strict=True)]
+        return np.maximum(peak, 0) @ self.weights + self.bias, guess, np.isfinite(peak).any(axis=1)
+
+    def _read(self, part: list[tuple[int, list[bytes], int, bool]], peak: np.ndarray, hits: np.ndarray) -> None:
+        """Raise the filters' peaks and count the function words of blocks (row, words, words read before, more to come)."""
+        distinct, ids, lengths = indexed([own for _, own, _, _ in part])
+        rows = np.concatenate([embed(self.table, distinct[i : i + 50_000]) @ self.project for i in range(0, len(distinct), 50_000)])
+        rows[0] = 0
+        starts = np.cumsum(lengths) - lengths
+        row = np.array([p[0] for p in part])
+        values = convolve(rows, ids)
+        for end, (_, own, _, more) in zip((starts + lengths - max(WIDTHS) + 1).tolist(), part, strict=True):
+            for k, w in enumerate(WIDTHS):
+                if more and w > 1:  # the next block has what a filter reads from the last words on
+                    values[end - min(w - 1, len(own)) : end, k * FILTERS : (k + 1) * FILTERS] = -np.inf
+        np.maximum.at(peak, row, np.maximum.reduceat(values, starts, axis=0))
+        known = np.zeros((len(distinct), len(FUNCTION_WORDS)), np.float32)
+        place = {w: i for i, w in enumerate(distinct)}
+        for k, ws in enumerate(FUNCTION_WORDS.values()):
+            for w in ws:
+                if (i := place.get(w.encode())) is not None:
+                    known[i, k] = 1
+        new = known[ids]
+        for start, (_, _, carried, _) in zip(starts.tolist(), part, strict=True):
+            new[start : start + carried] = 0
+        np.add.at(hits, row, np.add.reduceat(new, starts, axis=0))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not self.trained:
             return np.zeros(len(texts))
-        z, guess = self.logits(texts)
+        z, guess, worded = self.logits(texts)
         z = (z - np.array([self.levels[g] for g in guess])) + np.log(THRESHOLD / (1 - THRESHOLD))
-        empty = np.array([not words(t[:1000]) and not words(t) for t in texts], bool)
-        return np.where(empty, 0.0, np.round(1 / (1 + np.exp(-np.clip(z, -50, 50))), 6))
+        return np.where(worded, np.round(1 / (1 + np.exp(-np.clip(z, -50, 50))), 6), 0.0)
 
 
 def untrained() -> ToxicityModel:
@@ -189,7 +230,7 @@ def fit(texts: list[str], toxic: list[int], ratio: float = 1.0, steps: int = 900
         train = rng.permutation(train)
         for at in range(0, len(train), batch):
             own = train[at : at + batch]
-            distinct, ids, lengths = indexed([texts[i] for i in own])
+            distinct, ids, lengths = indexed([words(texts[i]) for i in own])
             emb = embed(model.table, distinct)
             emb[0] = 0
             rows = emb @ model.project
@@ -227,7 +268,7 @@ def fit(texts: list[str], toxic: list[int], ratio: float = 1.0, steps: int = 900
             model.project -= (0.3 * rate * g_project / np.sqrt(acc_p)).astype(np.float32)
             model.weights -= (0.3 * rate * g_w / np.sqrt(acc_w)).astype(np.float32)
             model.bias -= float(0.3 * rate * g_b / np.sqrt(acc_b))
-    z, guess = model.logits([texts[i] for i in back])
+    z, guess, _ = model.logits([texts[i] for i in back])
     held = y[back]
     weight = np.where(held == 1, 1.0, ratio)
     common = level(z, held, weight) if 0 < held.sum() < len(held) else 0.0
@@ -241,21 +282,20 @@ def fit(texts: list[str], toxic: list[int], ratio: float = 1.0, steps: int = 900
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", text: str = "text", cap: int = 1200, sample_chars: int = 8_000_000, longest: int = 20_000) -> ToxicityModel:
     """Fit on about ``cap`` labelled rows of each class, at most ``sample_chars`` characters in all.
 
-    Of the sampled rows, those of up to ``longest`` characters come to the driver.
+    The sample is bounded, what is learned is used on whole texts: of a sampled text longer than
+    ``longest`` so many characters from its middle come to the driver. Each class may take an even
+    share of ``sample_chars``, in order of a hash of its rows.
     """
     known = labels.where(F.col(label).isNotNull()).select(key, label)
     sizes = {r[0]: r[1] for r in known.groupBy(label).count().limit(100).collect()}
-    rows = docs.select(key, text).join(F.broadcast(stratified(known, key, label, cap)), key).where(F.length(text) <= longest).select(key, text, label).collect()
-    rows.sort(key=lambda r: (len(r[1]), str(r[0])))
-    held, chosen = 0, []
-    for r in rows:
-        held += len(r[1])
-        if held > sample_chars:
-            break
-        chosen.append(r)
-    taken = {v: sum(r[2] == v for r in chosen) for v in sizes}
-    rarer = (sizes.get(0, 0) / max(1, taken.get(0, 0))) / (sizes.get(1, 1) / max(1, taken.get(1, 0))) if sizes.get(1) else 1.0
-    return fit([r[1] for r in chosen], [int(r[2]) for r in chosen], rarer)
+    sample = stratified(known, key, label, cap)
+    rows = docs.select(key, middle(text, longest).alias(text)).join(F.broadcast(sample), key)
+    unit = F.xxhash64(F.lit("toxicity"), F.col(key), F.col(text))
+    rows = rows.orderBy(unit, label).limit(4 * cap).select(text, label).collect()  # a key may stand in many rows
+    chosen = within_budget(rows, label, text, sample_chars)
+    taken = Counter(r[label] for r in chosen)
+    rarer = (sizes.get(0, 0) / max(1, taken[0])) / (sizes.get(1, 1) / max(1, taken[1])) if sizes.get(1) else 1.0
+    return fit([r[text] for r in chosen], [int(r[label]) for r in chosen], rarer)
 
 
 def score(df: DataFrame, model: ToxicityModel, text: str = "text", keep_text: bool = True) -> DataFrame:

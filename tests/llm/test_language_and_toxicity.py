@@ -1,7 +1,10 @@
 import zlib
 
+import resource
+
 import numpy as np
 
+from plain import plain_language, plain_toxicity
 from quern.llm import langid, queries, toxicity
 
 SAMPLES = {
@@ -26,6 +29,28 @@ def test_nearest_centroid():
     assert (score >= 0).all() and (score <= 1).all() and score[2] == 0
 
 
+def test_prediction_is_the_plain_one_in_any_batch_and_block():
+    rng = np.random.default_rng(4)
+    texts = [SAMPLES[k][i:] + tail for k in SAMPLES for i in range(0, 40, 3) for tail in ("", " 12!", "...")] + ["", "7", "é", "x" * 50]
+    model = langid.fit([t for t in texts if any(map(str.isalpha, t))], [k for k in SAMPLES for _ in range(42)] + ["fr", "de"])
+    for order in (np.arange(len(texts)), rng.permutation(len(texts))):
+        got = model.predict([texts[i] for i in order])
+        for i, lang, score, rejected in zip(order, *got, strict=True):
+            want = plain_language(model, texts[i])
+            assert (lang, rejected) == (want[0], want[2]) and abs(score - want[1]) < 3e-6
+    assert (langid.counts(texts, 40) == langid.counts(texts)).all() == (max(map(len, " ".join(texts).split())) < 40)
+    assert (langid.counts([" ".join(texts[:100])], 60) == langid.counts([" ".join(texts[:100])])).all()
+
+
+def test_very_long_texts_take_little_memory():
+    long = "the cat and the dog " * 1_000_000  # 20 MB
+    model = langid.fit(list(SAMPLES.values()) * 10, list(SAMPLES) * 10)
+    tox = toxicity.fit(["bad word here", "all fine now"] * 20, [1, 0] * 20)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert model.predict([long])[0] == ["en"] and 0 <= tox.scores([long])[0] <= 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 << 10
+
+
 def test_language_query(spark, sf_dir):
     rows = queries.op7_language(spark, sf_dir).collect()
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
@@ -66,6 +91,19 @@ def test_classifier_learns_words_and_stems():
     assert (model.scores(["grumbo " + "lorem " * 200_000]) >= 0.7).all()
 
 
+def test_scores_are_those_of_a_plain_forward_pass():
+    rng = np.random.default_rng(6)
+    vocabulary = ["bad", "word", "zarkfoo", "le", "les", "und", "the", "straße", "x", "a1", "und"]
+    texts = [" ".join(rng.choice(vocabulary, int(n))) for n in rng.integers(0, 30, 60)] + ["", "...", "Bad, WORD!"]
+    model = toxicity.fit(texts, [int("bad" in t) for t in texts])
+    want = [plain_toxicity(model, t) for t in texts]
+    assert np.allclose(model.scores(texts), want, atol=2e-5)
+    whole = model.logits([" ".join(texts)])
+    for block in (20, 50, 333):
+        cut = model.logits([" ".join(texts)], block)
+        assert np.allclose(cut[0], whole[0], atol=1e-5) and cut[1:][0] == whole[1]
+
+
 def test_scoring_is_the_same_in_any_batch():
     texts = ["one two three", "", "four five six seven", "x"] * 5
     model = toxicity.fit(["bad word here", "all fine now"] * 20, [1, 0] * 20)

@@ -1,5 +1,5 @@
 import random
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,32 +7,14 @@ from pyspark.sql import functions as F
 from quern.llm import linededup, mixing, queries
 from quern.llm.production import mix_weight
 
-TRIM = " \t\x0b\x0c\r"
-
-
-def plain_lines(rows, max_ratio, min_pages, share):
-    pages, holding = Counter(h for h, _ in rows), Counter()
-    for h, text in rows:
-        holding.update({(h, x.strip(TRIM)) for x in (text or "").split("\n") if x.strip(TRIM)})
-    out = []
-    for h, text in rows:
-        if text is None:
-            out.append(None)
-            continue
-        lines = text.split("\n")
-        bad = lambda x: x.strip(TRIM) and holding[h, x.strip(TRIM)] >= min_pages and holding[h, x.strip(TRIM)] > max_ratio * pages[h]
-        kept = [x for x in lines if not bad(x)]
-        lost = sum(map(len, lines)) - sum(map(len, kept))
-        out.append(text if lost > share * sum(map(len, lines)) else "\n".join(kept))
-    return out
-
+from plain import plain_lines
 
 def test_line_dedup_matches_a_plain_version(spark):
     rnd = random.Random(8)
     rows = [(rnd.choice(["h1", "h1", "h1", "h2", None]), "\n".join(rnd.choice(["menu ", "menu", "\tfooter", "", " ", *map(str, range(30))]) for _ in range(rnd.randint(1, 8)))) for _ in range(300)] + [("h1", None)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, host string, text string")
     got = [r["text"] for r in linededup.line_dedup(df, "host", max_ratio=0.2, min_pages=3).orderBy("i").collect()]
-    assert got == plain_lines(rows, 0.2, 3, 0.5)
+    assert got == plain_lines(rows, 0.2, 3)
 
 
 def test_line_dedup_without_broadcast(spark, monkeypatch):

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quern.llm import langid, mixing, production, queries
+from quern.llm import mixing, production, queries
 
+from plain import all_pairs, plain_groups, plain_language, plain_lines
 
-def test_stages(spark, sf_dir, tmp_path):
+
+def test_stages_match_plain_versions(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
     seen = []
@@ -23,25 +25,31 @@ def test_stages(spark, sf_dir, tmp_path):
         seen.append((docs, new))
         docs = new
     ids = lambda df: Counter(r["doc_id"] for r in df.select("doc_id").collect())
-    # language: exactly the rejected go
+    # language: exactly those go that the plain form of the model rejects
     before, after = seen[0]
-    got = langid.identify(before, production.language_model(before))
-    assert ids(after) == ids(got.where("NOT rejected"))
-    # lines: no document goes, texts shrink or stay
+    model = production.language_model(before)
+    told = {r["doc_id"]: plain_language(model, r["text"]) for r in before.collect()}
+    assert {r["doc_id"]: r["lang"] for r in after.collect()} == {i: lang for i, (lang, _, rejected) in told.items() if not rejected}
+    # lines: no document goes, and its lines are those of the plain version
     before, after = seen[1]
-    assert ids(before) == ids(after)
-    assert after.where(F.length("text") != F.col("n_chars")).count() == 0
-    # near duplicates: one document a group
-    from quern.llm import similar
-
+    rows = before.orderBy("doc_id").collect()
+    got = {r["doc_id"]: r for r in after.collect()}
+    for r, text in zip(rows, plain_lines([(r["source"], r["text"]) for r in rows], 0.05, 5), strict=True):
+        assert got[r["doc_id"]]["text"] == text and got[r["doc_id"]]["n_chars"] == len(text)
+    # near duplicates: the least id of each group that all pairs of 0.8 and more make
     before, after = seen[2]
-    groups = similar.near_duplicates(before.select("doc_id", "text"))
-    assert ids(after) == Counter(r[0] for r in groups.select("component_id").distinct().collect())
-    # mix: no document more than three times, the sources near their targets
+    rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
+    groups = plain_groups(all_pairs([t for _, t in rows]), len(rows))
+    assert ids(after) == Counter(rows[g][0] for g in set(groups))
+    # mix: what the mix takes, in whole documents; what a line has left over is less than one document
     before, after = seen[3]
-    mixed = {r["doc_id"]: r for r in mixing.mix(before, "doc_id", "source", "text", production.mix_weight).drop("text").collect()}
-    for i, n in ids(after).items():
-        assert n == int(mixed[i]["taken"] / mixed[i]["size"] + 0.5) <= 3
+    mixed = mixing.mix(before, "doc_id", "source", "text", production.mix_weight).collect()
+    copies, line = ids(after), Counter()
+    for r in mixed:
+        share = r["taken"] / r["size"] if r["size"] else 0
+        assert abs(copies[r["doc_id"]] - share) < 1
+        line[r["source"], r["size"].bit_length()] += copies[r["doc_id"]] - share
+    assert all(abs(v) <= 1 + 1e-6 for v in line.values()) and set(copies) <= {r["doc_id"] for r in mixed}
     # tokens: as the library has them
     before, after = seen[4]
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -53,6 +61,12 @@ def test_stages(spark, sf_dir, tmp_path):
         assert list(r["ids"]) == want and r["n_tokens"] == len(want) and r["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
 
 
+def test_stages_leave_nothing_behind_but_the_result(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda _: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert [p.name for p in tmp_path.glob("pipeline-*/*")] == ["4-bpe_encoding"]
+
+
 def test_run_is_the_same_again(spark, sf_dir):
     run = lambda: sorted((r["doc_id"], r["ids_sha256"]) for r in queries.QUERIES["pipeline"](spark, sf_dir).collect())
     first = run()

@@ -34,32 +34,40 @@ def plain_components(prints, radius):
     return [root(i) for i in range(len(prints))]
 
 
-def test_tree_finds_all_within_the_radius():
+def test_trees_find_all_within_the_radius():
     rnd = random.Random(2)
-    values = [rnd.getrandbits(16) for _ in range(400)]
-    tree = simhash.BKTree(values)
-    for q in values[:50]:
-        assert sorted(tree.within(q, 3)) == [i for i, v in enumerate(values) if (v ^ q).bit_count() <= 3]
-    assert simhash.BKTree([]).within(1, 3) == []
-
-
-def test_forest_of_dense_and_sparse_shards():
-    rnd = random.Random(3)
-    ball = lambda n, r, c: {c ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, r))) for _ in range(n)}
-    for n, r, m in ((300, 3, 1), (300, 4, 2), (400, 6, 3), (100, 12, 4), (300, 64, 1), (2, 2, 1), (1, 0, 1)):
-        values = sorted(set().union(*(ball(n, r, rnd.getrandbits(64)) for _ in range(m))))
-        want = plain_components(values, 4)
-        for right in (None, len(values) // 2):
-            links = dict(simhash.forest(values, None, 4)) if right is None else None
-            if right is not None:
-                edges = simhash.forest(values[:right], None, 4) + simhash.forest(values[right:], None, 4) + simhash.forest(values[:right], values[right:], 4)
-                sets = simhash.Forest(values)
-                at = {v: i for i, v in enumerate(values)}
-                for a, b in edges:
-                    sets.join(at[a], at[b])
-                links = dict(sets.links())
-            got = [links.get(v, v) for v in values]
-            assert [got.index(g) for g in got] == [want.index(w) for w in want]
+    values = np.array([rnd.getrandbits(16) for _ in range(400)], np.uint64)
+    shard = np.array([rnd.randrange(3) for _ in range(400)])
+    trees = simhash.BKTrees(values, shard)
+    for radius in (0, 3, 20):
+        got = sorted((q, hit) for a, b in trees.within(values[:50], radius, shard[:50]) for q, hit in zip(a.tolist(), b.tolist(), strict=True))
+        assert got == [(q, i) for q in range(50) for i in range(400) if shard[i] == shard[q] and int(values[i] ^ values[q]).bit_count() <= radius]
+    assert not list(simhash.BKTrees(np.zeros(0, np.uint64)).within(values, 3))
+
+
+def test_a_child_is_keyed_by_its_distance_and_only_edges_in_the_radius_are_followed():
+    rnd = random.Random(5)
+    values = np.array([rnd.getrandbits(64) for _ in range(2000)], np.uint64)
+    trees = simhash.BKTrees(values)
+    parent, distance = trees.edge // 65, trees.edge % 65
+    for i in range(1, 2000):
+        assert int(values[i] ^ values[parent[i]]).bit_count() == distance[i]
+    assert len(set(trees.edge.tolist())) == 2000  # no two children of a node at one distance
+    assert trees.edge[0] == -1 and (trees.edge[1:] >= 0).all()
+
+
+def test_connect_and_chains():
+    label = np.arange(6)
+    simhash.connect(label, np.array([4, 5, 1]), np.array([3, 4, 1]))
+    assert label.tolist() == [0, 1, 2, 3, 3, 3]
+    a, b = simhash.chains(label, np.array([9, 8, 7, 1, 3, 2]))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(2, 1), (3, 2)]
+
+
+def test_more_runs_for_more_fingerprints():
+    assert [simhash.run_count(n, 4, 2048) for n in (0, 10**6, 10**9, 10**11)] == [6, 6, 7, 8]
+    for blocks in (6, 7, 8):
+        assert all(m.bit_count() >= (64 // blocks) * (blocks - 4) for m in simhash.masks(4, blocks))
 
 
 def clustered(n, seed):
@@ -72,8 +80,8 @@ def test_links_join_what_is_near(spark):
     prints = sorted(set(clustered(1500, 4)))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     want = plain_components(prints, 4)
-    for shard_rows in (2048, 7):  # the second splits every larger shard
-        links = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), 4, 6, shard_rows)
+    for shard_rows, wave_bytes in ((2048, 1 << 20), (7, 1 << 20), (7, 2000)):  # the last two split every larger shard, the last in many waves
+        links = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), 4, shard_rows, wave_bytes)
         for a, b in links.collect():
             assert ((a ^ b) & (1 << 64) - 1) > 0
         roots = {r["node"]: r["root"] for r in components.components(links).collect()}
@@ -83,6 +91,13 @@ def test_links_join_what_is_near(spark):
         assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_components_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(components, "BROADCAST_LABELS", 0)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)], "a long, b long")
+    got = {r["node"]: r["root"] for r in components.components(edges).collect()}
+    assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(100, 160)} == {100}
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
