@@ -7,7 +7,6 @@ never depends on the executors that made the one before.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, langid, linededup, mixing, production, similar
+from quern.llm.common import shared_folder
 
-#: Language ID and BPE can't be said in SQL; the tests hold the pipeline against a brute-force version.
+#: Language ID and BPE can't be said in SQL; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
@@ -28,14 +28,28 @@ def _aside(docs: DataFrame, needed: list[str], stage: Callable[[DataFrame], Data
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language is rejected; ``lang`` becomes the predicted language."""
+    """Drop documents whose language is rejected; ``lang`` becomes the predicted language.
+
+    A null or empty text, or one without a letter, has no language and goes. Very long texts are
+    counted whole; equal texts fare alike; with no labelled rows nothing is learned and all goes.
+    An empty table stays empty; other columns pass, whatever their names.
+    """
     model = production.language_model(docs)
     return _aside(docs, ["doc_id", "text", "lang"], lambda d: langid.identify(d, model).where(~F.col("rejected")).withColumn("lang", F.col("lang_pred")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the boilerplate lines of each source from its documents that have a line of their own."""
-    return _aside(docs, ["doc_id", "text", "source", "n_chars"], lambda d: linededup.line_dedup(d, host="source", max_page_share=None).withColumn("n_chars", F.length("text").cast("long")))
+    """Drop the boilerplate lines of each source from its documents that have a line of their own.
+
+    Rows without a source are one site; a null text stays null; repeated rows count as pages each.
+    ``n_chars`` becomes the new length (null for a null text). An empty table stays empty; other
+    columns pass, whatever their names.
+    """
+
+    def lines(d: DataFrame) -> DataFrame:
+        return linededup.line_dedup(d, host="source").withColumn("n_chars", F.length("text").cast("long"))
+
+    return _aside(docs, ["doc_id", "text", "source", "n_chars"], lines)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by all they hold, so rows of one id and different texts are documents of
     their own, and of equal rows one stays. Rows without an id come last in a group; a row with
-    neither id nor text always stays.
+    neither id nor text always stays. Texts without a word are one group. An empty table stays empty.
     """
     blank = F.col("doc_id").isNull() & F.col("text").isNull()
     rows = docs.withColumn("__row", F.xxhash64(*docs.columns))
@@ -60,6 +74,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     What a document is taken beyond whole times is carried to the next one of its source and about
     its length (a power of two), in seeded order, so documents of any length come as often as their
     source asks for. A line of more than about 4096 documents is dealt into several by hash.
+    A document without words is never taken; rows without a source are a source of their own;
+    repeated rows are documents of their own. An empty table stays empty; other columns pass.
     """
 
     def mixed(d: DataFrame) -> DataFrame:
@@ -80,7 +96,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the text decoded from them."""
+    """Token ids of each document, with digests of the ids and of the text decoded from them.
+
+    Keeps doc_id, lang and source; any other column drops out. A null or empty text has no ids.
+    """
     return bpe.encode(docs.select("doc_id", "lang", "source", "text"), production.tokenizer_path(), keep_text=False)
 
 
@@ -94,11 +113,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the table of documents.
+
+    The stages lie below the folder the session shares. What a stage wrote is removed when the next
+    one is written; what the last one wrote is the result and stays.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs
