@@ -48,9 +48,20 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """Number of words: what the split yields, less the empty ends."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, WORD_GAP))).cast("long")
+    """Number of words of a text; null counts as empty."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
+
+
+def packed(df: DataFrame, **needed: Column) -> DataFrame:
+    """The rows of ``df`` as one column ``row`` beside the columns that an operator works with, so no names clash."""
+    whole = F.struct(*[df[c] for c in df.columns]) if df.columns else F.struct()
+    return df.select(whole.alias("row"), *[c.alias(n) for n, c in needed.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **results: Column) -> DataFrame:
+    """The rows again; ``results`` take the place of columns of their name or stand behind."""
+    old = [results[c].alias(c) if c in results else F.col("row")[c].alias(c) for c in columns]
+    return df.select(*old, *[v.alias(n) for n, v in results.items() if n not in columns])
 
 
 def slices(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:

@@ -28,7 +28,8 @@ SALTS = 32
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b); root is the component's least node."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).dropna().distinct())
+    ways = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(edges.select(F.inline(ways)).dropna().distinct())
     # a table of the neighbours that are less than the node is all the first round needs
     state = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"))
     while True:

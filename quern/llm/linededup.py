@@ -15,8 +15,8 @@ Defined results: lines are compared without white space at their ends; blank lin
 never boilerplate and stay. A null text stays null and counts as a page; pages without a
 host form one host. A line twice on a page counts once and goes twice. Repeated rows are
 pages of their own. A very long text is split whole, inside its row. An empty table gives an
-empty one. Other columns pass through; those named n_lines, n_dropped or like the working
-columns (``__host``, ``__flagged``, ``__kept``) are replaced.
+empty one. Other columns pass through, whatever their names; those named n_lines or n_dropped
+are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut
+from quern.llm.common import cut, packed, unpacked
 
 #: Found lines up to this many are broadcast (24 bytes each).
 BROADCAST_LINES = 200_000
@@ -36,31 +36,28 @@ def line_key(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float, min_pages: int) -> DataFrame:
-    """(__host, __flagged array of line hashes): the boilerplate of every host that has any."""
-    named = pages.select(_host(host).alias("__host"), F.split(F.coalesce(text, F.lit("")), "\n").alias("__lines"))
-    totals = named.groupBy("__host").agg(F.count("*").alias("__pages"))
-    keys = F.array_distinct(F.filter(F.transform("__lines", line_key), lambda k: k.isNotNull()))
-    counts = named.select("__host", F.explode(keys).alias("__key")).groupBy("__host", "__key").agg(F.count("*").alias("__n"))
-    common = counts.where(F.col("__n") >= min_pages).join(totals, "__host").where(F.col("__n") > max_ratio * F.col("__pages"))
-    return common.groupBy("__host").agg(F.collect_list("__key").alias("__flagged"))
+def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
+    """(host, flagged array of line hashes) of the pages (host, text): the boilerplate of every host that has any."""
+    named = pages.select("host", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    totals = named.groupBy("host").agg(F.count("*").alias("pages"))
+    keys = F.array_distinct(F.filter(F.transform("lines", line_key), lambda k: k.isNotNull()))
+    counts = named.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
+    common = counts.where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") > max_ratio * F.col("pages"))
+    return common.groupBy("host").agg(F.collect_list("key").alias("flagged"))
 
 
 def line_dedup(pages: DataFrame, host: str, text: str = "text", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
     """``pages`` with boilerplate lines dropped from ``text``; adds n_lines and n_dropped."""
-    flagged = cut(boilerplate(pages, host, text, max_ratio, min_pages))
-    n = flagged.agg(F.sum(F.size("__flagged"))).first()[0] or 0
+    named = F.coalesce(F.concat(F.lit("h"), pages[host].cast("string")), F.lit("none"))
+    flagged = cut(boilerplate(pages.select(named.alias("host"), pages[text].alias("text")), max_ratio, min_pages))
+    n = flagged.agg(F.sum(F.size("flagged"))).first()[0] or 0
     found = F.broadcast(flagged) if n <= BROADCAST_LINES else flagged
-    lines = F.split(F.col(text), "\n")
-    hit = lambda line: F.coalesce(F.array_contains("__flagged", line_key(line)), F.lit(False))
-    joined = pages.drop("__flagged").withColumn("__host", _host(host)).join(found, "__host", "left")
-    joined = joined.withColumn("__kept", F.when(F.col("__flagged").isNull() | F.col(text).isNull(), lines).otherwise(F.filter(lines, lambda x: ~hit(x))))
-    alone = ~F.exists("__kept", lambda x: line_key(x).isNotNull())
-    joined = joined.withColumn("__kept", F.when(alone, lines).otherwise(F.col("__kept")))
+    lines = F.split(F.col("row")[text], "\n")
+    hit = lambda line: F.coalesce(F.array_contains("flagged", line_key(line)), F.lit(False))
+    joined = packed(pages, host=named).join(found, "host", "left")
+    joined = joined.withColumn("kept", F.when(F.col("flagged").isNull(), lines).otherwise(F.filter(lines, lambda x: ~hit(x))))
+    alone = ~F.exists("kept", lambda x: line_key(x).isNotNull())
+    joined = joined.withColumn("kept", F.when(alone, lines).otherwise(F.col("kept")))
     length = lambda ls: F.greatest(F.coalesce(F.size(ls), F.lit(0)), F.lit(0)).cast("long")
-    counted = {"n_lines": length(lines), "n_dropped": length(lines) - length(F.col("__kept"))}
-    return joined.withColumns(counted | {text: F.array_join("__kept", "\n")}).drop("__host", "__flagged", "__kept")
-
-
-def _host(host: str) -> Column:
-    return F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("none"))
+    counted = {"n_lines": length(lines), "n_dropped": length(lines) - length(F.col("kept"))}
+    return unpacked(joined, pages.columns, **{text: F.array_join("kept", "\n")}, **counted)

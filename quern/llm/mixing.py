@@ -13,8 +13,10 @@ handles one row a source and at most 65536 shards more, and a window never holds
 a shard, however large a source is. More than ``max_sources`` sources raise ValueError.
 
 Defined results: a null text has no words and is never taken; null is a source of its own,
-ordered last; repeated rows are rows of their own; with no words at all every target is 0.
-Other columns pass through, except that those named like a result are replaced.
+ordered last; repeated rows are rows of their own, rows of one place follow each other by key and
+size; with no words at all every target is 0. A very long text counts whole. An empty table gives
+an empty one. Other columns pass through, whatever their names; those named size, source_size,
+target or taken are replaced.
 """
 
 from __future__ import annotations
@@ -25,9 +27,8 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quern.llm.common import cut, n_words
+from quern.llm.common import cut, n_words, packed, unpacked
 
 MAX_SHARDS = 65536
 
@@ -82,15 +83,61 @@ def _unit(key: Column, seed: int, what: str, first: int) -> Column:
     return F.conv(F.substring(digest, first, 7), 16, 10).cast("long")
 
 
-def mix(df: DataFrame, key: str, source: str, text: str, weight_of: Callable[[int, str | None], float], max_repeat: int = 3, block: int = 16, shard_words: int = 4096, seed: int = 1, max_sources: int = 50_000) -> DataFrame:
+def _shard() -> Column:
+    return F.shiftright(F.col("spread") * F.col("shards"), 28)
+
+
+def mix(
+    df: DataFrame,
+    key: str,
+    source: str,
+    text: str,
+    weight_of: Callable[[int, str | None], float],
+    max_repeat: int = 3,
+    block: int = 16,
+    shard_words: int = 4096,
+    seed: int = 1,
+    max_sources: int = 50_000,
+    keep_text: bool = True,
+) -> DataFrame:
     """Add size, source_size, target and taken (words the mix takes of the row, repeats counted).
 
     ``weight_of`` gives the weight of a source from its place in code-point order and its name.
+    Without ``keep_text`` the texts are read once, and what was counted is written for the rest.
     """
-    place = _unit(F.col(key), seed, "row", 1)
-    spread = _unit(F.col(key), seed, "shard", 1)
-    slim = cut(df.select(F.col(source).cast("string").alias("__source"), spread.alias("__spread"), n_words(F.col(text)).alias("__size")))
-    rows = slim.groupBy("__source").agg(F.sum("__size").alias("n")).limit(max_sources + 1).collect()
+    counted = {
+        "source": df[source].cast("string"),
+        "spread": _unit(df[key], seed, "shard", 1),
+        "place": _unit(df[key], seed, "row", 1),
+        "key": df[key],
+        "size": n_words(df[text]),
+    }
+    columns = [c for c in df.columns if keep_text or c != text]
+    rows = packed(df, **counted) if keep_text else cut(packed(df, **counted).withColumn("row", F.col("row").dropFields(text) if len(columns) else F.struct()))
+    slim = cut(rows.select("source", "spread", "size")) if keep_text else rows.select("source", "spread", "size")
+    plan, quota = _apportioned(slim, weight_of, max_repeat, block, shard_words, max_sources)
+
+    rows = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("shard", _shard())
+    rows = rows.join(F.broadcast(quota), F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
+    line = Window.partitionBy("source", "shard").orderBy("place", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("from", F.coalesce(F.sum("size").over(line), F.lit(0)))
+    # the shard's line of q_size words; left words from start on, beyond the end from the beginning
+    cell = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("shard").cast("string"))
+    start = F.when(F.col("q_size") > 0, _unit(cell, seed, "start", 1) % F.col("q_size")).otherwise(F.lit(0))
+    whole = F.when(F.col("q_size") > 0, F.floor(F.col("quota") / F.col("q_size"))).otherwise(F.lit(0))
+    rows = rows.withColumns({"start": start, "whole": whole, "left": F.col("quota") - whole * F.col("q_size")})
+
+    def overlap(lo: Column, hi: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.col("from") + F.col("size"), hi) - F.greatest(F.col("from"), lo))
+
+    stop = F.col("start") + F.col("left")
+    taken = F.col("whole") * F.col("size") + overlap(F.col("start"), F.least(stop, F.col("q_size"))) + overlap(F.lit(0), F.greatest(stop - F.col("q_size"), F.lit(0)))
+    return unpacked(rows, columns, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"), taken=taken.cast("long"))
+
+
+def _apportioned(slim: DataFrame, weight_of: Callable[[int, str | None], float], max_repeat: int, block: int, shard_words: int, max_sources: int) -> tuple[DataFrame, DataFrame]:
+    """The plan of each source and the quota of each of its shards, from (source, spread, size) of all rows."""
+    rows = slim.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
     if len(rows) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     rows.sort(key=lambda r: (r[0] is None, (r[0] or "").encode()))
@@ -99,14 +146,10 @@ def mix(df: DataFrame, key: str, source: str, text: str, weight_of: Callable[[in
     goal = targets(sizes, [weight_of(i, s) for i, s in enumerate(names)], max_repeat)
     blocks = sainte_lague(goal, (2 * total + block) // (2 * block))
     per_shard = max(shard_words, -(-total // MAX_SHARDS))
-    spark = df.sparkSession
-    plan = spark.createDataFrame(
-        [(s, n, g, max(1, -(-n // per_shard))) for s, n, g in zip(names, sizes, goal, strict=True)],
-        "__p_source string, source_size long, target double, __shards long",
-    )
-    shard = F.shiftright(F.col("__spread") * F.col("__shards"), 28).alias("__shard")
-    sharded = slim.join(F.broadcast(plan), F.col("__source").eqNullSafe(F.col("__p_source"))).select("__source", shard, "__size")
-    cells = sharded.groupBy("__source", "__shard").agg(F.sum("__size").alias("n")).collect()
+    spark = slim.sparkSession
+    plan = spark.createDataFrame([(s, n, g, max(1, -(-n // per_shard))) for s, n, g in zip(names, sizes, goal, strict=True)], "p_source string, source_size long, target double, shards long")
+    sharded = slim.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source"))).select("source", _shard().alias("shard"), "size")
+    cells = sharded.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()
     at = {s: i for i, s in enumerate(names)}
     by_source: list[list[tuple[int, int]]] = [[] for _ in names]
     for s, k, n in cells:
@@ -116,20 +159,4 @@ def mix(df: DataFrame, key: str, source: str, text: str, weight_of: Callable[[in
         own.sort()
         for (k, n), q in zip(own, sainte_lague([n for _, n in own], blocks[i]), strict=True):
             quotas.append((names[i], k, n, min(q * block, max_repeat * n)))
-    quota = spark.createDataFrame(quotas, T.StructType([T.StructField("__q_source", T.StringType()), T.StructField("__q_shard", T.LongType()), T.StructField("__q_size", T.LongType()), T.StructField("__quota", T.LongType())]))
-
-    rest = df.withColumns({"__source": F.col(source).cast("string"), "__spread": spread, "__place": place, "__key": F.col(key), "__size": n_words(F.col(text))})
-    rest = rest.drop("size", "source_size", "target", "taken").withColumnRenamed("__size", "size")
-    rest = rest.join(F.broadcast(plan), F.col("__source").eqNullSafe(F.col("__p_source"))).withColumn("__shard", shard)
-    rest = rest.join(F.broadcast(quota), F.col("__source").eqNullSafe(F.col("__q_source")) & (F.col("__shard") == F.col("__q_shard")))
-    line = Window.partitionBy("__source", "__shard").orderBy("__place", "__key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rest = rest.withColumn("__from", F.coalesce(F.sum("size").over(line), F.lit(0)))
-    # the shard's line of __q_size words; __left words from __start on, beyond the end from the beginning
-    cell = F.concat(F.coalesce("__source", F.lit("")), F.lit("/"), F.col("__shard").cast("string"))
-    start = F.when(F.col("__q_size") > 0, _unit(cell, seed, "start", 1) % F.col("__q_size")).otherwise(F.lit(0))
-    whole = F.when(F.col("__q_size") > 0, F.floor(F.col("__quota") / F.col("__q_size"))).otherwise(F.lit(0))
-    rest = rest.withColumns({"__start": start, "__whole": whole, "__left": F.col("__quota") - whole * F.col("__q_size")})
-    overlap = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col("__from") + F.col("size"), hi) - F.greatest(F.col("__from"), lo))
-    stop = F.col("__start") + F.col("__left")
-    taken = F.col("__whole") * F.col("size") + overlap(F.col("__start"), F.least(stop, F.col("__q_size"))) + overlap(F.lit(0), F.greatest(stop - F.col("__q_size"), F.lit(0)))
-    return rest.withColumn("taken", taken.cast("long")).drop("__source", "__spread", "__place", "__key", "__p_source", "__shards", "__shard", "__q_source", "__q_shard", "__q_size", "__quota", "__from", "__start", "__whole", "__left")
+    return plan, spark.createDataFrame(quotas, "q_source string, q_shard long, q_size long, quota long")

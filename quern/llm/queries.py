@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -60,7 +60,7 @@ FROM judged GROUP BY doc_id, source
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs, "doc_id", "source", "text", mix_weight).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, "doc_id", "source", "text", mix_weight, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 # Apportionment in SQL: seats by rounding at one divisor, then the next highest (or lowest) quotients.
@@ -124,15 +124,33 @@ DELTA_CHARS = 256
 
 
 def conversation_events(rows: DataFrame) -> DataFrame:
-    """The rows (conv_id, turn, role, text) as an event log: assistant texts come in deltas, others whole."""
+    """The rows (conv_id, turn, role, text) as the log of a chat that was written, mended and answered again.
+
+    Assistant texts come in deltas; every other one was first answered wrongly, with a turn after
+    it, and then regenerated. Of the other turns every third was sent as a draft and then edited.
+    """
     by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.select("conv_id", F.row_number().over(by_turn).alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    streamed = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / DELTA_CHARS).cast("int") - 1, F.lit(0))), lambda i: F.substring(F.col("text"), i * DELTA_CHARS + 1, F.lit(DELTA_CHARS)))
-    parts = F.when(F.col("role") == "assistant", F.concat(F.array(F.lit("")), streamed)).otherwise(F.array("text"))
-    events = rows.select("conv_id", "turn", "role", F.posexplode(parts).alias("part", "text"))
-    seq = F.col("turn").cast("long") * (1 << 31) + F.col("part")
-    kind = F.when(F.col("part") == 0, "message").otherwise("delta")
-    return events.select("conv_id", seq.alias("seq"), "turn", kind.alias("kind"), "role", "text")
+
+    def event(kind: str, text: Column, turn: Column | None = None, role: Column | None = None) -> Column:
+        turn, role = (F.col("turn") if turn is None else turn), (F.col("role") if role is None else role)
+        return F.struct(turn.alias("turn"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    last = F.greatest(F.ceil(F.length("text") / DELTA_CHARS).cast("int") - 1, F.lit(0))
+    streamed = F.transform(F.sequence(F.lit(0), last), lambda i: event("delta", F.substring(F.col("text"), i * DELTA_CHARS + 1, F.lit(DELTA_CHARS))))
+    begun = event("message", F.lit(""))
+    lost = event("message", F.lit("an answer to the wrong text"), F.col("turn") + 1, F.lit("user"))
+    again = F.array(begun, event("delta", F.lit("the wrong text")), lost, event("regenerate", F.lit(""), role=F.lit("")))
+    edited = F.array(event("message", F.lit("a draft")), event("edit", F.col("text"), role=F.lit("")))
+    assistant = F.col("role") == "assistant"
+    log = (
+        F.when(assistant & (F.col("turn") % 4 < 2), F.concat(again, streamed))
+        .when(assistant, F.concat(F.array(begun), streamed))
+        .when(F.col("turn") % 3 == 0, edited)
+        .otherwise(F.array(event("message", F.col("text"))))
+    )
+    events = rows.select("conv_id", F.col("turn").alias("of"), F.posexplode(log).alias("part", "e"))
+    return events.select("conv_id", (F.col("of").cast("long") * (1 << 31) + F.col("part")).alias("seq"), "e.*")
 
 
 @query

@@ -19,7 +19,7 @@ def odd(spark, odd_rows):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(odd_rows, "doc_id long, text string, lang string, source string, n_chars long")
-    clash = ["score", "predicted", "lang_pred", "rejected", "size", "taken", "target", "source_size", "fp", "component_id", "n_tokens", "ids", "media", "feature", "payload", "n_lines", "n_dropped", "kept", "n_words", "spans", "redacted", "n_email", "held_out", "least", "root", "node", "n"]
+    clash = ["score", "predicted", "lang_pred", "rejected", "size", "taken", "target", "source_size", "fp", "component_id", "n_tokens", "ids", "media", "feature", "payload", "n_lines", "n_dropped", "kept", "n_words", "spans", "redacted", "n_email", "held_out", "least", "root", "node", "n", "row", "host", "flagged", "key", "place", "spread", "shard", "quota", "start", "from"]
     return df.withColumns({c: F.lit("x") for c in clash})
 
 
