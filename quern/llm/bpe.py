@@ -7,9 +7,11 @@ rank wherever it stands, until no word has a pair of the table. Only the merge l
 ours; which vocabulary to use is a parameter (a ``tokenizers`` JSON file of a BPE model
 with byte-level symbols and a word end).
 
-Defined results: null and empty texts give no ids and an empty decoded text; repeated rows
-give equal rows; other columns of the input are kept, and those named like a result are
-replaced.
+Defined results: null and empty texts give no ids and an empty decoded text; of equal ranks in a
+word all are merged from the left; repeated rows give equal rows; a very long text is encoded whole,
+chunk by chunk between white space; an empty table gives an empty one. Other columns of the input
+are kept, and those named like a result are replaced. A file whose added tokens strip white space
+or need word ends raises ValueError.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ class BpeModel:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
             raise ValueError("the file must hold a plain BPE model")
+        if any(x.get(flag) for x in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens must stand for themselves alone")
         self.library = tokenizers.Tokenizer.from_file(path)
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
@@ -67,13 +71,24 @@ class BpeModel:
         self.symbols = symbols
         self.inner = np.array([self.vocab[symbols[b]] for b in range(256)], np.int64)
         self.last = np.array([self.vocab[symbols[b] + self.end] for b in range(256)], np.int64)
+        #: Chunks that need no library: Latin letters and then ASCII marks, if the file's own rules agree.
         self.simple = re.compile(r"([A-Za-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+        letters = [chr(c) for c in range(0x41, 0x100) if self.simple.fullmatch(chr(c))]
+        marks = [chr(c) for c in range(33, 127) if self.simple.fullmatch("a" + chr(c))]
+        probes = [a + b + m for a, b in zip(letters, letters[1:] + letters[:1], strict=True) for m in ("", *marks, "?!", "...")]
+        if any(self._simply(x) != self._by_library(x) for x in probes):
+            self.simple = re.compile(r"(?!)")
         self.specials = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True))) if self.special else None
 
     def pieces(self, chunk: str) -> list[bytes]:
         """The words of a chunk without white space, as bytes after normalisation."""
-        if m := self.simple.fullmatch(chunk):  # Latin letters, then ASCII marks: one word each
-            return [x.encode() for x in m.groups() if x] if chunk.islower() else [x.lower().encode() for x in m.groups() if x]
+        return self._simply(chunk) or self._by_library(chunk)
+
+    def _simply(self, chunk: str) -> list[bytes] | None:
+        m = self.simple.fullmatch(chunk)
+        return m and [x.lower().encode() for x in m.groups() if x]
+
+    def _by_library(self, chunk: str) -> list[bytes]:
         normal = self.library.normalizer.normalize_str(chunk) if self.library.normalizer else chunk
         back = self._bytes_of
         return [bytes(back[c] for c in piece) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]

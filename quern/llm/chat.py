@@ -20,8 +20,10 @@ covers assistant texts.
 
 Defined results: null texts and roles are empty; events of unknown kind raise an error; equal
 sequence numbers go by kind, role and text; an event without conversation belongs to the
-conversation null. A conversation is one row of the result, so all its text meets in one task;
-conversations themselves are spread.
+conversation null; repeated events count each; an empty log gives no rows. A very long text is
+escaped and sliced whole. Only the columns of the log are read; any others drop out, so no names
+clash. A conversation is one row of the result, so all its text meets in one task; conversations
+themselves are spread.
 """
 
 from __future__ import annotations

@@ -11,10 +11,15 @@ overlapping candidates above theirs the best one is taken.
 No labels exist for this, so the trees learn from generated examples, wanted and unwanted
 (versions, dates, prices, order numbers, words with digits), always the same ones by a seed.
 
-Offsets are code points, end exclusive. Matching is linear in a text's length. Defined
-results: null and empty texts have no spans; an added span never overlaps a base span; spans
-are ordered by start, then by kind as in KINDS. Repeated rows get equal results; other
-columns pass through.
+What the generators propose is what can be added: tokens of eight or more characters with a letter
+and a digit; after a word such as password or token and ``=`` or ``:`` also those of six without a
+digit; account, national and local phone numbers by their form; addresses with a spelled-out "at".
+
+Offsets are code points, end exclusive. Matching is linear in a text's length, so very long texts
+are read whole. Defined results: null and empty texts have no spans; an added span never overlaps
+a base span; of overlapping candidates of equal score the first by start, end and kind is taken;
+spans are ordered by start, then by kind as in KINDS. Repeated rows get equal results; an empty
+table gives an empty one. Other columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -96,7 +101,15 @@ _TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.])(?:\([0-9]{2,4}\)[\x20]?)?[0-9]{2,5}(?:[\x20./-][0-9]{2,5}){1,4}(?![0-9.])")
-_HIDDEN = re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{2,40}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{2,40}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]{2,20}){1,3}")
+_CUED = re.compile(r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_ -]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_/+=!@#$%^&*-]{6,})")
+_CUES = ("passw", "passphrase", "pwd", "secret", "token", "key")
+_HIDDEN = re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{1,40}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,40}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]{2,20}){1,3}")
+
+
+def cued(text: str) -> Iterator[re.Match]:
+    """Tokens behind a word that announces a secret."""
+    low = text.lower()
+    return _CUED.finditer(text) if any(c in low for c in _CUES) and ("=" in text or ":" in text) else iter(())
 
 
 def candidates(text: str) -> list[Span]:
@@ -112,8 +125,9 @@ def candidates(text: str) -> list[Span]:
         end = _TOKEN.match(text, m.start()).end()
         last = end
         token = text[start:end].rstrip("=-/+_") if end - start > 8 else ""
-        if 8 <= len(token) <= 512 and any(c.isalpha() for c in token):
+        if len(token) >= 8 and any(c.isalpha() for c in token):
             out.add((start, start + len(token), "secret"))
+    out.update((*m.span(1), "secret") for m in cued(text))
     for pattern, kind in ((_IBAN, "iban"), (_NATIONAL, "national_id"), (_LOCAL_PHONE, "local_phone")):
         out.update((m.start(), m.end(), kind) for m in pattern.finditer(text))
     if "at)" in text or "at]" in text:
@@ -249,9 +263,10 @@ def examples(n: int, seed: int) -> tuple[list[list[float]], list[int], list[str]
         "iban": lambda: r.choice([cue("account"), ""]) + iban(),
         "national_id": lambda: r.choice([cue("identity"), cue("identity"), ""]) + f"{r.randint(100, 899)}-{r.randint(10, 99)}-{d(4)}",
         "local_phone": lambda: cue("phone") + r.choice([lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"0{d(3)} {d(3)} {d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"0{d(3)}/{d(6)}"])(),
-        "hidden_email": lambda: f"{word()}.{word()} {r.choice(['(at)', '[at]'])} {word()} {r.choice(['(dot)', '[dot]'])} {r.choice(['com', 'org', 'net', 'de', 'fr', 'es'])}",
+        "hidden_email": lambda: f"{r.choice([word() + '.' + word(), word(), pick(lower, 1)])} {r.choice(['(at)', '[at]'])} {word()} {r.choice(['(dot)', '[dot]'])} {r.choice(['com', 'org', 'net', 'de', 'fr', 'es'])}",
     }
-    short_secret = lambda: cue("secret") + pick(lower + letters + "0123456789", r.randint(8, 20)) + d(1)
+    spoken = lambda: r.choice(CONTEXT["secret"][:5]) + r.choice(["=", ": ", ' = "']) + word().capitalize() + r.choice("!_-#$") + word() + pick(letters + "!#$%", r.randint(1, 4))
+    short_secret = lambda: spoken() if r.random() < 0.3 else cue("secret") + pick(lower + letters + "0123456789", r.randint(8, 20)) + d(1)
     plain = [
         lambda: cue("plain") + f"{d(1)}.{d(1)}.{r.randint(0, 40)}",
         lambda: f"{r.randint(1900, 2040)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}",
@@ -271,6 +286,7 @@ def examples(n: int, seed: int) -> tuple[list[list[float]], list[int], list[str]
         lambda: cue("plain") + f"{d(2)}-{d(2)}-{d(4)}",
         lambda: f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}",
         lambda: word() + d(1) + word() + d(1),
+        lambda: r.choice(CONTEXT["secret"]) + r.choice([": ", " = ", "="]) + r.choice([word() + pick(lower, 5), word() + pick(lower, 3) + "-" + word() + pick(lower, 2), pick(lower, 4) + "_" + pick(lower, 4)]),
     ]
     features, truth, kinds = [], [], []
     for i in range(n):
@@ -336,7 +352,7 @@ class Detector:
 
     def find(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans, and all spans."""
-        if not _ANY.search(text):
+        if not _ANY.search(text) and next(cued(text), None) is None:
             return [], []
         base = base_spans(text)
         return base, ordered(base + self.added(text, base))

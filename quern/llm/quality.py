@@ -12,6 +12,11 @@ statistics come to the driver. A repeated window is found by 64-bit hashes of it
 
 Defined results: null and empty texts have no words and zero counts and fail the base rules;
 ratios over nothing are 0. Without examples of both classes the list is empty and keeps all.
+Repeated rows get equal results; of conditions of equal gain the first in order of features and
+thresholds is taken, and a value at a threshold is not over it. A very long text is counted whole,
+inside its row. An empty table gives an empty one. Other columns pass through; those named like a
+statistic, base_failed, kept or a working column (``__words``, ``__lines``, ``__hashes``,
+``__windows``) are replaced.
 """
 
 from __future__ import annotations

@@ -6,14 +6,19 @@ packets with a presentation timestamp each; the first transport packet of each c
 program clock reference and marks a random-access point. Tables are repeated before every
 ``TABLES_EVERY`` elementary packets, with their checksums.
 
-Reading finds the program through its tables, checks sync bytes, table checksums and every
-identifier's continuity counter, joins the elementary packets, checks their lengths, and
-returns the payload, the timestamps and the random-access points (packet number, timestamp).
+Reading finds the first program through its tables (an entry for the network is passed over) and
+reads that program's first stream. It checks sync bytes, table checksums and every identifier's
+continuity counter, joins the elementary packets, checks their lengths, and returns the payload,
+the timestamps and the random-access points (packet number, timestamp). A packet may be sent twice
+in a row: the second one is left out. A counter may jump where the packet says so (discontinuity
+indicator). An elementary packet of length 0 reaches to the next one.
 
 Defined results: a null text is stored as an empty one; a payload is padded with zero bytes
-to a positive multiple of 64, so even the empty text has a stream. Null media read as null
-everywhere; media that break a check give the problems found and whatever payload could be
-joined. Equal texts give equal bytes. Other columns pass through.
+to a positive multiple of 64, so even the empty text has a stream; a very long text is one stream
+of many elementary packets. Null media read as null everywhere; media that break a check give the
+problems found and whatever payload could be joined. Equal texts give equal bytes, repeated rows
+equal rows; an empty table gives an empty one. Other columns pass through, those named like a result
+(media, n_bytes; what is read) are replaced.
 """
 
 from __future__ import annotations
@@ -175,18 +180,31 @@ def read(media: bytes) -> Stream:
     body = _table(a[pid == PAT_PID], PAT_PID, 0x00, s.problems)
     if not body:
         return s
-    s.program, s.pmt_pid = body[0] << 8 | body[1], (body[2] & 0x1F) << 8 | body[3]
+    entries = [body[at : at + 4] for at in range(0, len(body) - 3, 4)]
+    first = next((e for e in entries if e[0] or e[1]), None)  # program 0 is the network's
+    if first is None:
+        s.problems.append("no program")
+        return s
+    s.program, s.pmt_pid = first[0] << 8 | first[1], (first[2] & 0x1F) << 8 | first[3]
     body = _table(a[pid == s.pmt_pid], s.pmt_pid, 0x02, s.problems)
     if not body:
         return s
     at = 4 + ((body[2] & 0x0F) << 8 | body[3])
+    if at + 5 > len(body):
+        s.problems.append("no stream")
+        return s
     s.stream_type, s.es_pid = body[at], (body[at + 1] & 0x1F) << 8 | body[at + 2]
+    rows = np.zeros(0, np.int64)
     for p in (PAT_PID, s.pmt_pid, s.es_pid):
-        own = a[(pid == p) & has_payload, 3] & 0x0F
-        lost = int(((own[1:].astype(np.int16) - own[:-1]) % 16 != 1).sum())
+        rows = np.flatnonzero((pid == p) & has_payload)
+        twice = np.concatenate(([False], (a[rows[1:]] == a[rows[:-1]]).all(axis=1)))
+        twice[1:] &= ~twice[:-1]  # a third copy is an error
+        rows = rows[~twice]
+        own = a[rows, 3] & 0x0F
+        said = has_field[rows] & (a[rows, 4] > 0) & ((a[rows, 5] & 0x80) > 0)
+        lost = int(((((own[1:].astype(np.int16) - own[:-1]) % 16) != 1) & ~said[1:]).sum())
         if lost:
             s.problems.append(f"continuity of {p}: {lost}")
-    rows = np.flatnonzero((pid == s.es_pid) & has_payload)
     if not len(rows):
         s.problems.append("no elementary packets")
         return s
@@ -205,7 +223,7 @@ def read(media: bytes) -> Stream:
         if head[:3] != b"\0\0\1" or len(head) < 14:
             s.problems.append(f"start of elementary packet {k}")
             continue
-        if (head[4] << 8 | head[5]) != hi - lo - 6:
+        if (head[4] << 8 | head[5]) not in (0, hi - lo - 6):  # 0 sets no bound
             s.problems.append(f"length of elementary packet {k}")
         pts = _pts_value(head[9:14]) if head[7] & 0x80 else -1
         s.pts.append(pts)

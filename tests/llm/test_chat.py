@@ -76,3 +76,25 @@ def test_query_counts_repeated_and_null_rows(spark, tmp_path):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = queries.op10_chat(spark, sf_dir)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_the_query_folds_edits_and_regenerations(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    events = queries.conversation_events(rows)
+    kinds = {r["kind"]: r["count"] for r in events.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and min(kinds.values()) > 5
+    by_conv = {}
+    for r in events.collect():
+        by_conv.setdefault(r["conv_id"], []).append((r["seq"], r["turn"], r["kind"], r["role"], r["text"]))
+    want = {}
+    for r in sorted(rows.collect()):
+        want.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    assert {c: [m[1:] for m in plain_fold(e)] for c, e in by_conv.items()} == want
+
+
+def test_other_columns_and_very_long_texts(spark):
+    long = "ab</s>" * 500_000
+    df = spark.createDataFrame([(1, 0, 0, "message", "assistant", long, "x")], SCHEMA + ", formatted string")
+    out = chat.render(chat.reconstruct(df))
+    row = out.select(chat.parse(F.col("formatted")).alias("t"), chat.masked(F.col("formatted"), F.col("loss")).alias("m")).first()
+    assert out.columns == ["conv_id", "formatted", "loss"] and row["t"][0]["text"] == long == row["m"]
