@@ -73,7 +73,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     What a document is taken beyond whole times is carried to the next one of its source and about
     its length (a power of two), in seeded order, so documents of any length come as often as their
-    source asks for. A line of more than about 4096 documents is dealt into several by hash.
+    source asks for. A line of more than about 256 documents is dealt into several by hash.
     A document without words is never taken; rows without a source are a source of their own;
     repeated rows are documents of their own. An empty table stays empty; other columns pass.
     """
@@ -84,7 +84,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         share = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size") * (1 << 32))).otherwise(F.lit(0)).cast("long")
         order = F.xxhash64(F.lit("copies"), "doc_id", "text")
         length = F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(F.lit(0)).cast("int")
-        n = F.ceil(F.col("source_size") / F.pow(F.lit(2.0), "__length") / 4096)
+        n = F.ceil(F.col("source_size") / F.pow(F.lit(2.0), "__length") / 256)
         d = d.withColumns({"__share": share, "__order": order, "__length": length}).withColumn("__line", F.pmod(F.xxhash64("__order"), F.greatest(n, F.lit(1)).cast("long")))
         start = F.pmod(F.xxhash64(F.lit("start"), "source", "__length", "__line"), F.lit(1 << 32))
         before = Window.partitionBy("source", "__length", "__line").orderBy("__order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
