@@ -8,7 +8,7 @@ import warnings
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import lexical
@@ -18,8 +18,19 @@ PARTS = ["chunks", "embeddings", "index/postings", "index/terms", "index/fields"
 
 
 def row_digest(df: DataFrame) -> DataFrame:
-    """One row (rows, digest): a SHA-256 over the count and the sum of row hashes, in any order."""
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    """One row (rows, digest): a SHA-256 over the count and the sums of row hashes, in any order.
+
+    A row is its cells in order of their names, each as name, length and text (JSON for what is
+    no string, whole number or boolean), or as name and a dash where it is null.
+    """
+
+    def cell(name: str) -> Column:
+        plain = df.schema[name].dataType.typeName() in ("string", "byte", "short", "integer", "long", "boolean")
+        value = F.col(name).cast("string") if plain else F.to_json(F.struct(name))
+        told = F.concat(F.lit(f"{name}="), F.length(value).cast("string"), F.lit(":"), value)
+        return F.coalesce(told, F.lit(f"{name}=-"))
+
+    row = F.sha2(F.concat(*map(cell, sorted(df.columns))), 256)
     part = lambda at: F.sum(F.conv(F.substring(row, at, 8), 16, 10).cast("decimal(38,0)"))
     sums = df.agg(F.count("*").alias("rows"), *[part(1 + 8 * i).alias(f"s{i}") for i in range(4)])
     return sums.select("rows", F.sha2(F.concat_ws(":", "rows", *[F.coalesce(F.col(f"s{i}").cast("string"), F.lit("0")) for i in range(4)]), 256).alias("digest"))
@@ -74,7 +85,8 @@ class Bundle:
 
     def info(self, spark: SparkSession) -> DataFrame:
         """The manifest as one row."""
-        return spark.read.json(spark.createDataFrame([(json.dumps(self.manifest),)], "value string").rdd.map(lambda r: r[0]))
+        told = F.lit(json.dumps(self.manifest))
+        return spark.range(1).select(F.from_json(told, F.schema_of_json(told)).alias("m")).select("m.*")
 
 
 def read_manifest(spark: SparkSession, folder: str) -> dict:

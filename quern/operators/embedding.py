@@ -25,8 +25,8 @@ def hashing_model(dim: int = 64) -> Model:
         out = np.zeros((len(texts), dim), np.float32)
         for i, text in enumerate(texts):
             for token in re.findall(r"[a-zA-Z0-9_#]+", text.lower()):
-                h = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
-                out[i, h % dim] += 1 if h >> 63 else -1
+                h = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
+                out[i, int(h[:8], 16) % dim] += 1 if h[8] > "7" else -1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return embed

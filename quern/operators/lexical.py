@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import expand, query_words, substring_hits, tokenize
 
+#: Saturation, length norm, and the share of the mean idf that very common terms get.
 K1, B, EPSILON = 2.0, 0.7, 0.25
 #: What a match in a field weighs.
 FIELD_WEIGHTS = {"text": 1.0, "title": 3.0, "heading": 2.0, "file_path": 2.5}
@@ -16,11 +17,19 @@ FIELD_WEIGHTS = {"text": 1.0, "title": 3.0, "heading": 2.0, "file_path": 2.5}
 
 @dataclass
 class LexicalIndex:
-    """``postings``: field, term, id, tf, impact; ``terms``: field, term, df, idf; ``fields``: field, n, avgdl, weight."""
+    """``postings``: field, term, id, tf, impact; ``terms``: field, term, df, idf; ``fields``: field, n, avgdl, weight.
+
+    ``counted`` is what a fresh index keeps of the texts; :meth:`release` gives it up.
+    """
 
     postings: DataFrame
     terms: DataFrame
     fields: DataFrame
+    counted: DataFrame | None = None
+
+    def release(self) -> None:
+        if self.counted is not None:
+            self.counted.unpersist()
 
     def save(self, folder: str) -> None:
         """Postings are clustered by term, so a query reads the few row groups of its terms."""
@@ -38,23 +47,31 @@ def file_path_field(file: Column) -> Column:
 
 
 def build_index(docs: DataFrame, fields: dict[str, Column], weights: dict[str, float] | None = None) -> LexicalIndex:
-    """Index the fields of rows with a unique ``id``; a field without a weight weighs 1."""
+    """Index the fields of rows with a unique ``id``; a field without a weight weighs 1.
+
+    The texts are read once: what was counted of them is kept (on disk and in memory) while the
+    session needs it, and all else is derived from that.
+    """
     weights = weights or {}
     of = F.array(*[F.struct(F.lit(name).alias("field"), tokenize(column).alias("tokens")) for name, column in fields.items()])
     rows = docs.select("id", F.explode(of).alias("f")).select("id", "f.field", "f.tokens", F.size("f.tokens").alias("dl"))
+    counted = rows.select("field", "id", "dl", F.explode("tokens").alias("term")).groupBy("field", "term", "id").agg(F.min("dl").alias("dl"), F.count("*").alias("tf"))
+    counted = counted.persist()
+    n = docs.select("id").count()
     given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else None
     weight = F.coalesce(F.try_element_at(given, F.col("field")), F.lit(1.0)) if given is not None else F.lit(1.0)
-    stats = rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("weight", weight)
-    tf = rows.select("field", "id", "dl", F.explode("tokens").alias("term")).groupBy("field", "term", "id").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
-    df = tf.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(stats), "field")
+    every = docs.sparkSession.createDataFrame([(name,) for name in fields] if n else [], "field string")
+    lengths = counted.groupBy("field").agg(F.sum("tf").alias("total"))
+    avgdl = F.coalesce(F.col("total"), F.lit(0)) / max(n, 1)
+    stats = every.join(lengths, "field", "left").select("field", F.lit(n).cast("long").alias("n"), avgdl.alias("avgdl"), weight.alias("weight"))
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    terms = df.withColumn("raw", raw)
+    terms = counted.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(stats), "field").withColumn("raw", raw)
     floor = terms.groupBy("field").agg((F.avg("raw") * EPSILON).alias("floor"))  # one row a field
     terms = terms.join(F.broadcast(floor), "field").select("field", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     length = 1 - B + B * F.try_divide(F.col("dl"), F.col("avgdl"))
     impact = F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    postings = tf.join(terms, ["field", "term"]).join(F.broadcast(stats), "field").select("field", "term", "id", "tf", impact.alias("impact"))
-    return LexicalIndex(postings, terms, stats)
+    postings = counted.join(terms, ["field", "term"]).join(F.broadcast(stats), "field").select("field", "term", "id", "tf", impact.alias("impact"))
+    return LexicalIndex(postings, terms, stats, counted)
 
 
 def scores(index: LexicalIndex, queries: DataFrame, at_least: DataFrame | None = None) -> DataFrame:
@@ -85,12 +102,6 @@ def top(found: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return placed.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def all_scores(index: LexicalIndex, queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """As :func:`scores`, with 0 for all other rows: every query meets every row."""
-    every = docs.select("id").crossJoin(queries.select("query_id"))
-    return every.join(scores(index, queries), ["query_id", "id"], "left").withColumn("kw", F.coalesce("kw", F.lit(0.0)))
-
-
 def fallback(text: Column, query: Column) -> Column:
     """Without an index: how many distinct words of the query occur in the lower-case text."""
     return substring_hits(F.lower(text), query_words(query)).cast("double")

@@ -8,18 +8,27 @@ beside the corpus and is broadcast against it row by row; its size is checked.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.text import query_words, substring_hits
 from quern.functions.vectors import similarity
 from quern.operators import lexical
 
+#: What a word in a title or among the siblings adds; shares of the two scores.
 TITLE_BOOST, CLUSTER_BOOST = 0.05, 0.03
 VECTOR_SHARE, KEYWORD_SHARE = 0.6, 0.4
 MAX_QUERIES = 100_000
+#: Bytes of query vectors that are broadcast at most.
+MAX_QUERY_BYTES = 1 << 28
+#: Queries that are multiplied with a batch of rows at a time.
+QUERIES_AT_ONCE = 512
 MODES = ("hybrid", "vector", "keyword")
 FIELDS = ["id", "score", "publication", "file", "heading", "title", "product_area", "last_updated", "canonical_url", "is_code", "text"]
 
@@ -81,9 +90,95 @@ def with_scores(pairs: DataFrame, o: Options, clusters: bool = True) -> DataFram
     return out.withColumn("boosted", F.col("vec") + F.col("tb") + sibling).drop("embedding", "norm", "__vector", "vec")
 
 
-def scored(chunks: DataFrame, queries: DataFrame, o: Options, clusters: bool = True) -> DataFrame:
-    """Every row of ``chunks`` with every query and its scores."""
-    return with_scores(chunks.crossJoin(F.broadcast(prepared(queries))), o, clusters)
+class Boosts:
+    """Counts the words of many queries in many short texts: each distinct word is looked up once a batch."""
+
+    def __init__(self, words: list[list[str]]):
+        self.words = sorted({w for ws in words for w in ws})
+        at = {w: i for i, w in enumerate(self.words)}
+        self.of = [np.array([at[w] for w in ws], np.int64) for ws in words]
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """How many words of each query (columns) stand in each text (rows)."""
+        plain = [(x or "").replace("\n", " ") for x in texts]  # no word holds white space
+        joined, ends = "\n".join(plain), np.cumsum([len(x) + 1 for x in plain])
+        found = np.zeros((len(texts), len(self.words)), bool)
+        for k, w in enumerate(self.words):
+            places, at = [], joined.find(w)
+            while at >= 0:
+                row = int(np.searchsorted(ends, at, "right"))
+                places.append(row)
+                at = joined.find(w, int(ends[row]))
+            found[places, k] = True
+        return np.stack([found[:, o].sum(axis=1) for o in self.of], axis=1).astype(float) if self.of else np.zeros((len(texts), 0))
+
+
+def _first(score: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Places of the first ``n`` by score, then by ``place``."""
+    if len(score) > n:
+        least = np.partition(score, len(score) - n)[len(score) - n]
+        kept = np.flatnonzero(score >= least)  # with all that tie for the last places
+    else:
+        kept = np.arange(len(score))
+    return kept[np.lexsort((place[kept], -score[kept]))[:n]]
+
+
+def nearest(chunks: DataFrame, queries: DataFrame, n: int, o: Options, clusters: bool = True) -> DataFrame:
+    """(query_id, id): the first ``n`` rows of each query by boosted vector score, by a product of blocks.
+
+    Each task multiplies blocks of its rows with all queries and keeps the first n of each query, and
+    only those are shuffled. Rows without a vector don't take part.
+    """
+    asked = prepared(queries).collect()
+    if sum(len(r["__vector"] or []) for r in asked) * 8 > MAX_QUERY_BYTES:
+        raise ValueError("the vectors of the queries take too much memory")
+    shared = chunks.sparkSession.sparkContext.broadcast([(r["__words"], r["__vector"]) for r in asked])
+    ids = [r["query_id"] for r in asked]
+    tags = clusters and "cluster_tags" in chunks.columns
+    title = F.lower("title") if o.case_insensitive_titles else F.col("title")
+    rows = chunks.where(F.col("embedding").isNotNull()).select("id", F.col("ordinal").cast("long").alias("ordinal"), "embedding", F.col("norm").cast("double").alias("norm"), title.alias("title"), *(["cluster_tags"] if tags else []))
+    schema = T.StructType([T.StructField("__q", T.IntegerType()), rows.schema["id"], T.StructField("ordinal", T.LongType()), T.StructField("__s", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = shared.value
+        boosts = Boosts([ws for ws, _ in told])
+        vectors = np.array([v for _, v in told], float)
+        held: list = [None] * len(told)  # for each query scores, places and ids of its first n so far
+        for batch in batches:
+            size = batch.num_rows
+            if not size or not told:
+                continue
+            e = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(size, -1)
+            length = np.maximum(batch.column("norm").to_numpy(zero_copy_only=False), 1e-9)
+            extra = boosts.counts(batch.column("title").to_pylist()) * TITLE_BOOST
+            if tags:
+                extra = extra + boosts.counts(batch.column("cluster_tags").to_pylist()) * CLUSTER_BOOST
+            place = batch.column("ordinal").to_numpy()
+            for lo in range(0, len(told), QUERIES_AT_ONCE):
+                score = np.round(e @ vectors[lo : lo + QUERIES_AT_ONCE].T / length[:, None] + extra[:, lo : lo + QUERIES_AT_ONCE], 6)
+                for k in range(score.shape[1]):
+                    best = _first(score[:, k], place, n)
+                    mine = score[best, k], place[best], batch.column("id").take(pa.array(best))
+                    if held[lo + k] is not None:
+                        old = held[lo + k]
+                        s, p, i = np.concatenate((old[0], mine[0])), np.concatenate((old[1], mine[1])), pa.concat_arrays([old[2], mine[2]])
+                        best = _first(s, p, n)
+                        mine = s[best], p[best], i.take(pa.array(best))
+                    held[lo + k] = mine
+        for q, mine in enumerate(held):
+            if mine is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine[0]), q, np.int32)), mine[2], pa.array(mine[1]), pa.array(mine[0])], names=["__q", "id", "ordinal", "__s"])
+
+    found = rows.mapInArrow(run, schema)
+    by = Window.partitionBy("__q").orderBy(F.col("__s").desc(), "ordinal")
+    first = found.withColumn("__k", F.row_number().over(by)).where(F.col("__k") <= n)
+    names = chunks.sparkSession.createDataFrame(list(enumerate(ids)), T.StructType([T.StructField("__q", T.IntegerType()), queries.schema["query_id"]]))
+    return first.join(F.broadcast(names), "__q").select("query_id", "id")
+
+
+def scored_pairs(keys: DataFrame, chunks: DataFrame, queries: DataFrame, o: Options, clusters: bool = True) -> DataFrame:
+    """The pairs ``keys`` (query_id, id, ...) with the fields of their rows and their scores."""
+    return with_scores(keys.join(chunks, "id").join(F.broadcast(prepared(queries)), "query_id"), o, clusters)
 
 
 def order(score: str) -> list[Column]:
@@ -106,21 +201,23 @@ def pool_size(top_k: int) -> int:
 def pool(chunks: DataFrame, queries: DataFrame, index: lexical.LexicalIndex | None, o: Options) -> DataFrame:
     """Scored rows among the first by boosted vector score or by keyword score, with ``kw``.
 
-    The scan for the vector side keeps the first rows of each task and shuffles only those; the
-    keyword side comes from the index alone. Scores are joined to the pooled rows, never to all
-    pairs. Without an index the keyword score is counted in the same scan.
+    The vector side is one scan of the vectors, the keyword side comes from the index alone; both meet
+    in one aggregation by query and row, and only pooled rows are joined to the rest of their
+    fields. Without an index the keyword score is counted in a scan that keeps the first rows.
     """
     n = pool_size(o.top_k)
-    asked = F.broadcast(prepared(queries))
-    rows = with_scores(chunks.crossJoin(asked), o)
+    near = nearest(chunks, queries, n, o).select("query_id", "id", F.lit(None).cast("double").alias("kw"), F.lit(True).alias("in"))
     if index is None:
-        rows = rows.withColumn("kw", lexical.fallback(F.col("text"), F.col("query")))
-        both = best(rows, "boosted", n).drop("rank").unionByName(best(rows, "kw", n).drop("rank"))
-        return both.dropDuplicates(["query_id", "id"])
+        rows = chunks.select("id", "ordinal", "text").crossJoin(F.broadcast(prepared(queries)))
+        rows = best(rows.withColumn("kw", lexical.fallback(F.col("text"), F.col("query"))), "kw", n)
+        keys = near.select("query_id", "id").union(rows.select("query_id", "id")).distinct()
+        pairs = scored_pairs(keys, chunks, queries, o)
+        return pairs.withColumn("kw", lexical.fallback(F.col("text"), F.col("query")))
     found = lexical.scores(index, queries, lexical.first_rows(chunks, queries, n))
-    keys = best(rows, "boosted", n).select("query_id", "id").union(lexical.top(found, chunks, n).select("query_id", "id")).distinct()
-    pairs = with_scores(keys.join(chunks, "id").join(asked, "query_id"), o)
-    return pairs.join(found, ["query_id", "id"], "left").withColumn("kw", F.coalesce("kw", F.lit(0.0)))
+    place = found.join(chunks.select("id", "ordinal"), "id")
+    told = ranked(place, "kw", "k").select("query_id", "id", "kw", (F.col("k") <= n).alias("in"))
+    keys = near.union(told).groupBy("query_id", "id").agg(F.coalesce(F.max("kw"), F.lit(0.0)).alias("kw"), F.max("in").alias("in")).where("in").drop("in")
+    return scored_pairs(keys, chunks, queries, o)
 
 
 def fused(df: DataFrame, mode: str) -> DataFrame:
@@ -132,32 +229,35 @@ def fused(df: DataFrame, mode: str) -> DataFrame:
 
 
 def diverse(pooled: DataFrame, top_k: int, alpha: float = 0.5) -> DataFrame:
-    """Greedy choice of (query_id, id, file, heading, score, rank): score against repetition.
+    """Greedy choice among the rows (query_id, id, file, heading, score, rank, ...): score against repetition.
 
     The k-th choice weighs score and novelty by exp(-alpha (k - 1)); novelty is 0 for a chosen
     file and heading, a half for another heading of a chosen file, else 1. A pool of no more
-    than ``top_k`` rows stays as it is. The result's rank is the order of choice.
+    than ``top_k`` rows stays as it is, and so does that of a query without words, where a column
+    ``__words`` tells. The result's rank is the order of choice; a row keeps its other columns.
     """
-    item = F.struct("rank", F.round("score", 6).alias("score"), "file", "heading", "id")
-    pools = pooled.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("p"))
+    rest = [c for c in pooled.columns if c not in ("query_id", "rank", "__words")]
+    worded = F.max(F.size("__words")) > 0 if "__words" in pooled.columns else F.lit(True)
+    item = F.struct("rank", F.round("score", 6).alias("__score"), F.struct(*rest).alias("row"))
+    pools = pooled.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("p"), worded.alias("worded"))
 
     def step(chosen: Column, k: Column) -> Column:
         lam = F.exp(-F.lit(alpha) * (k - 1))
 
         def worth(x: Column) -> Column:
-            same = F.exists(chosen, lambda c: (c["file"] == x["file"]) & (c["heading"] == x["heading"]))
-            near = F.exists(chosen, lambda c: c["file"] == x["file"])
+            same = F.exists(chosen, lambda c: (c["row"]["file"] == x["row"]["file"]) & (c["row"]["heading"] == x["row"]["heading"]))
+            near = F.exists(chosen, lambda c: c["row"]["file"] == x["row"]["file"])
             novelty = F.when(same, F.lit(0.0)).when(near, F.lit(0.5)).otherwise(F.lit(1.0))
-            return F.round(lam * x["score"] + (1 - lam) * novelty, 12)
+            return F.round(lam * x["__score"] + (1 - lam) * novelty, 12)
 
         left = F.filter(F.col("p"), lambda x: ~F.exists(chosen, lambda c: c["rank"] == x["rank"]))
         judged = F.filter(F.transform(left, lambda x: F.struct((-worth(x)).alias("w"), x["rank"].alias("r"), x.alias("x"))), lambda j: j["w"] < 1)
-        nxt = F.get(F.array_sort(judged), F.lit(0))
+        nxt = F.array_min(judged)  # ranks differ, so the rest of the row is never compared
         return F.when(nxt.isNull(), chosen).otherwise(F.concat(chosen, F.array(nxt["x"])))
 
     greedy = F.aggregate(F.sequence(F.lit(2), F.lit(max(2, top_k))), F.slice("p", 1, 1), step)
-    chosen = F.when((F.size("p") > top_k) & F.lit(top_k > 1), greedy).otherwise(F.col("p"))
-    return pools.select("query_id", F.posexplode(chosen).alias("k", "x")).select("query_id", F.col("x.id").alias("id"), (F.col("k") + 1).alias("rank"))
+    chosen = F.when(F.col("worded") & (F.size("p") > top_k) & F.lit(top_k > 1), greedy).otherwise(F.col("p"))
+    return pools.select("query_id", F.posexplode(chosen).alias("k", "x")).select("query_id", (F.col("k") + 1).alias("rank"), "x.row.*")
 
 
 def collect(df: DataFrame, top_k: int, min_score: float) -> DataFrame:
@@ -171,14 +271,11 @@ def search(chunks: DataFrame, queries: DataFrame, index: lexical.LexicalIndex |
     chosen_rows = filtered(chunks, o)
     if o.mode == "vector":
         n = o.candidate_k or o.top_k
-        hits = best(scored(chosen_rows, queries, o).withColumn("score", F.col("boosted")), "score", n)
-        return _fields(collect(hits, n, o.min_score))
+        hits = scored_pairs(nearest(chosen_rows, queries, n, o), chosen_rows, queries, o).withColumn("score", F.col("boosted"))
+        return _fields(collect(ranked(hits, "score"), n, o.min_score))
     pooled = ranked(fused(pool(chosen_rows, queries, index, o), o.mode), "score")
     if o.mode == "hybrid" and o.top_k > 1:
-        worded = pooled.where(F.size("__words") > 0)
-        chosen = diverse(worded, o.top_k)
-        picked = worded.drop("rank").join(chosen, ["query_id", "id"])
-        pooled = picked.unionByName(pooled.where(F.size("__words") == 0))
+        pooled = diverse(pooled.select("query_id", "rank", "__words", *[c for c in FIELDS if c in pooled.columns]), o.top_k)
     return _fields(collect(pooled, o.top_k, o.min_score))
 
 
@@ -187,15 +284,45 @@ def _fields(hits: DataFrame) -> DataFrame:
 
 
 def evaluate_search(chunks: DataFrame, queries: DataFrame, index: lexical.LexicalIndex | None, top_k: int = 10, mode: str = "vector", dim: int | None = None) -> DataFrame:
-    """The evaluator's own ranking: whole corpus, no sibling boost, no pool, no diversity."""
+    """The evaluator's own ranking: whole corpus, no sibling boost, no pool, no diversity.
+
+    A hit either has a term of the query, and then the index names it, or is among the first
+    ``top_k`` by what it scores without one, which each task keeps. So no query meets every row
+    in a shuffle. (A term's weight is negative only where most terms stand in most rows.)
+    """
     if mode != "vector" and index is None:
         raise ValueError(f"mode {mode} needs a lexical index")
-    rows = scored(chunks, queries, Options(dim=dim), clusters=False)
-    if mode != "vector":
-        rows = rows.join(lexical.scores(index, queries), ["query_id", "id"], "left").withColumn("kw", F.coalesce("kw", F.lit(0.0)))
-        top = F.max("kw").over(Window.partitionBy("query_id"))
-        share = F.when(top > 0, F.col("kw") / top).otherwise(F.col("kw"))
-        rows = rows.withColumn("score", F.col("kw") + F.col("tb") if mode == "keyword" else VECTOR_SHARE * F.col("boosted") + KEYWORD_SHARE * share)
+    o = Options(dim=dim)
+    if mode == "vector":
+        rows = scored_pairs(nearest(chunks, queries, top_k, o, clusters=False), chunks, queries, o, clusters=False).withColumn("score", F.col("boosted"))
+        return _fields(best(rows, "score", top_k))
+    found = lexical.scores(index, queries).join(chunks.select("id"), "id", "left_semi")
+    if mode == "keyword":
+        # no vector counts here; without a term a row scores its title boost
+        asked = F.broadcast(prepared(queries))
+        titles = chunks.select("id", "ordinal", "title").crossJoin(asked)
+        plain = best(titles.withColumn("tb", title_boost(F.col("title"), F.col("__words"))), "tb", top_k).select("query_id", "id")
+        found = _within_reach(found, queries, top_k)
     else:
-        rows = rows.withColumn("score", F.col("boosted"))
-    return _fields(best(rows, "score", top_k))
+        plain = nearest(chunks, queries, top_k, o, clusters=False)
+    keys = plain.withColumn("kw", F.lit(0.0)).union(found.select("query_id", "id", "kw")).groupBy("query_id", "id").agg(F.max("kw").alias("kw"))
+    if mode == "keyword":
+        pairs = keys.join(chunks.drop("embedding", "norm"), "id").join(asked, "query_id")
+        return _fields(best(pairs.withColumn("score", F.col("kw") + title_boost(F.col("title"), F.col("__words"))), "score", top_k))
+    top = found.groupBy("query_id").agg(F.max("kw").alias("top"))  # one row a query
+    rows = scored_pairs(keys, chunks, queries, o, clusters=False).join(F.broadcast(top), "query_id", "left")
+    share = F.when(F.col("top") > 0, F.col("kw") / F.col("top")).otherwise(F.col("kw"))
+    return _fields(best(rows.withColumn("score", VECTOR_SHARE * F.col("boosted") + KEYWORD_SHARE * share), "score", top_k))
+
+
+def _within_reach(found: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+    """Keyword scores that the title boost can still lift among the first ``top_k``: at least the k-th best less all of it."""
+    kth = Window.partitionBy("query_id").orderBy(F.col("kw").desc())
+    limit = found.withColumn("k", F.row_number().over(kth)).where(F.col("k") <= top_k).groupBy("query_id").agg(F.min("kw").alias("kth"), F.count("*").alias("n"))
+    boost = queries.select("query_id", (F.size(query_words(F.col("query"))) * TITLE_BOOST + 1e-6).alias("boost"))
+    least = limit.join(boost, "query_id").select("query_id", F.when(F.col("n") >= top_k, F.col("kth") - F.col("boost")).alias("least"))
+    return found.join(F.broadcast(least), "query_id").where(F.col("least").isNull() | (F.col("kw") >= F.col("least"))).select("query_id", "id", "kw")
+
+
+def _fields(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "rank", *[c for c in FIELDS if c in hits.columns])

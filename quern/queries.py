@@ -8,15 +8,16 @@ queries. Every query runs over its whole tables; limits are top-k.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as t
 from quern.functions import sql, urls, vectors
 from quern.operators import bundle, catalog, chunking, embedding, evaluation, lexical, ranking, rerank, web
-from quern.session import spread, table
+from quern.session import spread, table, working_folder
 from quern.sources import corpus, golden
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,27 +83,43 @@ def markdown(spark: SparkSession, sf: str) -> DataFrame:
     return every.select(F.concat(F.lit("talk"), (F.col("conv_id") % 3).cast("string")).alias("publication"), F.concat(F.lit("c/"), number, F.lit(".md")).alias("file"), F.concat(head, "b").alias("text"))
 
 
-_INDEXES: dict[tuple[str, str, str], lexical.LexicalIndex] = {}
+def _written(spark: SparkSession, sf: str, kind: str, write: Callable[[str], object]) -> str:
+    """A folder below the shared one with what ``write`` makes of the tables of ``sf``, as they are now.
 
+    It is written once for a state of the tables (names, sizes, times) and then opened, as a bundle is.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in store.listStatus(path))
+    folder = f"{working_folder(spark)}/quern-{kind}-{hashlib.sha256(chr(10).join(state).encode()).hexdigest()[:16]}"
+    if not bundle.exists(spark, f"{folder}-done"):
+        write(folder)
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}-done")
+        done.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(done)
+    return folder
 
-def _kept(spark: SparkSession, sf: str, kind: str, build: Callable[[], lexical.LexicalIndex]) -> lexical.LexicalIndex:
-    """An index is built once a session and folder, as a bundle is opened once; its tables are cached."""
-    key = (spark.sparkContext.applicationId, sf, kind)
-    if key not in _INDEXES:
-        index = build()
-        for part in (index.postings, index.terms, index.fields):
-            part.persist()
-        _INDEXES[key] = index
-    return _INDEXES[key]
+
+def _index(spark: SparkSession, sf: str, kind: str, fields: dict[str, Column], weights: dict[str, float] | None = None) -> lexical.LexicalIndex:
+    def write(folder: str) -> None:
+        index = lexical.build_index(doc_chunks(spark, sf), fields, weights)
+        index.save(folder)
+        index.release()
+
+    return lexical.LexicalIndex.load(spark, _written(spark, sf, kind, write))
 
 
 def doc_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
-    return _kept(spark, sf, "text", lambda: lexical.build_index(doc_chunks(spark, sf), {"text": F.col("text")}))
+    return _index(spark, sf, "text-index", {"text": F.col("text")})
 
 
 def fielded_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
     fields = {"text": F.col("text"), "title": F.col("title"), "heading": F.col("heading"), "file_path": lexical.file_path_field(F.col("file"))}
-    return _kept(spark, sf, "fields", lambda: lexical.build_index(doc_chunks(spark, sf), fields, lexical.FIELD_WEIGHTS))
+    return _index(spark, sf, "fielded-index", fields, lexical.FIELD_WEIGHTS)
+
+
+def mirror(spark: SparkSession, sf: str) -> corpus.LocalSource:
+    """The markdown files, as files."""
+    return corpus.LocalSource(spark, _written(spark, sf, "mirror", lambda folder: corpus.write_mirror(markdown(spark, sf), folder if ":" in folder else f"file://{folder}")))
 
 
 C = r"""chunks AS (
@@ -207,11 +224,13 @@ def bm25_fielded_topk(spark, sf):
     return _top(fielded_index(spark, sf), spark, sf)
 
 
-@query(f"""WITH {C}, {Q}, {WORDS} SELECT query_id, id, len(list_filter(ws, lambda w: contains(lower(text), w))) AS hits
-FROM chunks CROSS JOIN words WHERE len(list_filter(ws, lambda w: contains(lower(text), w))) > 0""")
+@query(f"""WITH {C}, {Q}, {WORDS} SELECT query_id, rank, id, hits FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, ordinal) AS rank FROM (
+    SELECT query_id, id, ordinal, len(list_filter(ws, lambda w: contains(lower(text), w))) AS hits FROM chunks CROSS JOIN words)) WHERE rank <= 20 AND hits > 0""")
 def kw_fallback_count(spark, sf):
-    pairs = doc_chunks(spark, sf).crossJoin(F.broadcast(asked(spark, sf)))
-    return pairs.select("query_id", "id", lexical.fallback(F.col("text"), F.col("query")).cast("long").alias("hits")).where("hits > 0")
+    pairs = doc_chunks(spark, sf).select("id", "ordinal", "text").crossJoin(F.broadcast(ranking.prepared(asked(spark, sf))))
+    counted = pairs.select("query_id", "id", "ordinal", lexical.fallback(F.col("text"), F.col("query")).alias("hits"))
+    return ranking.best(counted, "hits", 20).where("hits > 0").select("query_id", "rank", "id", F.col("hits").cast("long").alias("hits"))
 
 
 # Vector operators
@@ -262,31 +281,49 @@ def l2_normalize(spark, sf):
 @query(r"""SELECT label, i, round(sum(x) / count(*), 6) AS mean FROM (
   SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE vec_id % 3 <> 0) GROUP BY label, i""")
 def mean_pool(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("e"), F.when(F.col("vec_id") % 3 != 0, 1).otherwise(0).alias("m"))
-    pooled = e.groupBy("label").agg(F.collect_list(F.struct("e", "m")).alias("x"))
+    e = table(spark, sf, "embeddings").where("vec_id % 3 <> 0").select("label", F.posexplode("embedding").alias("i", "x"))
+    return e.groupBy("label", F.col("i").cast("long").alias("i")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+@query(r"""SELECT vec_id // 4 AS part, i, round(sum(x) / count(*), 6) AS mean FROM (
+  SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE vec_id % 4 <> 3) GROUP BY ALL""")
+def token_pool(spark, sf):
+    """Pooling as a model does it: a few token vectors and their mask in one row."""
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("part"), F.col("embedding").cast("array<double>").alias("e"), F.when(F.col("vec_id") % 4 != 3, 1).otherwise(0).alias("m"))
+    four = e.groupBy("part").agg(F.collect_list(F.struct("e", "m")).alias("x")).where(F.exists("x", lambda x: x["m"] == 1))
     mean = vectors.mean_pool(F.transform("x", lambda x: x["e"]), F.transform("x", lambda x: x["m"]))
-    return pooled.select("label", F.posexplode(mean).alias("i", "v")).select("label", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("mean"))
+    return four.select("part", F.posexplode(mean).alias("i", "v")).select("part", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("mean"))
 
 
-@query()
+@query(r"""WITH toks AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9_#]+'))) AS h FROM documents),
+cells AS (SELECT doc_id, ('0x' || h[:8])::BIGINT % 64 AS i, sum(CASE WHEN h[9] > '7' THEN 1 ELSE -1 END) AS v FROM toks GROUP BY ALL)
+SELECT doc_id, i, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 4) AS value FROM cells WHERE v <> 0""")
 def embed_hash(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    out = embedding.embed(docs, lambda: embedding.hashing_model(DIM), DIM)
-    return out.select("doc_id", "embedding", F.round(vectors.norm(F.col("embedding"), DIM), 4).alias("norm"))
+    out = embedding.embed(docs, lambda: embedding.hashing_model(DIM), DIM).select("doc_id", F.posexplode("embedding").alias("i", "v"))
+    return out.where("v <> 0").select("doc_id", F.col("i").cast("long").alias("i"), F.round(F.col("v").cast("double"), 4).alias("value"))
 
 
-@query()
+# half precision: ten binary places behind the leading one, ties to even, no exponent below -14
+@query(r"""WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+e AS (SELECT *, greatest(CASE WHEN v = 0 THEN -14 ELSE floor(log2(abs(v))) - (pow(2, floor(log2(abs(v)))) > abs(v))::INT END, -14) AS e FROM x),
+h AS (SELECT vec_id, i, round_even(v / pow(2, e - 10), 0) * pow(2, e - 10) AS v FROM e)
+SELECT vec_id, i, round(v, 8) AS value, round(sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 4) AS norm FROM h""")
 def embedding_store(spark, sf):
-    return embedding.store_precision(table(spark, sf, "embeddings").select("vec_id", "embedding"), "float16").select("vec_id", F.col("embedding"), F.round("norm", 4).alias("norm"))
+    kept = embedding.store_precision(table(spark, sf, "embeddings").select("vec_id", "embedding"), "float16")
+    cells = kept.select("vec_id", F.posexplode("embedding").alias("i", "v"), F.round(F.col("norm").cast("double"), 4).alias("norm"))
+    return cells.select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("v").cast("double"), 8).alias("value"), "norm")
 
 
 # Boosts, pool, fusion, diversity
 
 
-@query(f"WITH {C}, {Q}, {WORDS} SELECT query_id, id, round(0.05 * len(list_filter(ws, lambda w: contains(title, w))), 4) AS boost FROM chunks CROSS JOIN words")
+@query(f"""WITH {C}, {Q}, {WORDS} SELECT * FROM (
+  SELECT query_id, id, round(0.05 * len(list_filter(ws, lambda w: contains(title, w))), 4) AS boost FROM chunks CROSS JOIN words) WHERE boost > 0""")
 def title_boost(spark, sf):
-    pairs = doc_chunks(spark, sf).select("id", "title").crossJoin(F.broadcast(asked(spark, sf)))
-    return pairs.select("query_id", "id", F.round(ranking.title_boost(F.col("title"), t.query_words(F.col("query"))), 4).alias("boost"))
+    pairs = doc_chunks(spark, sf).select("id", "title").crossJoin(F.broadcast(ranking.prepared(asked(spark, sf))))
+    boosted = pairs.select("query_id", "id", ranking.title_boost(F.col("title"), F.col("__words")).alias("boost"))
+    return boosted.where("boost > 0").withColumn("boost", F.round("boost", 4))
 
 
 _TAGS = r"""tags AS (SELECT d.source AS publication, d.doc_id || '.md' AS file, coalesce(string_agg(o.doc_id::VARCHAR, ' ' ORDER BY o.doc_id::VARCHAR) FILTER (o.doc_id <> d.doc_id), '') AS cluster_tags
@@ -333,8 +370,9 @@ def keyword_search(spark, sf):
     return _search(spark, sf, doc_index(spark, sf), mode="keyword", top_k=5)
 
 
-# Each step of the choice is one lateral arg-max over the pool; the list of chosen rows is the state.
-@query("WITH RECURSIVE" + _POOL[4:] + _FUSED + r""",
+def _diverse_sql(pool: str) -> str:
+    """The five hits of every query. Each step of the choice is one lateral arg-max over the pool; the list of chosen rows is the state."""
+    return "WITH RECURSIVE" + pool[4:] + _FUSED + r""",
 numbered AS (SELECT *, round(score, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, ordinal) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM fused),
 pools AS (SELECT query_id, list(struct_pack(r := r, s := s, f := file, h := heading, id := id, raw := score) ORDER BY r) AS p FROM numbered GROUP BY query_id),
 steps AS (
@@ -344,11 +382,34 @@ steps AS (
     w := -round(exp(-0.5 * k) * x.s + (1 - exp(-0.5 * k)) * (CASE WHEN len(list_filter(chosen, lambda c: c.f = x.f AND c.h = x.h)) > 0 THEN 0.0 WHEN len(list_filter(chosen, lambda c: c.f = x.f)) > 0 THEN 0.5 ELSE 1.0 END), 12), r := x.r, x := x)))[1].x)
   FROM steps WHERE k < 5
 )
-SELECT query_id, rank, u.id AS id, round(u.raw, 4) + 0 AS score FROM (SELECT query_id, unnest(chosen) AS u, generate_subscripts(chosen, 1) AS rank FROM steps WHERE k = 5)""")
+SELECT query_id, rank, u.id AS id, round(u.raw, 4) + 0 AS score FROM (SELECT query_id, unnest(chosen) AS u, generate_subscripts(chosen, 1) AS rank FROM steps WHERE k = 5)"""
+
+
+@query(_diverse_sql(_POOL))
 def hybrid_search(spark, sf):
     return _search(spark, sf, doc_index(spark, sf), mode="hybrid", top_k=5)
 
 
+def tagged_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of which eight share a file and four a heading of it, with words of their own text as sibling tags."""
+    eighth = F.floor(F.col("id") / 8).cast("string")
+    tags = F.array_join(F.slice(F.split("text", " "), 10, 8), " ")
+    return vector_chunks(spark, sf).withColumns({"file": F.concat(F.lit("f"), eighth), "heading": F.concat(F.lit("h"), (F.col("id") % 2).cast("string")), "cluster_tags": tags})
+
+
+_TAGGED = _POOL.replace(
+    "both_ AS (SELECT v.*, v.vec + v.tb AS boosted, coalesce(kw, 0) AS kw FROM vec v",
+    """both_ AS (SELECT v.* REPLACE ('f' || (id // 8) AS file, 'h' || (id % 2) AS heading), coalesce(kw, 0) AS kw, v.vec + v.tb
+  + 0.03 * len(list_filter(ws, lambda w: contains(array_to_string(list_slice(string_split(text, ' '), 10, 17), ' '), w))) AS boosted FROM vec v JOIN words USING (query_id)""",
+)
+
+
+@query(_diverse_sql(_TAGGED))
+def hybrid_tagged_search(spark, sf):
+    hits = ranking.search(tagged_chunks(spark, sf), asked(spark, sf), doc_index(spark, sf), ranking.Options(mode="hybrid", top_k=5, dim=DIM))
+    return hits.select("query_id", "rank", "id", (F.round("score", 4) + 0.0).alias("score"))
+
+
 @query(f"WITH {C} SELECT * FROM (SELECT id, publication, file, heading, is_code, title, product_area, text FROM chunks) WHERE id = 17")
 def get_chunk(spark, sf):
     return doc_chunks(spark, sf).where("id = 17").select("id", "publication", "file", "heading", "is_code", "title", "product_area", "text")
@@ -362,7 +423,11 @@ def empty_query(spark, sf):
     return hits.select("query_id", "rank", "id", F.round("score", 4).alias("score"))
 
 
-@query()
+@query(f"""WITH {C}, {Q}, {WORDS}, {VEC},
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(vec + tb, 6) DESC, ordinal) AS r FROM vec) WHERE r <= 100 AND vec + tb >= 0),
+judged AS (SELECT query_id, id, r, len(list_filter(ws, lambda w: list_contains(regexp_split_to_array(lower(text), '\\s+'), w))) / len(ws) AS s FROM cand JOIN words USING (query_id))
+SELECT query_id, rank, id, round(s, 4) AS score, true AS reranked FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, r) AS rank FROM judged) WHERE rank <= 5""")
 def rerank_topk(spark, sf):
     hits = ranking.search(vector_chunks(spark, sf), asked(spark, sf), None, ranking.Options(mode="vector", top_k=rerank.CANDIDATES, dim=DIM))
     return rerank.rerank(hits, asked(spark, sf), rerank.overlap_scorer, 5).select("query_id", "rank", "id", F.round("score", 4).alias("score"), "reranked")
@@ -451,9 +516,12 @@ def list_files(spark, sf):
     return catalog.list_files(markdown(spark, sf), "talk1")
 
 
-@query(r"""SELECT source AS publication, doc_id || '.md' AS file, left(text, 500) AS content, length(text) > 500 AS truncated FROM documents WHERE source = 'src7' AND doc_id = 7""")
+@query(f"""WITH {MD} SELECT publication, file, regexp_extract(head, 'title: (.*)', 1) AS title, '2024-01-01' AS last_updated, 3 AS n_fields,
+  left(regexp_replace(body, '\\A\\s+|\\s+\\z', '', 'g'), 500) AS content, length(regexp_replace(body, '\\A\\s+|\\s+\\z', '', 'g')) > 500 AS truncated FROM md WHERE file = 'c/1.md'""")
 def read_file(spark, sf):
-    return catalog.read_file(files(spark, sf), "src7", "7.md", 500).drop("frontmatter")
+    got = catalog.read_file(markdown(spark, sf), "talk1", "c/1.md", 500)
+    field = lambda k: F.element_at("frontmatter", k).alias(k)
+    return got.select("publication", "file", field("title"), field("last_updated"), F.size("frontmatter").alias("n_fields"), "content", "truncated")
 
 
 def _grep_sql(hit: str, where: str = "true", limit: str = "") -> str:
@@ -482,11 +550,14 @@ def files_by_folder(spark, sf):
     return catalog.files_by_folder(files(spark, sf))
 
 
-@query("SELECT 'local' AS branch, 'local' AS sha, 'local://docs' AS repo_url, count(*) AS file_count FROM documents")
+@query("SELECT 'local' AS branch, 'local' AS sha, 'local://docs' AS repo_url, count(DISTINCT conv_id) AS file_count FROM conversations")
 def release_info(spark, sf):
-    source = corpus.LocalSource(spark, sf)
-    source.files = lambda limit=None: files(spark, sf)  # the table stands in for the folder
-    return source.release_info()
+    return mirror(spark, sf).release_info()
+
+
+@query(f"WITH {MD} SELECT publication || '/' || file AS path, publication, file, 'local' AS branch, length(head || body) AS chars, sha256(head || body) AS sha256 FROM md")
+def source_scan(spark, sf):
+    return mirror(spark, sf).files().select("path", "publication", "file", "branch", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
 @query(r"""SELECT page_id, split_part(path, '/', 1) AS publication, CASE WHEN contains(path, '/') THEN substr(path, instr(path, '/') + 1) ELSE path END AS file
@@ -561,10 +632,9 @@ def crawl_plan(spark, sf):
 
 
 def _golden(spark: SparkSession, sf: str) -> DataFrame:
-    """For each passage the documents that hold it, found through its first line's words and checked in full."""
+    """For each passage the documents that hold it, found through the index and checked in full."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    docs = doc_chunks(spark, sf).select("file", "publication", F.col("text").alias("body"))
-    return docs.join(F.broadcast(items), F.contains("body", F.col("passage"))).groupBy("query_id").agg(F.sort_array(F.collect_set("file")).alias("expected_files"), F.sort_array(F.collect_set("publication")).alias("expected_publications"))
+    return golden.containing(items, doc_chunks(spark, sf), doc_index(spark, sf))
 
 
 _GOLD = r"""gold AS (SELECT item_id AS query_id, list_sort(list(DISTINCT file)) AS ef, list_sort(list(DISTINCT publication)) AS ep FROM benchmark b JOIN chunks c ON contains(c.text, b.text) GROUP BY item_id)"""
@@ -578,9 +648,7 @@ measured AS (SELECT g.query_id, len(list_distinct(list(file) FILTER (list_contai
 
 
 def _keyword_hits(spark: SparkSession, sf: str) -> DataFrame:
-    flat = doc_chunks(spark, sf).withColumns({"embedding": F.array(F.lit(0.0)), "norm": F.lit(1.0)})
-    queries = asked(spark, sf).withColumn("vector", F.array(F.lit(0.0)))
-    return ranking.evaluate_search(flat, queries, doc_index(spark, sf), 10, "keyword", 1)
+    return ranking.evaluate_search(doc_chunks(spark, sf), asked(spark, sf), doc_index(spark, sf), 10, "keyword")
 
 
 @query(f"{_EVAL} SELECT query_id, rank, id, round(s, 4) AS score FROM hits")
@@ -588,6 +656,24 @@ def eval_topk(spark, sf):
     return _keyword_hits(spark, sf).select("query_id", "rank", "id", F.round("score", 4).alias("score"))
 
 
+def _eval_sql(score: str) -> str:
+    return f"""WITH {C}, {Q}, {WORDS}, {VEC}, {EXPANDED}, {BM25},
+every AS (SELECT v.*, coalesce(kw, 0) AS kw, max(coalesce(kw, 0)) OVER (PARTITION BY query_id) AS top FROM vec v LEFT JOIN kw USING (query_id, id))
+SELECT query_id, rank, id, round(s, 4) + 0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, ordinal) AS rank FROM (SELECT *, {score} AS s FROM every)) WHERE rank <= 10"""
+
+
+@query(_eval_sql("vec + tb"))
+def eval_vector_topk(spark, sf):
+    hits = ranking.evaluate_search(vector_chunks(spark, sf), asked(spark, sf), None, 10, "vector", DIM)
+    return hits.select("query_id", "rank", "id", (F.round("score", 4) + 0.0).alias("score"))
+
+
+@query(_eval_sql("0.6 * (vec + tb) + 0.4 * (CASE WHEN top > 0 THEN kw / top ELSE kw END)"))
+def eval_hybrid_topk(spark, sf):
+    hits = ranking.evaluate_search(vector_chunks(spark, sf), asked(spark, sf), doc_index(spark, sf), 10, "hybrid", DIM)
+    return hits.select("query_id", "rank", "id", (F.round("score", 4) + 0.0).alias("score"))
+
+
 @query(f"{_EVAL} SELECT query_id, round(coalesce(precision, 0), 6) AS precision, round(mrr, 6) AS mrr, round(file_mrr, 6) AS file_mrr FROM measured")
 def precision_mrr(spark, sf):
     got = evaluation.per_query(_keyword_hits(spark, sf), _golden(spark, sf), 10)
@@ -624,12 +710,37 @@ def chunk_digest(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query()
+_CELLS = " || ".join(
+    f"coalesce('{c}=' || length(({e})::VARCHAR) || ':' || ({e})::VARCHAR, '{c}=-')"
+    for c, e in sorted({"id": "id", "ordinal": "ordinal", "text": "text", "publication": "publication", "file": "file", "heading": "heading", "is_code": "is_code", "title": "title", "product_area": "product_area", "last_updated": "''", "canonical_url": "''"}.items())
+)
+
+
+@query(f"""WITH {C}, h AS (SELECT sha256({_CELLS}) AS h FROM chunks),
+s AS (SELECT count(*) AS n, sum(('0x' || h[1:8])::HUGEINT) AS a, sum(('0x' || h[9:16])::HUGEINT) AS b, sum(('0x' || h[17:24])::HUGEINT) AS c, sum(('0x' || h[25:32])::HUGEINT) AS d FROM h)
+SELECT n AS rows, sha256(concat_ws(':', n::VARCHAR, a::BIGINT::VARCHAR, b::BIGINT::VARCHAR, c::BIGINT::VARCHAR, d::BIGINT::VARCHAR)) AS digest FROM s""")
 def manifest_digest(spark, sf):
     return bundle.row_digest(doc_chunks(spark, sf))
 
 
-@query("""SELECT (lang IN ('en', 'fr')) AS known, count(*) AS chunk_count, count(DISTINCT source) AS publications, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY known""")
+def doc_bundle(spark: SparkSession, sf: str) -> str:
+    """The folder of a bundle of the chunks that have a vector, with their index."""
+
+    def write(folder: str) -> None:
+        whole = vector_chunks(spark, sf)
+        bundle.write(folder, whole.drop("embedding", "norm"), doc_index(spark, sf), whole.select("id", "embedding", "norm"), {"repo": "documents"})
+
+    return _written(spark, sf, "bundle", write)
+
+
+@query(f"""WITH {C}, {Q}, {EXPANDED}, {BM25} SELECT 1 AS schema_version, 'documents' AS source_repo, (SELECT count(*) FROM chunks JOIN embeddings ON vec_id = id) AS chunk_count,
+  'hashing' AS embedding_model, 64 AS embedding_dim, (SELECT count(*) FROM idf) AS terms, (SELECT count(*) FROM tf) AS postings""")
 def manifest_info(spark, sf):
-    d = table(spark, sf, "documents").groupBy(F.col("lang").isin("en", "fr").alias("known"))
-    return d.agg(F.count("*").alias("chunk_count"), F.count_distinct("source").alias("publications"), F.sum("n_chars").alias("chars"))
+    got = bundle.open_bundle(spark, doc_bundle(spark, sf)).info(spark)
+    part = lambda p: F.col("artifacts")[f"index/{p}"]["rows"].alias(p)
+    return got.select("schema_version", "source_repo", "chunk_count", "embedding_model", "embedding_dim", part("terms"), part("postings"))
+
+
+@query(f"""WITH {C} SELECT part, true AS present, true AS rows_ok, true AS digest_ok FROM (SELECT unnest(['chunks', 'embeddings', 'index/postings', 'index/terms', 'index/fields']) AS part)""")
+def bundle_check(spark, sf):
+    return bundle.validate(spark, doc_bundle(spark, sf))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,6 +24,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of fewer partitions than cores (a small file is one) dealt to all cores; else as they are."""
+    """Rows of fewer files than cores (a small table is one) dealt to all cores; else as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
+def working_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    A session on this machine alone that names none (tests) gets a temporary one; on a cluster that
+    is an error, as files in a machine-local folder would be lost there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
+    return spark.sparkContext.getCheckpointDir()

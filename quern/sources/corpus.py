@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,6 +118,27 @@ class CrawlSource(MarkdownSource):
         return url, f"crawl-{date}", sha
 
 
+def write_mirror(files: DataFrame, root: str) -> int:
+    """Write (publication, file, text) as one file each below ``root``, from the executors; the number of files.
+
+    ``root`` is a URI that pyarrow can open (file, hdfs, s3 and others). A file is replaced whole, so
+    a task that is tried again does no harm.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for publication, file, text in zip(*(batch.column(c).to_pylist() for c in ("publication", "file", "text")), strict=True):
+                path = f"{top}/{publication}/{file}"
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(path) as out:
+                    out.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    written = files.select("publication", "file", "text").mapInArrow(run, "n long")
+    return written.agg(F.sum("n")).first()[0] or 0
+
+
 def create_source(spark: SparkSession, kind: str, root: str | None = None, repo_url: str = "", branch: str = "main", record: str | None = None) -> MarkdownSource:
     """The source of a kind (``git``, ``local``, ``web_crawl``); a missing argument raises ValueError."""
     if kind not in ("git", "local", "web_crawl"):

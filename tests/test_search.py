@@ -12,11 +12,15 @@ from quern.functions import vectors
 from quern.operators import embedding, evaluation, lexical, ranking, rerank
 from quern.plans.retriever import Retriever
 
+#: Recipes, notes and programs: two files that several chunks share, a heading that repeats in one, and a chunk without a title.
 ROWS = [
-    ("c0", 0, "how to create a table in a warehouse", "user-guide", "a.md", "Overview", False, "CREATE TABLE", "Core", "b c"),
-    ("c1", 1, "SELECT * FROM warehouse", "sql-reference", "b.md", "Syntax", True, "select syntax", "SQL", "a c"),
-    ("c2", 2, "loading data into stages", "user-guide", "c.md", "Overview", False, "load data", "Core", "a b"),
-    ("c3", 3, "SELECT examples of selecting", "sql-reference", "b.md", "Examples", True, "select syntax", "SQL", "a c"),
+    ("r/soup#0", 0, "peel the turnips and boil them in salted broth", "recipes", "r/soup.md", "Method", False, "Turnip soup", "kitchen", "bread"),
+    ("r/soup#1", 1, "serve the broth with bread and a spoon of cream", "recipes", "r/soup.md", "Method", False, "Turnip soup", "kitchen", "bread"),
+    ("r/soup#2", 2, "turnips keep in a cellar until spring", "recipes", "r/soup.md", "Storage", False, "Turnip soup", "garden", "bread"),
+    ("r/bread#0", 3, "knead flour water and salt, let the dough rest", "recipes", "r/bread.md", "Overview", False, "Rye bread", "kitchen", "soup"),
+    ("n/tides#0", 4, "the harbour floods when moon and storm meet", "notes", "n/tides.md", "Overview", False, None, "sea", ""),
+    ("p/tides#0", 5, "def height(moon, storm): return 2 * moon + storm", "programs", "p/tides.py.md", "Height", True, "Tide heights", "sea", "curves"),
+    ("p/curves#0", 6, "for x in range(7): plot(x, height(x, 0))", "programs", "p/curves.md", "Plot", True, "Tide curves", "sea", "tides"),
 ]
 SCHEMA = "id string, ordinal int, text string, publication string, file string, heading string, is_code boolean, title string, product_area string, cluster_tags string"
 
@@ -27,7 +31,13 @@ def retriever(spark):
     base = spark.createDataFrame(ROWS, SCHEMA).withColumns({"last_updated": F.lit(""), "canonical_url": F.lit("")})
     chunks = embedding.store_precision(embedding.embed(base, lambda: embedding.hashing_model(32), 32))
     fields = {"text": F.col("text"), "title": F.col("title"), "heading": F.col("heading")}
-    return Retriever(chunks, lexical.build_index(base, fields, lexical.FIELD_WEIGHTS), model, rerank.overlap_scorer, {"chunk_count": 4})
+    return Retriever(chunks, lexical.build_index(base, fields, lexical.FIELD_WEIGHTS), model, rerank.overlap_scorer, {"chunk_count": 7})
+
+
+def every_score(index, queries, docs):
+    """Scores with 0 for all other rows: every query meets every row."""
+    every = docs.select("id").crossJoin(queries.select("query_id"))
+    return every.join(lexical.scores(index, queries), ["query_id", "id"], "left").withColumn("kw", F.coalesce("kw", F.lit(0.0)))
 
 
 def test_bm25_matches_the_formula(spark):
@@ -35,7 +45,7 @@ def test_bm25_matches_the_formula(spark):
     df = spark.createDataFrame(list(texts.items()), "id int, text string")
     index = lexical.build_index(df, {"text": F.col("text")})
     queries = spark.createDataFrame([(7, "b a")], "query_id int, query string")
-    got = {r["id"]: r["kw"] for r in lexical.all_scores(index, queries, df).collect()}
+    got = {r["id"]: r["kw"] for r in every_score(index, queries, df).collect()}
     tokens = {i: x.split() for i, x in texts.items()}
     n, avg = len(texts), sum(map(len, tokens.values())) / len(texts)
     df_of = Counter(w for ws in tokens.values() for w in set(ws))
@@ -49,7 +59,7 @@ def test_bm25_matches_the_formula(spark):
 def test_empty_query_scores_zero_and_empty_corpus_works(spark):
     df = spark.createDataFrame([(1, "x")], "id int, text string")
     queries = spark.createDataFrame([(0, "...")], "query_id int, query string")
-    assert [r["kw"] for r in lexical.all_scores(lexical.build_index(df, {"t": F.col("text")}), queries, df).collect()] == [0.0]
+    assert [r["kw"] for r in every_score(lexical.build_index(df, {"t": F.col("text")}), queries, df).collect()] == [0.0]
     blank = spark.createDataFrame([(1, "")], "id int, text string")
     assert lexical.scores(lexical.build_index(blank, {"t": F.col("text")}), queries).count() == 0
 
@@ -64,19 +74,65 @@ def test_index_round_trip(spark, tmp_path):
 
 @pytest.mark.parametrize("mode", ["vector", "keyword", "hybrid"])
 def test_search_modes(retriever, mode):
-    rows = retriever.search_docs("select warehouse", mode=mode, top_k=3).orderBy("rank").collect()
-    assert 1 <= len(rows) <= 3 and rows[0]["publication"] == "sql-reference"
+    rows = retriever.search_docs("height moon storm", mode=mode, top_k=3).orderBy("rank").collect()
+    assert 1 <= len(rows) <= 3 and rows[0]["id"] == "p/tides#0"
 
 
 def test_filters(retriever):
-    assert {r["publication"] for r in retriever.search_docs("table", publication="user-guide", min_score=-1.0).collect()} == {"user-guide"}
-    assert {r["is_code"] for r in retriever.search_code("select").collect()} == {True}
-    assert retriever.search_docs("table", publication="nothing").count() == 0
-    assert retriever.search_docs("select", min_score=1.0, mode="vector").count() == 0
+    assert {r["publication"] for r in retriever.search_docs("broth", publication="recipes", min_score=-1.0).collect()} == {"recipes"}
+    assert {r["id"] for r in retriever.search_docs("broth", product_area="garden", min_score=-1.0).collect()} == {"r/soup#2"}
+    assert {r["is_code"] for r in retriever.search_code("height").collect()} == {True}
+    assert retriever.search_docs("broth", publication="nothing").count() == 0
+    assert retriever.search_docs("broth", min_score=1.0, mode="vector").count() == 0
+
+
+def test_hybrid_spreads_over_files_and_headings(retriever):
+    rows = retriever.search_docs("turnips broth bread", top_k=3, min_score=-1.0).orderBy("rank").collect()
+    assert len({(r["file"], r["heading"]) for r in rows}) == 3
+
+
+def test_sibling_words_lift_a_row(retriever):
+    with_tags = {r["id"]: r["score"] for r in retriever.search_docs("curves", mode="vector", top_k=7, min_score=-1.0).collect()}
+    bare = Retriever(retriever.chunks.drop("cluster_tags"), retriever.index, retriever.model)
+    without = {r["id"]: r["score"] for r in bare.search_docs("curves", mode="vector", top_k=7, min_score=-1.0).collect()}
+    assert {i for i in with_tags if abs(with_tags[i] - without[i]) > 1e-9} == {"p/tides#0"}
+    assert with_tags["p/tides#0"] - without["p/tides#0"] == pytest.approx(0.03)
+
+
+def test_one_batch_with_wordless_queries(retriever):
+    batch = retriever.search_docs(["broth", "", "moon"], top_k=2, min_score=-1.0).collect()
+    alone = [r for i, q in enumerate(["broth", "", "moon"]) for r in retriever.search_docs(q, top_k=2, min_score=-1.0).collect()]
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in batch) == sorted((i, r["rank"], r["id"]) for i, r in zip([0, 0, 1, 1, 2, 2], alone, strict=True))
+
+
+def test_nearest_matches_the_column_expression(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(i, int(rnd.integers(0, 60)), rnd.normal(size=8).round(1).tolist(), str(rnd.choice(["a b", "b", "", "c a"]))) for i in range(500)]
+    chunks = spark.createDataFrame(rows, "id long, ordinal long, embedding array<float>, title string").withColumn("norm", vectors.norm(F.col("embedding"), 8))
+    queries = spark.createDataFrame([(q, ["a", "b c", ""][q % 3], rnd.normal(size=8).tolist()) for q in range(7)], "query_id long, query string, vector array<double>")
+    o = ranking.Options(dim=8)
+    plain = ranking.best(ranking.with_scores(chunks.crossJoin(ranking.prepared(queries)), o), "boosted", 11)
+    got = ranking.nearest(chunks.repartition(3), queries, 11, o)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.select("query_id", "id").collect()))
+
+
+@pytest.mark.parametrize("mode", ["vector", "keyword", "hybrid"])
+def test_evaluator_ranks_the_whole_corpus(retriever, mode):
+    queries = retriever.queries(["broth bread", "moon", "Tide"])
+    got = ranking.evaluate_search(retriever.chunks, queries, retriever.index, 3, mode)
+    every = ranking.with_scores(retriever.chunks.crossJoin(ranking.prepared(queries)), ranking.Options(), clusters=False)
+    every = every.join(lexical.scores(retriever.index, queries), ["query_id", "id"], "left").fillna(0.0, "kw")
+    want = {}
+    rows = every.collect()
+    for r in rows:
+        top = max(x["kw"] for x in rows if x["query_id"] == r["query_id"])
+        score = {"vector": r["boosted"], "keyword": r["kw"] + r["tb"], "hybrid": 0.6 * r["boosted"] + 0.4 * (r["kw"] / top if top else 0)}[mode]
+        want.setdefault(r["query_id"], []).append((-round(score, 6), r["ordinal"], r["id"]))
+    assert {(r["query_id"], r["rank"]): r["id"] for r in got.collect()} == {(q, k + 1): x[2] for q, xs in want.items() for k, x in enumerate(sorted(xs)[:3])}
 
 
 def test_result_columns(retriever):
-    assert retriever.search_docs("select").columns == ["query_id", "rank", *ranking.FIELDS]
+    assert retriever.search_docs("broth").columns == ["query_id", "rank", *ranking.FIELDS]
 
 
 def test_bad_options(retriever):
@@ -86,22 +142,22 @@ def test_bad_options(retriever):
 
 
 def test_get_chunk_and_info(retriever):
-    assert retriever.get_chunk("c2").first()["title"] == "load data"
+    assert retriever.get_chunk("r/bread#0").first()["title"] == "Rye bread"
     assert retriever.get_chunk("none").count() == 0
-    assert retriever.get_bundle_info() == {"chunk_count": 4}
+    assert retriever.get_bundle_info() == {"chunk_count": 7}
 
 
 def test_title_boost_is_case_sensitive_by_default(spark):
-    df = spark.createDataFrame([("CREATE TABLE",), ("create table",), (None,)], "t string")
-    words = F.array(F.lit("create"), F.lit("table"))
+    df = spark.createDataFrame([("Rye Bread",), ("rye bread",), (None,)], "t string")
+    words = F.array(F.lit("rye"), F.lit("bread"))
     got = [r[0] for r in df.select(ranking.title_boost(F.col("t"), words)).collect()]
     assert got == [0.0, pytest.approx(0.1), 0.0]
     assert df.select(ranking.title_boost(F.col("t"), words, True)).first()[0] == pytest.approx(0.1)
 
 
 def test_rerank(retriever):
-    rows = retriever.search_docs("selecting examples", rerank_hits=True, top_k=2, min_score=-1.0).orderBy("rank").collect()
-    assert rows[0]["id"] == "c3" and all(r["reranked"] for r in rows)
+    rows = retriever.search_docs("moon and storm", rerank_hits=True, top_k=2, min_score=-1.0).orderBy("rank").collect()
+    assert rows[0]["id"] == "n/tides#0" and all(r["reranked"] for r in rows)
 
 
 def plain_diverse(pool, k, alpha=0.5):
@@ -148,11 +204,11 @@ def test_evaluation(spark):
 
 
 def test_vector_functions(spark):
-    v = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<double>, z array<double>")
+    v = spark.createDataFrame([([5.0, -12.0], [0.0, 0.0])], "a array<double>, z array<double>")
     r = v.select(vectors.l2_normalize(F.col("a")).alias("u"), vectors.l2_normalize(F.col("z")).alias("z"), vectors.dot(F.col("a"), F.col("a"), 2).alias("d")).first()
-    assert r["u"] == [0.6, 0.8] and r["z"] == [0.0, 0.0] and r["d"] == 25
-    m = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [0.0, 0.0]], [1, 1, 0])], "h array<array<double>>, m array<int>")
-    assert m.select(vectors.mean_pool(F.col("h"), F.col("m"))).first()[0] == [2.0, 3.0]
+    assert r["u"] == [5 / 13, -12 / 13] and r["z"] == [0.0, 0.0] and r["d"] == 169
+    m = spark.createDataFrame([([[6.0, 1.0, -2.0], [9.0, 9.0, 9.0], [0.0, 3.0, 2.0], [3.0, 5.0, 3.0]], [1, 0, 1, 1])], "h array<array<double>>, m array<int>")
+    assert m.select(vectors.mean_pool(F.col("h"), F.col("m"))).first()[0] == [3.0, 3.0, 1.0]
 
 
 def test_failing_batches_give_zero_vectors(spark):
