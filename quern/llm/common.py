@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that separate words everywhere in the training-data operators.
-WORD_GAP = r"[\x20\x09-\x0D]+"
+#: A word everywhere in the training-data operators: no space, no ASCII control that counts as white space.
+WORD = r"[^\x20\x09-\x0D]++"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,13 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null counts as empty."""
-    parts = F.split(F.coalesce(text, F.lit("")), WORD_GAP)
-    return F.filter(parts, lambda w: w != "")
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def n_words(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def packed(df: DataFrame, **needed: Column) -> DataFrame:

@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD_GAP, stratified
+from quern.llm.common import stratified, words
 
 #: The symbols that count as markup debris.
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -37,11 +37,9 @@ WINDOW = 5
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper and n_marks (long)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    bare = F.trim(body, F.lit(" \t\n\x0b\x0c\r"))
-    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WORD_GAP))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     left = lambda pattern: F.length(F.regexp_replace(body, pattern, ""))
-    out = df.withColumns({"__words": words, "__lines": lines})
+    out = df.withColumns({"__words": words(F.col(text)), "__lines": lines})
     out = out.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
