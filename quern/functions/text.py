@@ -28,7 +28,7 @@ def newlines(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case ASCII words with ``_`` and ``#``; all else separates."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-zA-Z0-9_#]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zA-Z0-9_#]++"), F.lit(0))
 
 
 def query_words(text: Column) -> Column:

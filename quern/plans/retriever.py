@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import catalog, lexical, ranking, rerank
+from quern.operators import bundle, catalog, lexical, ranking, rerank
 from quern.operators.embedding import Model
 from quern.sources.corpus import MarkdownSource
 
@@ -51,6 +51,26 @@ class Retriever:
     scorer: Callable[[], rerank.Scorer] | None = None
     manifest: dict | None = None
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, model: Model, scorer: Callable[[], rerank.Scorer] | None = None, expected: str | None = None) -> Retriever:
+        """A retriever over a saved bundle, opened once for many queries; ``expected`` is the repository it should be from.
+
+        Chunks without their vectors, postings and vectors stay in memory or on local disks of the
+        executors once they were read; :meth:`close` gives them up.
+        """
+        opened = bundle.open_bundle(spark, folder)
+        if expected:
+            bundle.check_source(opened.manifest, expected)
+        chunks, index = opened.chunks.persist(), opened.index
+        if index is not None:
+            index = lexical.LexicalIndex(index.postings.persist(), index.terms, index.fields)
+        return cls(chunks, index, model, scorer, opened.manifest)
+
+    def close(self) -> None:
+        self.chunks.unpersist()
+        if self.index is not None:
+            self.index.postings.unpersist()
+
     def queries(self, texts: list[str]) -> DataFrame:
         """The query table of some texts: query_id is the place in the list."""
         vectors = self.model(texts).tolist() if texts else []

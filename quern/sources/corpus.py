@@ -42,7 +42,10 @@ class MarkdownSource:
         raise NotImplementedError
 
     def files(self, limit: int | None = None) -> DataFrame:
-        """(path, publication, file, repo_url, branch, sha, text) of all ``*.md`` files; ``limit``: the first by path."""
+        """(path, publication, file, repo_url, branch, sha, text) of all ``*.md`` files; ``limit``: the first by path.
+
+        Files of no bytes have no row: Spark's readers leave them out.
+        """
         reader = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true")
         # the scan's paths are encoded URIs
         place = F.regexp_replace(F.try_url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), r"^[a-z]+:/*", "/")

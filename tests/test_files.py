@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import urls
 from quern.operators import bundle, catalog, chunking, embedding, lexical, web
-from quern.plans.retriever import Corpus
+from quern.plans.retriever import Corpus, Retriever
 from quern.sources import corpus, golden
 from quern.streaming import ingest
 
@@ -35,6 +35,23 @@ def test_local_source(spark, mirror):
     assert tuple(corpus.LocalSource(spark, mirror).release_info().first()) == ("local", "local", "local://docs", 4)
 
 
+def test_a_mirror_that_was_written_reads_back(spark, tmp_path):
+    rows = [("p", "a/b c.md", "x\ny"), ("p", "d+e.md", "é"), ("q", "z.md", "z")]
+    files = spark.createDataFrame(rows, "publication string, file string, text string")
+    for _ in range(2):  # written again, files are replaced
+        assert corpus.write_mirror(files, f"file://{tmp_path}/m") == 3
+    got = corpus.LocalSource(spark, f"file://{tmp_path}/m").files()
+    assert sorted((r["publication"], r["file"], r["text"]) for r in got.collect()) == rows
+
+
+def test_passages_are_found_through_the_index(spark):
+    docs = [(1, "f1", "p", "one two three four five"), (2, "f2", "q", "xone two three fourx"), (3, "f3", "q", "three two one"), (4, "f4", "p", "a-b")]
+    chunks = spark.createDataFrame(docs, "id long, file string, publication string, text string")
+    passages = spark.createDataFrame([(1, "one two three four"), (2, "two three"), (3, "b"), (4, "nothing of the kind here")], "query_id long, passage string")
+    got = golden.containing(passages, chunks, lexical.build_index(chunks, {"text": F.col("text")}))
+    assert {r["query_id"]: (r["expected_files"], r["expected_publications"]) for r in got.collect()} == {1: (["f1", "f2"], ["p", "q"]), 2: (["f1", "f2"], ["p", "q"]), 3: (["f4"], ["p"])}
+
+
 def test_crawl_source(spark, mirror, tmp_path):
     record = tmp_path / "record.json"
     record.write_text(json.dumps({"source_url": "https://x", "crawled_at": "2024-02-03T04:05", "crawler_sha": "abc"}, indent=1))
@@ -113,6 +130,11 @@ def test_bundle_round_trip(spark, mirror, tmp_path):
     again = bundle.open_bundle(spark, out)
     assert again.chunks.count() == chunks.count() and "norm" in again.chunks.columns and again.index is not None
     assert all(r["digest_ok"] and r["rows_ok"] for r in bundle.validate(spark, out).collect())
+    asked = Retriever.open(spark, out, embedding.hashing_model(16), expected="r")
+    for mode in ("vector", "keyword", "hybrid"):
+        assert asked.search_docs("needle", mode=mode, min_score=-1.0).count() == 5
+    assert asked.get_bundle_info()["source_repo"] == "r"
+    asked.close()
     chunks.limit(1).write.mode("overwrite").parquet(f"{out}/chunks")
     assert not bundle.validate(spark, out).where("part = 'chunks'").first()["digest_ok"]
     with pytest.raises(FileNotFoundError):
