@@ -67,10 +67,65 @@ def has_fence(text: Column) -> Column:
     return text.rlike(r"(?md)^`{3}")
 
 
+_DOUBLE, _SINGLE = r'"(?:[^"\\]|\\.)*+"', r"'(?:[^']|'')*+'"
+_FLOW = r"\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*+\]|\{[^{}]*\}"
+_FIRST = r"""[^\s\-?:,\[\]{}#&*!|>'"%@`]"""
+_PLAIN = rf"(?:{_FIRST}|[-?:](?=\S))(?:[^:#]|:(?=\S)|(?<=\S)#)*"
+_KEY = rf"(?:{_DOUBLE}|{_SINGLE}|{_FIRST}[^:#\n]*?)"
+#: Lines of a block that maps keys to values: blank, comment, indented, list item, key with or without value.
+_LINE = rf"\s*(?:#.*)?|(?: +|- |-$)\S?.*|{_KEY} *:(?: +(?:{_DOUBLE}|{_SINGLE}|{_FLOW}|[|>][-+0-9]*|{_PLAIN}))?\s*(?: +#.*)?"
+
+
+def well_formed(meta: Column) -> Column:
+    """Whether all lines of a front matter block can stand in a map of keys: quotes and brackets closed, one colon a key.
+
+    The subset of YAML that is known: scalars plain, quoted on one line, or in a block; lists and maps
+    in brackets or indented, whose inside is not looked into; comments.
+    """
+    first = F.regexp_extract(meta, r"\A(?:\s*(?:#.*)?\n)*+(.?)", 1)
+    return ~first.rlike(r"^[-\s]$") & F.forall(F.split(meta, "\n"), lambda x: x.rlike(rf"\A(?:{_LINE})\z"))
+
+
 def frontmatter(text: Column) -> Column:
-    """Strict front matter: (meta, body); without a leading block meta is null and body the text."""
-    found = text.rlike(FRONTMATTER)
-    return F.struct(F.when(found, F.regexp_extract(text, FRONTMATTER, 1)).alias("meta"), F.when(found, F.regexp_extract(text, FRONTMATTER, 2)).otherwise(text).alias("body"))
+    """Strict front matter: (meta, body); without a leading block, or with a malformed one, meta is null and body the text."""
+    meta = F.regexp_extract(text, FRONTMATTER, 1)
+    found = text.rlike(FRONTMATTER) & well_formed(meta)
+    return F.struct(F.when(found, meta).alias("meta"), F.when(found, F.regexp_extract(text, FRONTMATTER, 2)).otherwise(text).alias("body"))
+
+
+def fields(meta: Column) -> Column:
+    """Map of the keys of a well-formed block to their values as text; of repeated keys the last counts.
+
+    Quotes and comments go. A block scalar is its lines, folded ones joined by spaces, without the
+    line end behind it; a list is ``[a, b]`` however it was written; a map inside is its lines.
+    """
+    entries = F.filter(F.split(F.coalesce(meta, F.lit("")), r"\n(?=[^\s#\-])"), lambda e: e.rlike(rf"\A{_KEY} *:"))
+
+    def unquoted(x: Column) -> Column:
+        inside = F.regexp_replace(F.regexp_extract(x, rf"\A({_DOUBLE}|{_SINGLE})", 1), r"\A.|.\z", "")
+        double, single = F.regexp_replace(inside, r'\\(["\\/])', "$1"), F.replace(inside, F.lit("''"), F.lit("'"))
+        return F.when(x.startswith('"'), double).when(x.startswith("'"), single).otherwise(strip(F.regexp_replace(x, r"(?:\A|\s+)#.*", "")))
+
+    def value(e: Column) -> Column:
+        head = F.regexp_extract(e, rf"\A{_KEY} *: *([^\n]*)", 1)
+        tail = F.filter(F.transform(F.slice(F.split(e, "\n"), 2, 1 << 20), strip), lambda x: x != "")
+        bare = F.filter(tail, lambda x: ~x.startswith("#"))
+        items = F.concat(F.lit("["), F.array_join(F.transform(bare, lambda x: unquoted(F.regexp_replace(x, r"\A-\s*", ""))), ", "), F.lit("]"))
+        listed = (F.size(bare) > 0) & F.forall(bare, lambda x: x.rlike(r"\A-(\s|\z)"))
+        empty = F.regexp_replace(head, r"\A#.*", "") == ""
+        return (
+            F.when(head.startswith("|"), F.array_join(tail, "\n"))
+            .when(head.startswith(">"), F.array_join(tail, " "))
+            .when(empty & listed, items)
+            .when(empty, F.array_join(bare, "\n"))
+            .when(head.rlike(r"""\A['"]"""), unquoted(head))
+            .otherwise(F.array_join(F.concat(F.array(unquoted(head)), bare), " "))
+        )
+
+    pair = lambda e: F.struct(unquoted(F.regexp_extract(e, rf"\A({_KEY}) *:", 1)).alias("key"), value(e).alias("value"))
+    last_first = F.reverse(F.transform(entries, pair))
+    keys = F.array_distinct(F.transform(last_first, lambda p: p["key"]))
+    return F.map_from_entries(F.transform(keys, lambda k: F.get(F.filter(last_first, lambda p: p["key"] == k), F.lit(0))))
 
 
 def lenient_frontmatter(text: Column) -> Column:

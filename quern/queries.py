@@ -442,6 +442,29 @@ def frontmatter(spark, sf):
     return p.select("publication", "file", *[F.element_at("meta", k).alias(k) for k in ("title", "product_area", "last_updated")], F.length("body").cast("long").alias("body_chars"))
 
 
+_ODD = r"""odd AS (SELECT doc_id, doc_id % 5 AS kind, regexp_replace(left(text, 40), '[^a-z]+', ' ', 'g') AS w, text FROM documents),
+odd_files AS (SELECT *, concat('---', chr(10), 'title: x', w, CASE kind
+  WHEN 0 THEN concat(' # note', chr(10), 'tags: [a, b]') WHEN 1 THEN concat(chr(10), 'tags:', chr(10), '- c', chr(10), '- "d"') WHEN 2 THEN ': y'
+  WHEN 3 THEN concat(chr(10), 'tags: [open') ELSE concat(chr(10), 'tags: >', chr(10), '  e', chr(10), '  f') END, chr(10), '---', chr(10), text) AS whole FROM odd)"""
+
+
+def odd_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(publication, file, text): files whose front matter has lists, blocks and comments, or is malformed."""
+    kind = F.col("doc_id") % 5
+    w = F.regexp_replace(F.left("text", F.lit(40)), "[^a-z]+", " ")
+    more = F.when(kind == 0, " # note\ntags: [a, b]").when(kind == 1, '\ntags:\n- c\n- "d"').when(kind == 2, ": y").when(kind == 3, "\ntags: [open").otherwise("\ntags: >\n  e\n  f")
+    text = F.concat(F.lit("---\ntitle: x"), w, more, F.lit("\n---\n"), "text")
+    return table(spark, sf, "documents").select(F.col("source").alias("publication"), F.col("doc_id").cast("string").alias("file"), text.alias("text"))
+
+
+@query(f"""WITH {_ODD} SELECT doc_id::VARCHAR AS file, kind NOT IN (2, 3) AS found, CASE WHEN kind IN (2, 3) THEN length(whole) ELSE length(text) END AS body_chars,
+  CASE WHEN kind IN (2, 3) THEN NULL ELSE rtrim('x' || w) END AS title, CASE kind WHEN 0 THEN '[a, b]' WHEN 1 THEN '[c, d]' WHEN 4 THEN 'e f' END AS tags FROM odd_files""")
+def frontmatter_odd(spark, sf):
+    p = chunking.with_frontmatter(odd_files(spark, sf))
+    field = lambda k: F.try_element_at("meta", F.lit(k)).alias(k)
+    return p.select("file", (F.size("meta") > 0).alias("found"), F.length("body").cast("long").alias("body_chars"), field("title"), field("tags"))
+
+
 @query(f"WITH {MD} SELECT publication, file, pos - 1 AS pos, heading, text FROM secs WHERE text <> ''")
 def h2_sections(spark, sf):
     p = chunking.with_frontmatter(markdown(spark, sf)).select("publication", "file", F.posexplode(t.sections(F.col("body"))).alias("pos", "s"))
