@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from quern.operators import lexical
 
 VERSION = 1
-PARTS = ["chunks", "embeddings", "index/postings", "index/terms", "index/fields"]
+#: Stored precisions of the vectors, the preferred one first.
+PRECISIONS = ["float16", "float32"]
+PARTS = ["chunks", *[f"embeddings/{p}" for p in PRECISIONS], "index/postings", "index/terms", "index/fields"]
 
 
 def row_digest(df: DataFrame) -> DataFrame:
@@ -52,20 +54,25 @@ def exists(spark: SparkSession, name: str) -> bool:
     return fs.exists(path)
 
 
-def _write_text(spark: SparkSession, name: str, text: str) -> None:
+def write_text(spark: SparkSession, name: str, text: str) -> None:
     path, fs = _path(spark, name)
     out = fs.create(path, True)
     out.write(bytearray(text.encode()))
     out.close()
 
 
-def write(folder: str, chunks: DataFrame, index: lexical.LexicalIndex, embeddings: DataFrame | None = None, source: dict[str, str] | None = None, model: str = "hashing") -> dict:
-    """Write a bundle; the manifest comes last and has a digest of every part."""
+def write(folder: str, chunks: DataFrame, index: lexical.LexicalIndex, embeddings: DataFrame | None = None, source: dict[str, str] | None = None, model: str = "hashing", precision: str = "float16") -> dict:
+    """Write a bundle; the manifest comes last and has a digest of every part.
+
+    ``precision`` says to what the vectors have been rounded (float16 or float32).
+    """
+    if precision not in PRECISIONS:
+        raise ValueError(f"unknown precision: {precision}")
     spark = chunks.sparkSession
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
     index.save(f"{folder}/index")
     if embeddings is not None:
-        embeddings.write.mode("overwrite").parquet(f"{folder}/embeddings")
+        embeddings.write.mode("overwrite").parquet(f"{folder}/embeddings/{precision}")
     parts = {}
     for part in PARTS:
         if exists(spark, f"{folder}/{part}"):
@@ -73,7 +80,7 @@ def write(folder: str, chunks: DataFrame, index: lexical.LexicalIndex, embedding
             parts[part] = {"rows": rows, "sha256": digest}
     first = embeddings.select(F.size("embedding")).first() if embeddings is not None else None
     manifest = {"schema_version": VERSION, **{f"source_{k}": v for k, v in (source or {}).items()}, "built_at": datetime.now(timezone.utc).isoformat(), "chunk_count": parts["chunks"]["rows"], "embedding_model": model if embeddings is not None else None, "embedding_dim": first[0] if first else None, "artifacts": parts}
-    _write_text(spark, f"{folder}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
+    write_text(spark, f"{folder}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
     return manifest
 
 
@@ -95,6 +102,14 @@ def read_manifest(spark: SparkSession, folder: str) -> dict:
     return json.loads("\n".join(r[0] for r in spark.read.text(f"{folder}/manifest.json").collect()))
 
 
+def load_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors of a bundle, in the preferred of the precisions that are there; FileNotFoundError without any."""
+    for precision in PRECISIONS:
+        if exists(spark, f"{folder}/embeddings/{precision}"):
+            return spark.read.parquet(f"{folder}/embeddings/{precision}")
+    raise FileNotFoundError(f"no embeddings in {folder}")
+
+
 def open_bundle(spark: SparkSession, folder: str) -> Bundle:
     """Manifest and chunks must be there; index, embeddings and cluster tags may be missing."""
     manifest = read_manifest(spark, folder)
@@ -102,7 +117,7 @@ def open_bundle(spark: SparkSession, folder: str) -> Bundle:
         raise FileNotFoundError(f"no chunks in {folder}")
     chunks = spark.read.parquet(f"{folder}/chunks")
     if exists(spark, f"{folder}/embeddings"):
-        chunks = chunks.join(spark.read.parquet(f"{folder}/embeddings"), "id")
+        chunks = chunks.join(load_embeddings(spark, folder), "id")
     index = lexical.LexicalIndex.load(spark, f"{folder}/index") if exists(spark, f"{folder}/index/postings") else None
     return Bundle(manifest, chunks, index)
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranking import prepared
+
 Scorer = Callable[[list[str], list[str]], np.ndarray]
 CANDIDATES = 100
 
@@ -27,7 +29,7 @@ def overlap_scorer() -> Scorer:
 
 
 def onnx_scorer(model_path: str, tokenizer_path: str, max_tokens: int = 512) -> Scorer:
-    """A cross-encoder in an ONNX file; one logit a pair."""
+    """A cross-encoder in an ONNX file; one logit a pair, which it reads as one text with a separator between."""
     import onnxruntime
     import tokenizers
 
@@ -38,7 +40,7 @@ def onnx_scorer(model_path: str, tokenizer_path: str, max_tokens: int = 512) ->
     takes = {i.name for i in run.get_inputs()}
 
     def score(queries: list[str], texts: list[str]) -> np.ndarray:
-        enc = tok.encode_batch(list(zip(queries, texts, strict=True)))
+        enc = tok.encode_batch([f"{q} [SEP] {t}" for q, t in zip(queries, texts, strict=True)])
         feed = {"input_ids": [e.ids for e in enc], "attention_mask": [e.attention_mask for e in enc], "token_type_ids": [e.type_ids for e in enc]}
         return run.run(None, {k: np.array(v, np.int64) for k, v in feed.items() if k in takes})[0].reshape(-1)
 
@@ -57,7 +59,8 @@ def rerank(hits: DataFrame, queries: DataFrame, make: Callable[[], Scorer], top_
         for q, t in pairs:
             yield pd.Series(np.asarray(scorer(q.fillna("").tolist(), t.fillna("").tolist()), float))
 
-    told = hits.join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    asked = prepared(queries).select("query_id", "query")  # counted: small enough to broadcast
+    told = hits.join(F.broadcast(asked), "query_id")
     new = told.withColumn("score", judge("query", "text")).drop("query")
     by = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), F.col("rank"))
     return new.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k).withColumn("reranked", F.lit(True))

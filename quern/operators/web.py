@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.urls import links, main_text, mirror_path
+from quern.operators.bundle import write_text
 
 
 def index_links(indexes: DataFrame, max_pages: int | None = None) -> DataFrame:
@@ -34,6 +37,16 @@ def outcome(urls: DataFrame, stored: DataFrame, fetched: DataFrame) -> DataFrame
     )
 
 
+def write_record(spark: SparkSession, path: str, source_url: str, crawled_at: str, crawler_sha: str, sections: DataFrame | None = None, engine: str = "none", stealth: bool = False) -> dict:
+    """Write the record of a crawl as JSON, which a crawl source reads; with the counters of :func:`outcome`, summed."""
+    record = {"source_url": source_url, "crawled_at": crawled_at, "crawler_sha": crawler_sha, "engine": engine, "stealth": stealth}
+    if sections is not None:
+        counters = ["skipped", "fetched", "errors", "bytes"]
+        record |= sections.agg(F.count("*").alias("sections"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters]).first().asDict()
+    write_text(spark, path, json.dumps(record, indent=1, sort_keys=True))
+    return record
+
+
 def crawl_plan(indexes: DataFrame, max_pages: int) -> DataFrame:
     """(section, place, url) of a whole crawl of indexes (place_of_section, section, base_url, content).
 

@@ -77,8 +77,13 @@ class Retriever:
         rows = [(i, q, v) for i, (q, v) in enumerate(zip(texts, vectors, strict=True))]
         return self.chunks.sparkSession.createDataFrame(rows, "query_id int, query string, vector array<double>")
 
-    def search_docs(self, query: str | list[str], rerank_hits: bool = False, **options) -> DataFrame:
-        """Hits of the queries; with ``rerank_hits`` a hundred candidates go through the scorer."""
+    def search_docs(self, query: str | list[str], rerank_hits: bool = False, request: str | None = None, **options) -> DataFrame:
+        """Hits of the queries; with ``rerank_hits`` a hundred candidates go through the scorer.
+
+        ``request`` names the jobs of this thread from here on, so that they can be found and stopped together.
+        """
+        if request:
+            self.chunks.sparkSession.addTag(request)
         asked = self.queries([query] if isinstance(query, str) else query)
         o = ranking.Options(**options)
         o.check()

@@ -23,6 +23,8 @@ from quern.sources import corpus, golden
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 DIM = 64
+#: Names the layout of what is written for the queries; folders of another one are not opened.
+LAYOUT = "2"
 
 
 def query(sql: str | None = None):
@@ -90,7 +92,7 @@ def _written(spark: SparkSession, sf: str, kind: str, write: Callable[[str], obj
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(sf)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    state = sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in store.listStatus(path))
+    state = [LAYOUT] + sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in store.listStatus(path))
     folder = f"{working_folder(spark)}/quern-{kind}-{hashlib.sha256(chr(10).join(state).encode()).hexdigest()[:16]}"
     if not bundle.exists(spark, f"{folder}-done"):
         write(folder)
@@ -233,6 +235,21 @@ def kw_fallback_count(spark, sf):
     return ranking.best(counted, "hits", 20).where("hits > 0").select("query_id", "rank", "id", F.col("hits").cast("long").alias("hits"))
 
 
+@query(f"""WITH {Q}, {EXPANDED} SELECT query_id, list_sort(list_filter(list_distinct(list(t)), lambda x: x <> '')) AS terms FROM wanted GROUP BY query_id""")
+def sql_expansion(spark, sf):
+    sql.register(spark)
+    asked(spark, sf).createOrReplaceTempView("quern_asked")
+    return spark.sql("SELECT query_id, array_sort(filter(quern_expand(quern_tokens(query)), x -> x <> '')) AS terms FROM quern_asked")
+
+
+@query(f"WITH {MD} SELECT publication, file, pos - 1 AS pos, heading, text FROM secs WHERE text <> ''")
+def sql_sections(spark, sf):
+    sql.register(spark)
+    chunking.with_frontmatter(markdown(spark, sf)).createOrReplaceTempView("quern_bodies")
+    found = "SELECT publication, file, posexplode(ss) AS (pos, s) FROM (SELECT publication, file, quern_sections(body) AS ss FROM quern_bodies)"
+    return spark.sql(f"SELECT publication, file, bigint(pos) AS pos, s.heading, s.text FROM ({found})")
+
+
 # Vector operators
 
 
@@ -750,7 +767,7 @@ def doc_bundle(spark: SparkSession, sf: str) -> str:
     """The folder of a bundle of the chunks that have a vector, with their index."""
 
     def write(folder: str) -> None:
-        whole = vector_chunks(spark, sf)
+        whole = embedding.store_precision(vector_chunks(spark, sf))
         bundle.write(folder, whole.drop("embedding", "norm"), doc_index(spark, sf), whole.select("id", "embedding", "norm"), {"repo": "documents"})
 
     return _written(spark, sf, "bundle", write)
@@ -764,6 +781,7 @@ def manifest_info(spark, sf):
     return got.select("schema_version", "source_repo", "chunk_count", "embedding_model", "embedding_dim", part("terms"), part("postings"))
 
 
-@query(f"""WITH {C} SELECT part, true AS present, true AS rows_ok, true AS digest_ok FROM (SELECT unnest(['chunks', 'embeddings', 'index/postings', 'index/terms', 'index/fields']) AS part)""")
+@query("""SELECT part, part <> 'embeddings/float32' AS present, part <> 'embeddings/float32' AS rows_ok, part <> 'embeddings/float32' AS digest_ok FROM (
+  SELECT unnest(['chunks', 'embeddings/float16', 'embeddings/float32', 'index/postings', 'index/terms', 'index/fields']) AS part)""")
 def bundle_check(spark, sf):
     return bundle.validate(spark, doc_bundle(spark, sf))

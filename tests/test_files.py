@@ -59,6 +59,23 @@ def test_crawl_source(spark, mirror, tmp_path):
     assert corpus.CrawlSource(spark, mirror).release() == ("unknown", "crawl-unknown", "unknown")
 
 
+def test_crawl_record(spark, mirror, tmp_path):
+    pages = spark.createDataFrame([("a", "https://h/x"), ("a", "https://h/y"), ("b", "https://h/z")], "section string, url string")
+    fetched = spark.createDataFrame([("https://h/y", "<main>body</main>"), ("https://h/z", None)], "url string, html string")
+    stored = pages.where("url = 'https://h/x'").select(urls.mirror_path(F.col("url")).alias("path"))
+    path = f"file://{tmp_path}/record.json"
+    told = web.write_record(spark, path, "https://h", "2024-05-06T07:08:09", "f00", web.outcome(pages, stored, fetched))
+    assert (told["sections"], told["skipped"], told["fetched"], told["errors"], told["bytes"]) == (2, 1, 1, 1, 4)
+    assert corpus.CrawlSource(spark, mirror, path).release() == ("https://h", "crawl-2024-05-06", "f00")
+
+
+def test_only_files_below_markdown_are_chunked(spark):
+    rows = [("markdown/p/a.md", "x"), ("README.md", "y"), ("docs/markdown/b.md", "z"), ("markdown/c.md", None)]
+    files = chunking.below_markdown(spark.createDataFrame(rows, "path string, text string"))
+    assert sorted(map(tuple, files.select("publication", "file").collect())) == [("c.md", "c.md"), ("p", "a.md")]
+    assert [r["file"] for r in chunking.chunk_table(files).collect()] == ["a.md"]
+
+
 def test_git_source_and_factory(spark, tmp_path):
     (tmp_path / "co/markdown/p").mkdir(parents=True)
     (tmp_path / "co/markdown/p/f.md").write_text("x")
@@ -129,12 +146,20 @@ def test_bundle_round_trip(spark, mirror, tmp_path):
     assert manifest["chunk_count"] == chunks.count() and manifest["embedding_dim"] == 16
     again = bundle.open_bundle(spark, out)
     assert again.chunks.count() == chunks.count() and "norm" in again.chunks.columns and again.index is not None
-    assert all(r["digest_ok"] and r["rows_ok"] for r in bundle.validate(spark, out).collect())
+    assert {r["part"]: r["present"] and r["digest_ok"] and r["rows_ok"] for r in bundle.validate(spark, out).collect()} == {p: p != "embeddings/float32" for p in bundle.PARTS}
     asked = Retriever.open(spark, out, embedding.hashing_model(16), expected="r")
     for mode in ("vector", "keyword", "hybrid"):
         assert asked.search_docs("needle", mode=mode, min_score=-1.0).count() == 5
     assert asked.get_bundle_info()["source_repo"] == "r"
     asked.close()
+    single = embedding.store_precision(embedding.embed(chunks.select("id", "text"), lambda: embedding.hashing_model(16), 16), "float32").select("id", "embedding", "norm")
+    bundle.write(f"{out}-single", chunks, index, single, precision="float32")
+    assert bundle.load_embeddings(spark, f"{out}-single").count() == chunks.count() and "norm" in bundle.open_bundle(spark, f"{out}-single").chunks.columns
+    bundle.write(f"{out}-none", chunks, index)
+    with pytest.raises(FileNotFoundError):
+        bundle.load_embeddings(spark, f"{out}-none")
+    with pytest.raises(ValueError):
+        bundle.write(f"{out}-bad", chunks, index, single, precision="float8")
     chunks.limit(1).write.mode("overwrite").parquet(f"{out}/chunks")
     assert not bundle.validate(spark, out).where("part = 'chunks'").first()["digest_ok"]
     with pytest.raises(FileNotFoundError):
