@@ -121,11 +121,11 @@ def _pairs(fp: np.ndarray, left: int, radius: int) -> Iterator[tuple[np.ndarray,
 
 
 class Shard:
-    """Sets of one shard: fingerprints, band keys and sketches, of which the first ``left`` make the tree."""
+    """Sets of one shard: fingerprints, earlier band keys and sketches, of which the first ``left`` make the tree."""
 
-    def __init__(self, items: list[dict], left: int, mask: int, radius: int, similarity: float):
+    def __init__(self, items: list[dict], left: int, radius: int, similarity: float):
         self.fp = np.array([r["fp"] for r in items], np.int64).view(np.uint64)
-        self.earlier = np.array([r["__bands"][:mask] for r in items], np.int64).reshape(len(items), -1)
+        self.earlier = np.array([r["__bands"] for r in items], np.int64).reshape(len(items), -1)
         self.classes = np.frombuffer(b"".join(r["__sketch"] for r in items), np.uint8).reshape(len(items), SKETCH)
         self.left, self.radius, self.similarity = left, radius, similarity
 
@@ -173,7 +173,9 @@ def proposed(nodes: DataFrame, radius: int, similarity: float, shard_rows: int)
     """The members (mask, part, tree, query, left and a node's columns) of shards that have a candidate there."""
     of = F.transform("__bands", lambda v, i: F.struct(i.alias("mask"), v.alias("part")))
     item = [n for n, _ in WORKING]
-    sharded = nodes.select(*item, F.explode(of).alias("k")).select(*item, "k.mask", "k.part")
+    earlier = F.slice("__bands", F.lit(1), F.col("k.mask"))  # the keys that come before the shard's own
+    sharded = nodes.select(*item, F.explode(of).alias("k")).select(*item, "k.mask", "k.part", earlier.alias("__earlier")).drop("__bands")
+    sharded = sharded.withColumnRenamed("__earlier", "__bands").select(*item, "mask", "part")
     hot = cut(sharded.groupBy("mask", "part").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows))
     few = hot.limit(10_001).count()
     if few:
@@ -195,7 +197,7 @@ def proposed(nodes: DataFrame, radius: int, similarity: float, shard_rows: int)
             out = []
             for row in batch.to_pylist():
                 items, left = row["first"] + row["second"], len(row["first"])
-                found = Shard(items, left, row["mask"], radius, similarity).members().tolist()
+                found = Shard(items, left, radius, similarity).members().tolist()
                 out += [{**{c: row[c] for c in SHARD}, "left": k < left, **items[k]} for k in found]
             yield pa.RecordBatch.from_pylist(out, arrow)
 
@@ -236,13 +238,13 @@ def links(members: DataFrame, stands: DataFrame, texts: DataFrame, shingle: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                mask, first, second = (batch.column(c)[row].as_py() for c in ("mask", "first", "second"))
+                first, second = (batch.column(c)[row].as_py() for c in ("first", "second"))
                 items = first + second
-                label = Shard(items, len(first), mask, radius, similarity).joined([np.frombuffer(r["__set"], np.uint32) for r in items])
+                label = Shard(items, len(first), radius, similarity).joined([np.frombuffer(r["__set"], np.uint32) for r in items])
                 a, b = chains(label, np.array([r["__node"] for r in items], np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return over_batches(grouped.select("mask", "first", "second"), run, "a long, b long").distinct()
+    return over_batches(grouped.select("first", "second"), run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, bands: int = 10, shard_rows: int = 2048) -> DataFrame:
