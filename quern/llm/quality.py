@@ -15,7 +15,7 @@ ratios over nothing are 0. Without examples of both classes the list is empty an
 Repeated rows get equal results; of conditions of equal gain the first in order of features and
 thresholds is taken, and a value at a threshold is not over it. A very long text is counted whole,
 inside its row. An empty table gives an empty one. Other columns pass through; those named like a
-statistic, base_failed, kept or a working column (``__words``, ``__lines``, ``__hashes``,
+statistic, base_failed, kept or a working column (``__words``, ``__lines``,
 ``__windows``) are replaced.
 """
 
@@ -48,13 +48,16 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_upper": left(r"[^\p{Lu}]+").cast("long"),
             "n_marks": left(r"[^!?]+").cast("long"),
-            "__hashes": F.transform("__words", lambda w: F.xxhash64(w)),
         }
     )
-    windows = F.when(F.size("__hashes") < WINDOW, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size("__hashes") - WINDOW), lambda i: F.xxhash64(*[F.get("__hashes", i + k) for k in range(WINDOW)]))
-    )
-    out = out.withColumn("__windows", windows).drop("__words", "__lines", "__hashes")
+
+    def windows(hs: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(hs) - WINDOW), lambda i: F.xxhash64(*[F.get(hs, i + k) for k in range(WINDOW)]))
+        return F.when(F.size(hs) < WINDOW, F.array().cast("array<bigint>")).otherwise(each)
+
+    # bound in an array of one, so that the hashes are made once, also where a later filter is pushed below
+    hashes = F.array(F.transform("__words", lambda w: F.xxhash64(w)))
+    out = out.withColumn("__windows", F.get(F.transform(hashes, windows), F.lit(0))).drop("__words", "__lines")
     return out.withColumn("n_repeat_words", _covered("__windows").cast("long")).drop("__windows")
 
 

@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 from quern.llm import quality, queries
@@ -70,3 +71,12 @@ def test_no_labels_keeps_all_that_pass(spark, odd):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = queries.op6_quality(spark, sf_dir)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_filter_on_the_result_costs_no_more_than_a_few_passes(spark):
+    """A filter that Spark pushes below the statistics must not make them again for every word."""
+    long = " ".join(f"w{i % 9000}" for i in range(40_000))
+    df = spark.createDataFrame([(long,)] * 4, "text string")
+    began = time.time()
+    got = quality.judge(df, quality.DecisionList()).where("base_failed").select("n_repeat_words").collect()
+    assert len(got) == 4 and time.time() - began < 30
