@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import bpe, chat, fim, hardneg, langid, linededup, mixing, pii, quality, simhash, toxicity, transport
+from quern.llm import bpe, chat, fim, hardneg, langid, linededup, maintext, mixing, pii, quality, simhash, toxicity, transport
 from quern.llm.common import held_out, table
 from quern.llm.production import QUALITY_EXAMPLES, language_model, mix_weight, tokenizer_path
 
@@ -277,3 +277,9 @@ WITH e AS (
 )
 SELECT * FROM n WHERE rank <= 5
 """
+
+
+@query
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return maintext.extract(pages, keep_html=False).select("page_id", "url", "text", "n_chars")
