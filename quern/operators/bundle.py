@@ -79,7 +79,7 @@ def write(folder: str, chunks: DataFrame, index: lexical.LexicalIndex, embedding
             rows, digest = row_digest(spark.read.parquet(f"{folder}/{part}")).first()
             parts[part] = {"rows": rows, "sha256": digest}
     first = embeddings.select(F.size("embedding")).first() if embeddings is not None else None
-    manifest = {"schema_version": VERSION, **{f"source_{k}": v for k, v in (source or {}).items()}, "built_at": datetime.now(timezone.utc).isoformat(), "chunk_count": parts["chunks"]["rows"], "embedding_model": model if embeddings is not None else None, "embedding_dim": first[0] if first else None, "artifacts": parts}
+    manifest = {"schema_version": VERSION, **{f"source_{k}": v for k, v in (source or {}).items()}, "built_at": datetime.now(timezone.utc).isoformat(), "chunk_count": parts["chunks"]["rows"], "embedding_model": model if embeddings is not None else None, "embedding_dim": first[0] if first else None, "postings": spark.read.parquet(f"{folder}/index/postings").agg(F.sum("n")).first()[0] or 0, "artifacts": parts}
     write_text(spark, f"{folder}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
     return manifest
 

@@ -1,4 +1,12 @@
-"""Fielded BM25 over an inverted index that is a table of impacts."""
+"""Fielded BM25 over an inverted index of posting blocks.
+
+The rows of an index are dealt by hash to ranges of about ``RANGE`` rows; a block holds the postings of one term in
+one range, with the most that one of them can give. Blocks are stored by bucket, a hash of the term, so
+a query reads the folders of its terms' buckets, and in them the row groups that can hold its terms. A bucket's
+blocks are dealt to tasks by slab, some ranges in a row, so that a term that stands in every row is
+written by many tasks. What a posting gives is stored without its term's idf and its field's weight, which come from
+the much smaller table of terms; so the postings are made and written in one pass over the texts.
+"""
 
 from __future__ import annotations
 
@@ -13,29 +21,45 @@ from quern.functions.text import expand, query_words, substring_hits, tokenize
 K1, B, EPSILON = 2.0, 0.7, 0.25
 #: What a match in a field weighs.
 FIELD_WEIGHTS = {"text": 1.0, "title": 3.0, "heading": 2.0, "file_path": 2.5}
+#: Folders of terms; rows of a range; rows of a slab.
+BUCKETS, RANGE, SLAB = 64, 8, 1 << 17
+#: Terms of a query set up to this many are literals of the scan's filter.
+MAX_LITERALS = 4000
+#: Rows of what is asked for up to which a table of it is broadcast (some 40 bytes each).
+MAX_BROADCAST = 1_000_000
+#: Postings that the terms of a query set have together, from which on a search looks at block maxima first.
+MAX_PAIRS = 20_000_000
 
 
 @dataclass
 class LexicalIndex:
-    """``postings``: field, term, id, tf, impact; ``terms``: field, term, df, idf; ``fields``: field, n, avgdl, weight.
-
-    ``counted`` is what a fresh index keeps of the texts; :meth:`release` gives it up.
-    """
+    """``blocks``: bucket, slab, field, term, range, n, top, postings (id, tf, gain); ``terms``: bucket, field, term, df, idf; ``fields``: field, n, avgdl, weight."""
 
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     fields: DataFrame
-    counted: DataFrame | None = None
 
-    def release(self) -> None:
-        if self.counted is not None:
-            self.counted.unpersist()
+    @property
+    def postings(self) -> DataFrame:
+        """(field, term, id, tf, impact) of all postings."""
+        rows = self.blocks.select("bucket", "field", "term", F.inline("postings"))
+        told = rows.join(self.terms.drop("df"), ["bucket", "field", "term"]).join(F.broadcast(self.fields), "field")
+        return told.select("field", "term", "id", "tf", (F.col("weight") * F.col("idf") * F.col("gain")).alias("impact"))
+
+    def containing(self, terms: DataFrame, field: str) -> DataFrame:
+        """``terms`` (with a column term) joined to the ids of the rows whose field has the term."""
+        wanted, literals = _literals(terms)
+        found = _pruned(self.blocks.where(F.col("field") == field), literals).join(wanted, ["bucket", "term"])
+        return found.select(*terms.columns, F.explode("postings.id").alias("id"))
 
     def save(self, folder: str) -> None:
-        """Postings are clustered by term, so a query reads the few row groups of its terms."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "field", "id").write.mode("overwrite").parquet(f"{folder}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{folder}/terms")
+        """Write the blocks by bucket, then the terms from what was written."""
+        spark = self.blocks.sparkSession
+        plain = self.blocks.sortWithinPartitions("bucket", "term", "field", "range")
+        plain.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").partitionBy("bucket").parquet(f"{folder}/postings")
         self.fields.write.mode("overwrite").parquet(f"{folder}/fields")
+        written = spark.read.parquet(f"{folder}/postings")
+        term_table(written, self.fields).sortWithinPartitions("bucket", "term").write.mode("overwrite").parquet(f"{folder}/terms")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> LexicalIndex:
@@ -46,60 +70,152 @@ def file_path_field(file: Column) -> Column:
     return F.replace(file, F.lit(".md"), F.lit(""))
 
 
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def term_table(blocks: DataFrame, fields: DataFrame) -> DataFrame:
+    """(bucket, field, term, df, idf) of the blocks."""
+    raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    counted = blocks.groupBy("bucket", "field", "term").agg(F.sum("n").alias("df")).join(F.broadcast(fields.select("field", "n")), "field").withColumn("raw", raw)
+    floor = counted.groupBy("field").agg((F.avg("raw") * EPSILON).alias("floor"))  # one row a field
+    idf = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
+    return counted.join(F.broadcast(floor), "field").select("bucket", "field", "term", "df", idf.alias("idf"))
+
+
 def build_index(docs: DataFrame, fields: dict[str, Column], weights: dict[str, float] | None = None) -> LexicalIndex:
     """Index the fields of rows with a unique ``id``; a field without a weight weighs 1.
 
-    The texts are read once: what was counted of them is kept (on disk and in memory) while the
-    session needs it, and all else is derived from that.
+    The texts are read twice, once for the mean lengths of the fields; tokens are shuffled once.
     """
     weights = weights or {}
     of = F.array(*[F.struct(F.lit(name).alias("field"), tokenize(column).alias("tokens")) for name, column in fields.items()])
     rows = docs.select("id", F.explode(of).alias("f")).select("id", "f.field", "f.tokens", F.size("f.tokens").alias("dl"))
-    counted = rows.select("field", "id", "dl", F.explode("tokens").alias("term")).groupBy("field", "term", "id").agg(F.min("dl").alias("dl"), F.count("*").alias("tf"))
-    counted = counted.persist()
-    n = docs.select("id").count()
-    given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else None
-    weight = F.coalesce(F.try_element_at(given, F.col("field")), F.lit(1.0)) if given is not None else F.lit(1.0)
-    every = docs.sparkSession.createDataFrame([(name,) for name in fields] if n else [], "field string")
-    lengths = counted.groupBy("field").agg(F.sum("tf").alias("total"))
-    avgdl = F.coalesce(F.col("total"), F.lit(0)) / max(n, 1)
-    stats = every.join(lengths, "field", "left").select("field", F.lit(n).cast("long").alias("n"), avgdl.alias("avgdl"), weight.alias("weight"))
-    raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    terms = counted.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(stats), "field").withColumn("raw", raw)
-    floor = terms.groupBy("field").agg((F.avg("raw") * EPSILON).alias("floor"))  # one row a field
-    terms = terms.join(F.broadcast(floor), "field").select("field", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    length = 1 - B + B * F.try_divide(F.col("dl"), F.col("avgdl"))
-    impact = F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    postings = counted.join(terms, ["field", "term"]).join(F.broadcast(stats), "field").select("field", "term", "id", "tf", impact.alias("impact"))
-    return LexicalIndex(postings, terms, stats, counted)
+    told = {r["field"]: r for r in rows.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()}  # one row a field
+    n = max((r["n"] for r in told.values()), default=0)
+    stats = [(name, n, told[name]["total"] / n, weights.get(name, 1.0)) for name in fields if name in told]
+    table = docs.sparkSession.createDataFrame(stats, "field string, n long, avgdl double, weight double")
+
+    mean = F.lit(None).cast("double")
+    for name, _, avgdl, _ in stats:
+        mean = F.when(F.col("field") == name, F.lit(avgdl)).otherwise(mean)
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.try_divide(F.col("dl"), mean)))
+    place = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // RANGE))))
+    tokens = rows.select("field", "id", "dl", place.alias("range"), F.explode("tokens").alias("term"))
+    dealt = tokens.withColumns({"bucket": bucket(F.col("term")), "slab": F.floor(F.col("range") * RANGE / SLAB)}).repartition("bucket", "slab")
+    where = ["bucket", "slab", "field", "term", "range"]  # rows that agree in bucket and slab are together already
+    counted = dealt.groupBy(*where, "id").agg(F.min("dl").alias("dl"), F.count("*").alias("tf")).withColumn("gain", gain)
+    item = F.struct("id", "tf", "gain")
+    blocks = counted.groupBy(*where).agg(F.count("*").alias("n"), F.max("gain").alias("top"), F.sort_array(F.collect_list(item)).alias("postings"))
+    return LexicalIndex(blocks, term_table(blocks, table), table)
+
+
+def _literals(terms: DataFrame) -> tuple[DataFrame, list[tuple[int, str]] | None]:
+    """The table ``terms`` with buckets, to be broadcast if it is small, and its distinct (bucket, term), None if they are many."""
+    placed = terms.withColumn("bucket", bucket(F.col("term")))
+    got = placed.groupBy("bucket", "term").count().limit(MAX_LITERALS + 1).collect()
+    if len(got) <= MAX_LITERALS:
+        return (F.broadcast(placed) if sum(r[2] for r in got) <= MAX_BROADCAST else placed), [(r[0], r[1]) for r in got]
+    return (F.broadcast(placed) if placed.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else placed), None
+
+
+def _pruned(table: DataFrame, literals: list[tuple[int, str]] | None) -> DataFrame:
+    """The folders and row groups of a table that can hold the terms."""
+    if literals is None:
+        return table  # the join prunes buckets when it runs
+    return table.where(F.col("bucket").isin(sorted({b for b, _ in literals})) & F.col("term").isin(sorted({t for _, t in literals})))
 
 
-def scores(index: LexicalIndex, queries: DataFrame, at_least: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, kw) of the rows that hold a term of the expanded query (query_id, query).
+@dataclass
+class Matched:
+    """The terms of a query set that the index has, as a table (bucket, field, term, query_id, w), and the blocks of these."""
 
-    The pairs (query_id, id) of ``at_least`` are there too, with 0 if nothing matches.
-    """
-    wanted = queries.select("query_id", F.explode(expand(tokenize(F.col("query")))).alias("term"))
-    rows = index.postings.join(wanted, "term").select("query_id", "id", "impact")
-    if at_least is not None:
-        rows = rows.union(at_least.select("query_id", "id", F.lit(0.0)))
-    return rows.groupBy("query_id", "id").agg(F.sum("impact").alias("kw"))
+    told: DataFrame
+    blocks: DataFrame
+    pairs: int
 
+    def of(self, *columns: Column | str) -> DataFrame:
+        return self.blocks.join(self.told, ["bucket", "field", "term"]).select("query_id", "w", "range", *columns)
 
-def first_rows(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Each query with the first ``k`` rows by place: all that rows without a match can give to its first k."""
-    return docs.select("id", "ordinal").orderBy("ordinal").limit(k).crossJoin(queries.select("query_id")).select("query_id", "id")
 
+def matched(index: LexicalIndex, queries: DataFrame) -> Matched:
+    terms = queries.select("query_id", F.explode(expand(tokenize(F.col("query")))).alias("term"))
+    wanted, literals = _literals(terms)
+    known = _pruned(index.terms, literals).join(wanted, ["bucket", "term"]).join(F.broadcast(index.fields.select("field", "weight")), "field")
+    told = known.select("bucket", "field", "term", "query_id", (F.col("weight") * F.col("idf")).alias("w"), "df")
+    if literals is not None:
+        got = told.limit(MAX_BROADCAST + 1).collect() if len(literals) <= MAX_LITERALS else []
+        if len(got) <= MAX_BROADCAST:  # few rows: the scan of the blocks need not wait for that of the terms
+            local = queries.sparkSession.createDataFrame([tuple(r) for r in got], told.schema)
+            return Matched(F.broadcast(local.drop("df")), _pruned(index.blocks, [(r["bucket"], r["term"]) for r in got]), sum(r["df"] for r in got))
+    n, pairs = told.agg(F.count("*"), F.sum("df")).first()
+    return Matched(F.broadcast(told.drop("df")) if n <= MAX_BROADCAST else told.drop("df"), _pruned(index.blocks, literals), pairs or 0)
 
-def top(found: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, ordinal, kw, rank): the first k rows of each query by score, then place.
 
-    ``found`` are scores with :func:`first_rows`, so that rows that score 0 take part without
-    every query meeting every row; those of rows that ``docs`` lacks drop out.
+def _summed(rows: DataFrame) -> DataFrame:
+    """(query_id, id, kw) of rows (query_id, w, postings)."""
+    each = rows.select("query_id", "w", F.inline("postings")).select("query_id", "id", (F.col("w") * F.col("gain")).alias("impact"))
+    return each.groupBy("query_id", "id").agg(F.sum("impact").alias("kw"))
+
+
+def scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """(query_id, id, kw) of the rows that hold a term of the expanded query (query_id, query)."""
+    return _summed(matched(index, queries).of("postings"))
+
+
+def live_ranges(found: Matched, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, range) of the ranges that can hold one of the first ``k`` of ``docs`` (id) for a query.
+
+    A range gives at most the sum of its blocks' maxima. The ``k`` ranges that can give most are
+    counted in full; the k-th best of their rows is what another range must be able to reach.
+    """
+    most = found.of("top").groupBy("query_id", "range").agg(F.sum(F.greatest(F.col("w") * F.col("top"), F.lit(0.0))).alias("most")).persist()
+    by = Window.partitionBy("query_id").orderBy(F.col("most").desc(), "range")
+    first = most.withColumn("__k", F.row_number().over(by)).where(F.col("__k") <= k).select("query_id", "range")
+    full = _summed(found.of("postings").join(F.broadcast(first), ["query_id", "range"])).join(docs.select("id"), "id", "left_semi")
+    kth = Window.partitionBy("query_id").orderBy(F.col("kw").desc())
+    least = full.withColumn("__k", F.row_number().over(kth)).where(F.col("__k") == k).select("query_id", F.col("kw").alias("least"))  # one row a query
+    reach = most.join(F.broadcast(least), "query_id", "left").where(F.col("least").isNull() | (F.col("most") >= F.col("least") - 1e-6))
+    return reach.select("query_id", "range")
+
+
+def first(index: LexicalIndex, queries: DataFrame, docs: DataFrame, k: int, maxima: bool | None = None) -> DataFrame:
+    """(query_id, id, ordinal, kw) with all that can be among the first ``k`` of ``docs`` (id, ordinal) for each query.
+
+    By block maxima where the queries' terms have many postings (or as ``maxima`` says), else all
+    rows with a term; and the first rows by place with 0, so that rows that score 0 take part without every
+    query meeting every row.
     """
-    placed = found.join(docs.select("id", "ordinal"), "id")
+    found = matched(index, queries)
+    every = found.of("postings")
+    if found.pairs > MAX_PAIRS if maxima is None else maxima:
+        live = live_ranges(found, docs, k)
+        few = live.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+        every = every.join(F.broadcast(live) if few else live, ["query_id", "range"])
+    plain = docs.select("id", "ordinal").orderBy("ordinal").limit(k).crossJoin(F.broadcast(queries.select("query_id"))).select("query_id", "id", F.lit(0.0).alias("kw"))
+    rows = _summed(every).unionByName(plain).groupBy("query_id", "id").agg(F.sum("kw").alias("kw"))
+    return rows.join(small(docs.select("id", "ordinal")), "id").select("query_id", "id", "ordinal", "kw")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it is counted small."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+
+
+def top(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, ordinal, kw, rank): the first k rows of each query by score, then place."""
     by = Window.partitionBy("query_id").orderBy(F.round("kw", 6).desc(), F.col("ordinal"))
-    return placed.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def reading(index: LexicalIndex, queries: DataFrame, docs: DataFrame, k: int, common: int = 0) -> DataFrame:
+    """(query_id, postings, read): the postings of a query's terms in over ``common`` rows, and those that a search by block maxima reads for its first ``k``."""
+    found = matched(index, queries)
+    dense = index.terms.where(F.col("df") > common).select("bucket", "field", "term")
+    rows = found.blocks.join(small(dense), ["bucket", "field", "term"], "left_semi").join(found.told, ["bucket", "field", "term"]).select("query_id", "range", "n")
+    live = live_ranges(found, docs, k).withColumn("live", F.lit(True))
+    marked = rows.join(live, ["query_id", "range"], "left")
+    return marked.groupBy("query_id").agg(F.sum("n").alias("postings"), F.coalesce(F.sum(F.when(F.col("live"), F.col("n"))), F.lit(0)).alias("read"))
 
 
 def fallback(text: Column, query: Column) -> Column:

@@ -213,9 +213,7 @@ def pool(chunks: DataFrame, queries: DataFrame, index: lexical.LexicalIndex | No
         keys = near.select("query_id", "id").union(rows.select("query_id", "id")).distinct()
         pairs = scored_pairs(keys, chunks, queries, o)
         return pairs.withColumn("kw", lexical.fallback(F.col("text"), F.col("query")))
-    found = lexical.scores(index, queries, lexical.first_rows(chunks, queries, n))
-    place = found.join(chunks.select("id", "ordinal"), "id")
-    told = ranked(place, "kw", "k").select("query_id", "id", "kw", (F.col("k") <= n).alias("in"))
+    told = ranked(lexical.first(index, queries, chunks, n), "kw", "k").select("query_id", "id", "kw", (F.col("k") <= n).alias("in"))
     keys = near.union(told).groupBy("query_id", "id").agg(F.coalesce(F.max("kw"), F.lit(0.0)).alias("kw"), F.max("in").alias("in")).where("in").drop("in")
     return scored_pairs(keys, chunks, queries, o)
 

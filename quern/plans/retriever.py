@@ -63,13 +63,13 @@ class Retriever:
             bundle.check_source(opened.manifest, expected)
         chunks, index = opened.chunks.persist(), opened.index
         if index is not None:
-            index = lexical.LexicalIndex(index.postings.persist(), index.terms, index.fields)
+            index = lexical.LexicalIndex(index.blocks.persist(), index.terms.persist(), index.fields)
         return cls(chunks, index, model, scorer, opened.manifest)
 
     def close(self) -> None:
         self.chunks.unpersist()
         if self.index is not None:
-            self.index.postings.unpersist()
+            self.index.blocks.unpersist(), self.index.terms.unpersist()
 
     def queries(self, texts: list[str]) -> DataFrame:
         """The query table of some texts: query_id is the place in the list."""

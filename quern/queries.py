@@ -24,7 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 DIM = 64
 #: Names the layout of what is written for the queries; folders of another one are not opened.
-LAYOUT = "2"
+LAYOUT = "3"
 
 
 def query(sql: str | None = None):
@@ -103,9 +103,7 @@ def _written(spark: SparkSession, sf: str, kind: str, write: Callable[[str], obj
 
 def _index(spark: SparkSession, sf: str, kind: str, fields: dict[str, Column], weights: dict[str, float] | None = None) -> lexical.LexicalIndex:
     def write(folder: str) -> None:
-        index = lexical.build_index(doc_chunks(spark, sf), fields, weights)
-        index.save(folder)
-        index.release()
+        lexical.build_index(doc_chunks(spark, sf), fields, weights).save(folder)
 
     return lexical.LexicalIndex.load(spark, _written(spark, sf, kind, write))
 
@@ -206,9 +204,8 @@ def bm25_field_stats(spark, sf):
     return doc_index(spark, sf).fields.select("field", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
-def _top(index: lexical.LexicalIndex, spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    docs, queries = doc_chunks(spark, sf), asked(spark, sf)
-    got = lexical.top(lexical.scores(index, queries, lexical.first_rows(docs, queries, k)), docs, k)
+def _top(index: lexical.LexicalIndex, spark: SparkSession, sf: str, k: int = 20, maxima: bool | None = None) -> DataFrame:
+    got = lexical.top(lexical.first(index, asked(spark, sf), doc_chunks(spark, sf), k, maxima), k)
     return got.select("query_id", "rank", "id", F.round("kw", 4).alias("score"))
 
 
@@ -226,6 +223,12 @@ def bm25_fielded_topk(spark, sf):
     return _top(fielded_index(spark, sf), spark, sf)
 
 
+@query(f"WITH {C}, {Q}, {EXPANDED}, {FIELDED}, {_ALL} {_TOP}")
+def bm25_maxima_topk(spark, sf):
+    """As bm25_fielded_topk, by block maxima."""
+    return _top(fielded_index(spark, sf), spark, sf, maxima=True)
+
+
 @query(f"""WITH {C}, {Q}, {WORDS} SELECT query_id, rank, id, hits FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, ordinal) AS rank FROM (
     SELECT query_id, id, ordinal, len(list_filter(ws, lambda w: contains(lower(text), w))) AS hits FROM chunks CROSS JOIN words)) WHERE rank <= 20 AND hits > 0""")
@@ -777,8 +780,7 @@ def doc_bundle(spark: SparkSession, sf: str) -> str:
   'hashing' AS embedding_model, 64 AS embedding_dim, (SELECT count(*) FROM idf) AS terms, (SELECT count(*) FROM tf) AS postings""")
 def manifest_info(spark, sf):
     got = bundle.open_bundle(spark, doc_bundle(spark, sf)).info(spark)
-    part = lambda p: F.col("artifacts")[f"index/{p}"]["rows"].alias(p)
-    return got.select("schema_version", "source_repo", "chunk_count", "embedding_model", "embedding_dim", part("terms"), part("postings"))
+    return got.select("schema_version", "source_repo", "chunk_count", "embedding_model", "embedding_dim", F.col("artifacts")["index/terms"]["rows"].alias("terms"), "postings")
 
 
 @query("""SELECT part, part <> 'embeddings/float32' AS present, part <> 'embeddings/float32' AS rows_ok, part <> 'embeddings/float32' AS digest_ok FROM (

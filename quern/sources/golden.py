@@ -56,7 +56,7 @@ def containing(passages: DataFrame, chunks: DataFrame, index: LexicalIndex, fiel
     inner = asked.where(F.size("ts") > 2).select("query_id", F.explode(F.array_distinct(F.slice("ts", 2, F.size("ts") - 2))).alias("term"))
     known = inner.join(index.terms.where(F.col("field") == field).select("term", "df"), "term", "left")
     rarest = known.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
-    pairs = rarest.join(index.postings.where(F.col("field") == field).select("term", "id"), "term").select("query_id", "id")
+    pairs = index.containing(rarest.where(F.col("term").isNotNull()), field).select("query_id", "id")
     told = chunks.select("id", "file", "publication", F.col("text").alias("body"))
     found = told.join(pairs, "id").join(passages.select("query_id", "passage"), "query_id").where(F.contains("body", F.col("passage")))
     short = asked.where(F.size("ts") <= 2).select("query_id", "passage")
