@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import lexical
+from quern.operators import embedding, lexical
 
 VERSION = 1
 #: Stored precisions of the vectors, the preferred one first.
@@ -64,15 +64,19 @@ def write_text(spark: SparkSession, name: str, text: str) -> None:
 def write(folder: str, chunks: DataFrame, index: lexical.LexicalIndex, embeddings: DataFrame | None = None, source: dict[str, str] | None = None, model: str = "hashing", precision: str = "float16") -> dict:
     """Write a bundle; the manifest comes last and has a digest of every part.
 
-    ``precision`` says to what the vectors have been rounded (float16 or float32).
+    ``precision`` says to what the vectors have been rounded (float16, stored as two bytes a value, or float32).
+    The chunks lie in order of their ids, so that one is found in one row group.
     """
     if precision not in PRECISIONS:
         raise ValueError(f"unknown precision: {precision}")
     spark = chunks.sparkSession
-    chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
+    chunks.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{folder}/chunks")
     index.save(f"{folder}/index")
     if embeddings is not None:
-        embeddings.write.mode("overwrite").parquet(f"{folder}/embeddings/{precision}")
+        stored = embeddings.withColumn("packed", embedding.packed("embedding")).drop("embedding") if precision == "float16" else embeddings
+        # beside its vector a row has all that a search looks at before it reads texts
+        told = spark.read.parquet(f"{folder}/chunks").drop("text")
+        told.join(stored, "id").write.mode("overwrite").parquet(f"{folder}/embeddings/{precision}")
     parts = {}
     for part in PARTS:
         if exists(spark, f"{folder}/{part}"):
@@ -86,9 +90,12 @@ def write(folder: str, chunks: DataFrame, index: lexical.LexicalIndex, embedding
 
 @dataclass
 class Bundle:
+    """``chunks`` are without texts, and with vectors, if the bundle has vectors; ``texts`` are then the chunks as written."""
+
     manifest: dict
     chunks: DataFrame
     index: lexical.LexicalIndex | None
+    texts: DataFrame | None = None
 
     def info(self, spark: SparkSession) -> DataFrame:
         """The manifest as one row."""
@@ -115,11 +122,11 @@ def open_bundle(spark: SparkSession, folder: str) -> Bundle:
     manifest = read_manifest(spark, folder)
     if not exists(spark, f"{folder}/chunks"):
         raise FileNotFoundError(f"no chunks in {folder}")
-    chunks = spark.read.parquet(f"{folder}/chunks")
+    chunks, texts = spark.read.parquet(f"{folder}/chunks"), None
     if exists(spark, f"{folder}/embeddings"):
-        chunks = chunks.join(load_embeddings(spark, folder), "id")
+        chunks, texts = load_embeddings(spark, folder), chunks
     index = lexical.LexicalIndex.load(spark, f"{folder}/index") if exists(spark, f"{folder}/index/postings") else None
-    return Bundle(manifest, chunks, index)
+    return Bundle(manifest, chunks, index, texts)
 
 
 def validate(spark: SparkSession, folder: str) -> DataFrame:

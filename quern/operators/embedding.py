@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +80,44 @@ def _attempt(model: Model, texts: list[str], dim: int, retries: int, wait: float
     return np.zeros((len(texts), dim), np.float32)
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a batch, arrays or packed halves, as one matrix."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2], np.float16)[ends[0] // 2 : ends[-1] // 2].reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _halves(vectors: pd.Series) -> list[np.ndarray | None]:
+    """Each vector rounded to half precision; all of a batch at once."""
+    there = vectors.notna().to_numpy()
+    ends = np.cumsum([len(v) for v in vectors[there]])
+    flat = np.concatenate(list(vectors[there])).astype(np.float16) if there.any() else np.zeros(0, np.float16)
+    parts = iter(np.split(flat, ends[:-1]) if len(ends) else [])
+    return [next(parts) if t else None for t in there]
+
+
+def packed(vector: str) -> Column:
+    """The vectors of a column as bytes, two a value (half precision)."""
+
+    @F.pandas_udf("binary")
+    def pack(v: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else x.tobytes() for x in _halves(v)], dtype=object)
+
+    return pack(vector)
+
+
+def unpacked(vector: str) -> Column:
+    """The vectors of a column of packed halves."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(v: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else np.frombuffer(x, np.float16).astype(np.float32) for x in v], dtype=object)
+
+    return unpack(vector)
+
+
 def store_precision(df: DataFrame, kind: str = "float16") -> DataFrame:
     """Round ``embedding`` to its stored precision and add ``norm`` of what is stored."""
     if kind not in ("float16", "float32"):
@@ -87,7 +126,7 @@ def store_precision(df: DataFrame, kind: str = "float16") -> DataFrame:
 
         @F.pandas_udf("array<float>")
         def half(v: pd.Series) -> pd.Series:
-            return v.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float32))
+            return pd.Series([None if x is None else x.astype(np.float32) for x in _halves(v)], dtype=object)
 
         df = df.withColumn("embedding", half("embedding"))
     return df.withColumn("norm", norm(F.col("embedding")).cast("float"))

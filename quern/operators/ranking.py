@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from quern.functions.text import query_words, substring_hits
 from quern.functions.vectors import similarity
 from quern.operators import lexical
+from quern.operators.embedding import matrix, unpacked
 
 #: What a word in a title or among the siblings adds; shares of the two scores.
 TITLE_BOOST, CLUSTER_BOOST = 0.05, 0.03
@@ -29,6 +30,8 @@ MAX_QUERIES = 100_000
 MAX_QUERY_BYTES = 1 << 28
 #: Queries that are multiplied with a batch of rows at a time.
 QUERIES_AT_ONCE = 512
+#: Pairs of a query and a row up to which they are brought to the driver and broadcast, to fetch the rows' fields.
+MAX_KEYS = 200_000
 MODES = ("hybrid", "vector", "keyword")
 FIELDS = ["id", "score", "publication", "file", "heading", "title", "product_area", "last_updated", "canonical_url", "is_code", "text"]
 
@@ -74,15 +77,31 @@ def cluster_boost(tags: Column, words: Column) -> Column:
 
 
 def prepared(queries: DataFrame) -> DataFrame:
-    """Queries with their distinct words; more than MAX_QUERIES at once raise ValueError."""
-    out = queries.select("query_id", "query", query_words(F.col("query")).alias("__words"), F.col("vector").alias("__vector"))
-    if out.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+    """Queries with their distinct words, as a local table: counted first, then brought to the driver.
+
+    More than MAX_QUERIES at once, or more than MAX_QUERY_BYTES of vectors, raise ValueError.
+    """
+    if "__words" in queries.columns:
+        return queries
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    if n > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries at once")
-    return out
+    if size * 8 > MAX_QUERY_BYTES:
+        raise ValueError("the vectors of the queries take too much memory")
+    out = queries.select("query_id", "query", query_words(F.col("query")).alias("__words"), F.col("vector").alias("__vector"))
+    return queries.sparkSession.createDataFrame(out.collect(), out.schema)
+
+
+def held(keys: DataFrame) -> DataFrame:
+    """A table of keys, worked out and to be broadcast if it has at most MAX_KEYS rows."""
+    got = keys.limit(MAX_KEYS + 1).collect()
+    return F.broadcast(keys.sparkSession.createDataFrame(got, keys.schema)) if len(got) <= MAX_KEYS else keys
 
 
 def with_scores(pairs: DataFrame, o: Options, clusters: bool = True) -> DataFrame:
     """Pairs of a chunk and a prepared query with tb (title boost) and boosted (vector score and boosts)."""
+    if "packed" in pairs.columns:
+        pairs = pairs.withColumn("embedding", unpacked("packed")).drop("packed")
     vec = similarity(F.col("embedding"), F.col("__vector"), F.col("norm"), o.dim)
     tb = title_boost(F.col("title"), F.col("__words"), o.case_insensitive_titles)
     sibling = cluster_boost(F.col("cluster_tags"), F.col("__words")) if clusters and "cluster_tags" in pairs.columns else F.lit(0.0)
@@ -130,13 +149,12 @@ def nearest(chunks: DataFrame, queries: DataFrame, n: int, o: Options, clusters:
     only those are shuffled. Rows without a vector don't take part.
     """
     asked = prepared(queries).collect()
-    if sum(len(r["__vector"] or []) for r in asked) * 8 > MAX_QUERY_BYTES:
-        raise ValueError("the vectors of the queries take too much memory")
     shared = chunks.sparkSession.sparkContext.broadcast([(r["__words"], r["__vector"]) for r in asked])
     ids = [r["query_id"] for r in asked]
     tags = clusters and "cluster_tags" in chunks.columns
     title = F.lower("title") if o.case_insensitive_titles else F.col("title")
-    rows = chunks.where(F.col("embedding").isNotNull()).select("id", F.col("ordinal").cast("long").alias("ordinal"), "embedding", F.col("norm").cast("double").alias("norm"), title.alias("title"), *(["cluster_tags"] if tags else []))
+    vector = "packed" if "packed" in chunks.columns else "embedding"
+    rows = chunks.where(F.col(vector).isNotNull()).select("id", F.col("ordinal").cast("long").alias("ordinal"), vector, F.col("norm").cast("double").alias("norm"), title.alias("title"), *(["cluster_tags"] if tags else []))
     schema = T.StructType([T.StructField("__q", T.IntegerType()), rows.schema["id"], T.StructField("ordinal", T.LongType()), T.StructField("__s", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +166,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, n: int, o: Options, clusters:
             size = batch.num_rows
             if not size or not told:
                 continue
-            e = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(size, -1)
+            e = matrix(batch.column(vector)).astype(float)
             length = np.maximum(batch.column("norm").to_numpy(zero_copy_only=False), 1e-9)
             extra = boosts.counts(batch.column("title").to_pylist()) * TITLE_BOOST
             if tags:
@@ -177,8 +195,11 @@ def nearest(chunks: DataFrame, queries: DataFrame, n: int, o: Options, clusters:
 
 
 def scored_pairs(keys: DataFrame, chunks: DataFrame, queries: DataFrame, o: Options, clusters: bool = True) -> DataFrame:
-    """The pairs ``keys`` (query_id, id, ...) with the fields of their rows and their scores."""
-    return with_scores(keys.join(chunks, "id").join(F.broadcast(prepared(queries)), "query_id"), o, clusters)
+    """The pairs ``keys`` (query_id, id, ...) with the fields of their rows and their scores.
+
+    Few pairs are broadcast, so no table of rows is shuffled to fetch them.
+    """
+    return with_scores(chunks.join(held(keys), "id").join(F.broadcast(prepared(queries)), "query_id"), o, clusters)
 
 
 def order(score: str) -> list[Column]:
@@ -205,7 +226,7 @@ def pool(chunks: DataFrame, queries: DataFrame, index: lexical.LexicalIndex | No
     in one aggregation by query and row, and only pooled rows are joined to the rest of their
     fields. Without an index the keyword score is counted in a scan that keeps the first rows.
     """
-    n = pool_size(o.top_k)
+    n, queries = pool_size(o.top_k), prepared(queries)
     near = nearest(chunks, queries, n, o).select("query_id", "id", F.lit(None).cast("double").alias("kw"), F.lit(True).alias("in"))
     if index is None:
         rows = chunks.select("id", "ordinal", "text").crossJoin(F.broadcast(prepared(queries)))
@@ -263,18 +284,28 @@ def collect(df: DataFrame, top_k: int, min_score: float) -> DataFrame:
     return df.where(F.col("rank") <= top_k).where(F.col("score") >= min_score)
 
 
-def search(chunks: DataFrame, queries: DataFrame, index: lexical.LexicalIndex | None, o: Options) -> DataFrame:
-    """Hits (query_id, rank, id, score and the fields of the chunk) of every query."""
+def search(chunks: DataFrame, queries: DataFrame, index: lexical.LexicalIndex | None, o: Options, texts: DataFrame | None = None) -> DataFrame:
+    """Hits (query_id, rank, id, score and the fields of the chunk) of every query.
+
+    ``texts`` (id, text) are the texts if ``chunks`` hasn't them: then only those of the hits are read.
+    """
     o.check()
-    chosen_rows = filtered(chunks, o)
+    chosen_rows, queries = filtered(chunks, o), prepared(queries)
     if o.mode == "vector":
         n = o.candidate_k or o.top_k
         hits = scored_pairs(nearest(chosen_rows, queries, n, o), chosen_rows, queries, o).withColumn("score", F.col("boosted"))
-        return _fields(collect(ranked(hits, "score"), n, o.min_score))
-    pooled = ranked(fused(pool(chosen_rows, queries, index, o), o.mode), "score")
+        return _fields(_with_texts(collect(ranked(hits, "score"), n, o.min_score), texts))
+    whole = chosen_rows if index is not None or texts is None else chosen_rows.join(texts, "id")  # without an index all texts are read
+    pooled = ranked(fused(pool(whole, queries, index, o), o.mode), "score")
     if o.mode == "hybrid" and o.top_k > 1:
         pooled = diverse(pooled.select("query_id", "rank", "__words", *[c for c in FIELDS if c in pooled.columns]), o.top_k)
-    return _fields(collect(pooled, o.top_k, o.min_score))
+    return _fields(_with_texts(collect(pooled, o.top_k, o.min_score), texts))
+
+
+def _with_texts(hits: DataFrame, texts: DataFrame | None) -> DataFrame:
+    if texts is None or "text" in hits.columns:
+        return hits
+    return texts.join(held(hits), "id")
 
 
 def _fields(hits: DataFrame) -> DataFrame:
@@ -290,11 +321,11 @@ def evaluate_search(chunks: DataFrame, queries: DataFrame, index: lexical.Lexica
     """
     if mode != "vector" and index is None:
         raise ValueError(f"mode {mode} needs a lexical index")
-    o = Options(dim=dim)
+    o, queries = Options(dim=dim), prepared(queries)
     if mode == "vector":
         rows = scored_pairs(nearest(chunks, queries, top_k, o, clusters=False), chunks, queries, o, clusters=False).withColumn("score", F.col("boosted"))
         return _fields(best(rows, "score", top_k))
-    found = lexical.scores(index, queries).join(chunks.select("id"), "id", "left_semi")
+    found = lexical.scores(index, queries).join(lexical.small(chunks.select("id")), "id", "left_semi")
     if mode == "keyword":
         # no vector counts here; without a term a row scores its title boost
         asked = F.broadcast(prepared(queries))
@@ -305,7 +336,7 @@ def evaluate_search(chunks: DataFrame, queries: DataFrame, index: lexical.Lexica
         plain = nearest(chunks, queries, top_k, o, clusters=False)
     keys = plain.withColumn("kw", F.lit(0.0)).union(found.select("query_id", "id", "kw")).groupBy("query_id", "id").agg(F.max("kw").alias("kw"))
     if mode == "keyword":
-        pairs = keys.join(chunks.drop("embedding", "norm"), "id").join(asked, "query_id")
+        pairs = chunks.drop("embedding", "norm").join(held(keys), "id").join(asked, "query_id")
         return _fields(best(pairs.withColumn("score", F.col("kw") + title_boost(F.col("title"), F.col("__words"))), "score", top_k))
     top = found.groupBy("query_id").agg(F.max("kw").alias("top"))  # one row a query
     rows = scored_pairs(keys, chunks, queries, o, clusters=False).join(F.broadcast(top), "query_id", "left")
@@ -320,7 +351,3 @@ def _within_reach(found: DataFrame, queries: DataFrame, top_k: int) -> DataFrame
     boost = queries.select("query_id", (F.size(query_words(F.col("query"))) * TITLE_BOOST + 1e-6).alias("boost"))
     least = limit.join(boost, "query_id").select("query_id", F.when(F.col("n") >= top_k, F.col("kth") - F.col("boost")).alias("least"))
     return found.join(F.broadcast(least), "query_id").where(F.col("least").isNull() | (F.col("kw") >= F.col("least"))).select("query_id", "id", "kw")
-
-
-def _fields(hits: DataFrame) -> DataFrame:
-    return hits.select("query_id", "rank", *[c for c in FIELDS if c in hits.columns])

@@ -50,26 +50,34 @@ class Retriever:
     model: Model
     scorer: Callable[[], rerank.Scorer] | None = None
     manifest: dict | None = None
+    texts: DataFrame | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str, model: Model, scorer: Callable[[], rerank.Scorer] | None = None, expected: str | None = None) -> Retriever:
+    def open(cls, spark: SparkSession, folder: str, model: Model, scorer: Callable[[], rerank.Scorer] | None = None, expected: str | None = None, keep: bool = True) -> Retriever:
         """A retriever over a saved bundle, opened once for many queries; ``expected`` is the repository it should be from.
 
-        Chunks without their vectors, postings and vectors stay in memory or on local disks of the
+        With ``keep`` postings and vectors, but no texts, stay in memory or on local disks of the
         executors once they were read; :meth:`close` gives them up.
         """
         opened = bundle.open_bundle(spark, folder)
         if expected:
             bundle.check_source(opened.manifest, expected)
-        chunks, index = opened.chunks.persist(), opened.index
-        if index is not None:
-            index = lexical.LexicalIndex(index.blocks.persist(), index.terms.persist(), index.fields)
-        return cls(chunks, index, model, scorer, opened.manifest)
+        chunks, index, texts = opened.chunks, opened.index, opened.texts
+        if keep:
+            chunks = chunks.persist()
+            if index is not None:
+                index = lexical.LexicalIndex(index.blocks.persist(), index.terms.persist(), index.fields.persist())
+        return cls(chunks, index, model, scorer, opened.manifest, texts)
 
     def close(self) -> None:
         self.chunks.unpersist()
         if self.index is not None:
-            self.index.blocks.unpersist(), self.index.terms.unpersist()
+            for part in (self.index.blocks, self.index.terms, self.index.fields):
+                part.unpersist()
+
+    @property
+    def _texts(self) -> DataFrame | None:
+        return None if self.texts is None else self.texts.select("id", "text")
 
     def queries(self, texts: list[str]) -> DataFrame:
         """The query table of some texts: query_id is the place in the list."""
@@ -90,18 +98,19 @@ class Retriever:
         if not 1 <= o.top_k <= 50:
             raise ValueError("top_k must lie between 1 and 50")
         if not rerank_hits:
-            return ranking.search(self.chunks, asked, self.index, o)
+            return ranking.search(self.chunks, asked, self.index, o, self._texts)
         if self.scorer is None:
             raise ValueError("no scorer to rerank with")
-        wide = ranking.search(self.chunks, asked, self.index, replace(o, top_k=rerank.CANDIDATES))
+        wide = ranking.search(self.chunks, asked, self.index, replace(o, top_k=rerank.CANDIDATES), self._texts)
         return rerank.rerank(wide, asked, self.scorer, o.top_k)
 
     def search_code(self, query: str | list[str], **options) -> DataFrame:
         return self.search_docs(query, **(options | {"is_code": True}))
 
-    def get_chunk(self, chunk_id: str) -> DataFrame:
-        """The chunk of an id, no row if there is none."""
-        return self.chunks.where(F.col("id") == chunk_id).drop("embedding", "norm")
+    def get_chunk(self, chunk_id: str | int) -> DataFrame:
+        """The chunk of an id, no row if there is none; of a saved bundle the one row group that can hold it is read."""
+        rows = self.chunks if self.texts is None else self.texts
+        return rows.where(F.col("id") == chunk_id).drop("embedding", "norm", "packed")
 
     def get_bundle_info(self) -> dict:
         return self.manifest or {}

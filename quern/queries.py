@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as t
 from quern.functions import sql, urls, vectors
 from quern.operators import bundle, catalog, chunking, embedding, evaluation, lexical, ranking, rerank, web
+from quern.plans.retriever import Retriever
 from quern.session import spread, table, working_folder
 from quern.sources import corpus, golden
 
@@ -24,7 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 DIM = 64
 #: Names the layout of what is written for the queries; folders of another one are not opened.
-LAYOUT = "3"
+LAYOUT = "4"
 
 
 def query(sql: str | None = None):
@@ -256,8 +257,19 @@ def sql_sections(spark, sf):
 # Vector operators
 
 
+def search_bundle(spark: SparkSession, sf: str) -> bundle.Bundle:
+    """A saved bundle of the chunks that have a vector, in single precision."""
+
+    def write(folder: str) -> None:
+        whole = vector_chunks(spark, sf)
+        bundle.write(folder, whole.drop("embedding", "norm"), doc_index(spark, sf), whole.select("id", "embedding", "norm"), {"repo": "documents"}, precision="float32")
+
+    return bundle.open_bundle(spark, _written(spark, sf, "search-bundle", write))
+
+
 def _search(spark: SparkSession, sf: str, index: lexical.LexicalIndex | None = None, **options) -> DataFrame:
-    hits = ranking.search(vector_chunks(spark, sf), asked(spark, sf), index, ranking.Options(dim=DIM, **options))
+    opened = search_bundle(spark, sf)
+    hits = ranking.search(opened.chunks, asked(spark, sf), index, ranking.Options(dim=DIM, **options), opened.texts.select("id", "text"))
     return hits.select("query_id", "rank", "id", (F.round("score", 4) + 0.0).alias("score"))
 
 
@@ -362,7 +374,7 @@ def cluster_boost(spark, sf):
 
 
 def _pool(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.pool(vector_chunks(spark, sf), asked(spark, sf), doc_index(spark, sf), ranking.Options(top_k=5, dim=DIM))
+    return ranking.pool(search_bundle(spark, sf).chunks, asked(spark, sf), doc_index(spark, sf), ranking.Options(top_k=5, dim=DIM))
 
 
 _POOL = f"""WITH {C}, {Q}, {WORDS}, {VEC}, {EXPANDED}, {BM25},
@@ -432,14 +444,16 @@ def hybrid_tagged_search(spark, sf):
 
 @query(f"WITH {C} SELECT * FROM (SELECT id, publication, file, heading, is_code, title, product_area, text FROM chunks) WHERE id = 17")
 def get_chunk(spark, sf):
-    return doc_chunks(spark, sf).where("id = 17").select("id", "publication", "file", "heading", "is_code", "title", "product_area", "text")
+    search_bundle(spark, sf)
+    opened = Retriever.open(spark, _written(spark, sf, "search-bundle", lambda folder: None), embedding.hashing_model(DIM), keep=False)
+    return opened.get_chunk(17).select("id", "publication", "file", "heading", "is_code", "title", "product_area", "text")
 
 
 @query(f"""WITH {C}, {Q}, {WORDS}, {VEC} SELECT 0 AS query_id, rank, id, round(vec, 4) AS score FROM (
   SELECT *, row_number() OVER (ORDER BY round(vec, 6) DESC, ordinal) AS rank FROM vec WHERE query_id = (SELECT min(query_id) FROM asked)) WHERE rank <= 5""")
 def empty_query(spark, sf):
     one = asked(spark, sf).orderBy("query_id").limit(1).select(F.lit(0).alias("query_id"), F.lit("  ").alias("query"), "vector")
-    hits = ranking.search(vector_chunks(spark, sf), one, doc_index(spark, sf), ranking.Options(top_k=5, min_score=-1.0, dim=DIM))
+    hits = ranking.search(search_bundle(spark, sf).chunks, one, doc_index(spark, sf), ranking.Options(top_k=5, min_score=-1.0, dim=DIM))
     return hits.select("query_id", "rank", "id", F.round("score", 4).alias("score"))
 
 
@@ -449,7 +463,8 @@ judged AS (SELECT query_id, id, r, len(list_filter(ws, lambda w: list_contains(r
 SELECT query_id, rank, id, round(s, 4) AS score, true AS reranked FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, r) AS rank FROM judged) WHERE rank <= 5""")
 def rerank_topk(spark, sf):
-    hits = ranking.search(vector_chunks(spark, sf), asked(spark, sf), None, ranking.Options(mode="vector", top_k=rerank.CANDIDATES, dim=DIM))
+    opened = search_bundle(spark, sf)
+    hits = ranking.search(opened.chunks, asked(spark, sf), None, ranking.Options(mode="vector", top_k=rerank.CANDIDATES, dim=DIM), opened.texts.select("id", "text"))
     return rerank.rerank(hits, asked(spark, sf), rerank.overlap_scorer, 5).select("query_id", "rank", "id", F.round("score", 4).alias("score"), "reranked")
 
 
@@ -707,13 +722,13 @@ SELECT query_id, rank, id, round(s, 4) + 0 AS score FROM (SELECT *, row_number()
 
 @query(_eval_sql("vec + tb"))
 def eval_vector_topk(spark, sf):
-    hits = ranking.evaluate_search(vector_chunks(spark, sf), asked(spark, sf), None, 10, "vector", DIM)
+    hits = ranking.evaluate_search(search_bundle(spark, sf).chunks, asked(spark, sf), None, 10, "vector", DIM)
     return hits.select("query_id", "rank", "id", (F.round("score", 4) + 0.0).alias("score"))
 
 
 @query(_eval_sql("0.6 * (vec + tb) + 0.4 * (CASE WHEN top > 0 THEN kw / top ELSE kw END)"))
 def eval_hybrid_topk(spark, sf):
-    hits = ranking.evaluate_search(vector_chunks(spark, sf), asked(spark, sf), doc_index(spark, sf), 10, "hybrid", DIM)
+    hits = ranking.evaluate_search(search_bundle(spark, sf).chunks, asked(spark, sf), doc_index(spark, sf), 10, "hybrid", DIM)
     return hits.select("query_id", "rank", "id", (F.round("score", 4) + 0.0).alias("score"))
 
 
