@@ -11,14 +11,14 @@ the much smaller tables of terms and fields; so the postings are made and writte
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,7 @@ K1, B, EPSILON = 2.0, 0.7, 0.25
 FIELD_WEIGHTS = {"text": 1.0, "title": 3.0, "heading": 2.0, "file_path": 2.5}
 #: Folders of terms; rows of a range; rows of a slab.
 BUCKETS, RANGE, SLAB = 64, 8, 1 << 17
-#: Terms of a query set up to this many are literals of the scan's filter.
+#: Terms of a query set (a query each) up to this many are literals of the scans' filters.
 MAX_LITERALS = 256
 #: Rows of what is asked for up to which a table of it is broadcast (some 40 bytes each).
 MAX_BROADCAST = 1_000_000
@@ -55,6 +55,12 @@ class LexicalIndex:
         told = rows.join(self.terms.drop("df"), ["bucket", "field", "term"]).join(F.broadcast(self.fields), "field")
         return told.select("field", "term", "id", "tf", (F.col("weight") * F.col("idf") * gain(F.col("tf"), F.col("dl"))).alias("impact"))
 
+    def stats(self) -> dict[str, Row]:
+        """The rows of ``fields`` by name, read once."""
+        if not hasattr(self, "_stats"):
+            self._stats = {r["field"]: r for r in self.fields.collect()}
+        return self._stats
+
     def containing(self, terms: DataFrame, field: str) -> DataFrame:
         """``terms`` (with a column term) joined to the ids of the rows whose field has the term."""
         wanted, literals = _literals(terms)
@@ -185,23 +191,23 @@ def _blocks(postings: DataFrame) -> DataFrame:
     return postings.select(*keys, "id", "tf", "dl").mapInArrow(run, schema)
 
 
-def _literals(terms: DataFrame) -> tuple[DataFrame, list[tuple[int, str]] | None]:
-    """The table ``terms`` with buckets, to be broadcast if it is small, and its distinct (bucket, term), None if they are many."""
+def _literals(terms: DataFrame) -> tuple[DataFrame, list[Row] | None]:
+    """The table ``terms`` with buckets, to be broadcast if it is counted small, and all its rows, None if they are more than MAX_LITERALS."""
     placed = terms.withColumn("bucket", bucket(F.col("term")))
-    got = placed.groupBy("bucket", "term").count().limit(MAX_LITERALS + 1).collect()
+    got = placed.limit(MAX_LITERALS + 1).collect()
     if len(got) <= MAX_LITERALS:
-        return (F.broadcast(placed) if sum(r[2] for r in got) <= MAX_BROADCAST else placed), [(r[0], r[1]) for r in got]
-    return (F.broadcast(placed) if placed.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else placed), None
+        return F.broadcast(terms.sparkSession.createDataFrame(got, placed.schema)), got
+    return small(placed), None
 
 
-def _pruned(table: DataFrame, literals: list[tuple[int, str]] | None) -> DataFrame:
+def _pruned(table: DataFrame, literals: list[Row] | None) -> DataFrame:
     """The folders and row groups of a table that can hold the terms."""
     if literals is None:
         return table  # the join prunes buckets when it runs
     if not literals:
         return table.where("false")
     within = lambda c, of: f"{c} IN ({', '.join(sorted(of))})"  # noqa: E731  (tokens hold neither quotes nor backslashes)
-    return table.where(within("bucket", {str(b) for b, _ in literals})).where(within("term", {f"'{t}'" for _, t in literals}))
+    return table.where(within("bucket", {str(r["bucket"]) for r in literals})).where(within("term", {f"'{r['term']}'" for r in literals}))
 
 
 @dataclass
@@ -217,17 +223,22 @@ class Matched:
 
 
 def matched(index: LexicalIndex, queries: DataFrame) -> Matched:
-    terms = queries.select("query_id", F.explode(expand(tokenize(F.col("query")))).alias("term"))
+    terms = queries.select("query_id", F.explode(expand(tokenize(F.col("query")))).alias("term")).where("term <> ''")
     wanted, literals = _literals(terms)
-    known = _pruned(index.terms, literals).join(wanted, ["bucket", "term"]).join(F.broadcast(index.fields), "field")
-    told = known.select("bucket", "field", "term", "query_id", (F.col("weight") * F.col("idf")).alias("w"), "avgdl", "df")
-    if literals is not None:
-        got = told.limit(4 * MAX_LITERALS + 1).collect()
-        if len(got) <= 4 * MAX_LITERALS:  # few rows: the scan of the blocks need not wait for that of the terms
-            local = queries.sparkSession.createDataFrame([tuple(r) for r in got], told.schema)
-            return Matched(F.broadcast(local.drop("df")), _pruned(index.blocks, [(r["bucket"], r["term"]) for r in got]), sum(r["df"] for r in got))
-    n, pairs = told.agg(F.count("*"), F.sum("df")).first()
-    return Matched(F.broadcast(told.drop("df")) if n <= MAX_BROADCAST else told.drop("df"), _pruned(index.blocks, literals), pairs or 0)
+    known = _pruned(index.terms, literals)
+    if literals is None:
+        told = known.join(wanted, ["bucket", "term"]).join(F.broadcast(index.fields), "field")
+        told = told.select("bucket", "field", "term", "query_id", (F.col("weight") * F.col("idf")).alias("w"), "avgdl", "df")
+        n, pairs = told.agg(F.count("*"), F.sum("df")).first()
+        return Matched(F.broadcast(told.drop("df")) if n <= MAX_BROADCAST else told.drop("df"), index.blocks, pairs or 0)
+    # a few terms: what is known of them comes to the driver, and the scan of the blocks has them as literals
+    of, stats = defaultdict(list), index.stats()
+    for r in known.select("bucket", "field", "term", "idf", "df").collect():
+        of[r["term"]].append(r)
+    rows = [(r["bucket"], r["field"], r["term"], q["query_id"], stats[r["field"]]["weight"] * r["idf"], stats[r["field"]]["avgdl"], r["df"]) for q in literals for r in of[q["term"]]]
+    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), terms.schema["query_id"], T.StructField("w", T.DoubleType()), T.StructField("avgdl", T.DoubleType()), T.StructField("df", T.LongType())])
+    local = queries.sparkSession.createDataFrame(rows, schema)
+    return Matched(F.broadcast(local.drop("df")), _pruned(index.blocks, [r for rs in of.values() for r in rs]), sum(r[-1] for r in rows))
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -273,7 +284,7 @@ def first(index: LexicalIndex, queries: DataFrame, docs: DataFrame, k: int, maxi
         every = every.join(F.broadcast(live) if few else live, ["query_id", "range"])
     plain = docs.select("id", "ordinal").orderBy("ordinal").limit(k).crossJoin(F.broadcast(queries.select("query_id"))).select("query_id", "id", F.lit(0.0).alias("kw"))
     rows = _summed(every).unionByName(plain).groupBy("query_id", "id").agg(F.sum("kw").alias("kw"))
-    return rows.join(small(docs.select("id", "ordinal")), "id").select("query_id", "id", "ordinal", "kw")
+    return rows.join(docs.select("id", "ordinal"), "id").select("query_id", "id", "ordinal", "kw")
 
 
 def small(df: DataFrame) -> DataFrame:
