@@ -52,14 +52,20 @@ def preview(lines: Column, line: Column, context: int = 1) -> Column:
     return strip(F.array_join(F.slice(lines, start, line + context - start + 1), "\n"))
 
 
+def within(files: DataFrame, scope: str | None) -> DataFrame:
+    """The files below a folder; FileNotFoundError if there are none."""
+    if not scope:
+        return files
+    check_path(scope, "scope")
+    own = files.where(F.concat("publication", F.lit("/"), "file").startswith(scope.rstrip("/") + "/"))
+    if own.isEmpty():
+        raise FileNotFoundError(scope)
+    return own
+
+
 def search_text(files: DataFrame, query: str, scope: str | None = None, regex: bool = False, max_results: int | None = 50) -> DataFrame:
     """(file, line, preview): the first matching line of each file, by path; a bad pattern finds nothing."""
-    if scope:
-        check_path(scope, "scope")
-        path = F.concat("publication", F.lit("/"), "file")
-        files = files.where(path.startswith(scope.rstrip("/") + "/"))
-        if files.isEmpty():
-            raise FileNotFoundError(scope)
+    files = within(files, scope)
     if regex:
         try:
             files.sparkSession._jvm.java.util.regex.Pattern.compile(query)

@@ -8,16 +8,17 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import bundle, catalog, lexical, ranking, rerank
+from quern.operators import bundle, catalog, lexical, ranking, rerank, trigram
 from quern.operators.embedding import Model
 from quern.sources.corpus import MarkdownSource
 
 
 @dataclass
 class Corpus:
-    """Files of a source: list, read, search."""
+    """Files of a source: list, read, search (through an index of trigrams, if there is one)."""
 
     source: MarkdownSource
+    trigrams: trigram.TrigramIndex | None = None
 
     @property
     def files(self) -> DataFrame:
@@ -35,7 +36,8 @@ class Corpus:
         return catalog.read_file(self.files, publication, file, max_chars)
 
     def search(self, query: str, scope: str | None = None, regex: bool = False, max_results: int = 50) -> DataFrame:
-        return catalog.search_text(self.files, query, scope, regex, max_results)
+        search = catalog.search_text if self.trigrams is None else self.trigrams.search
+        return search(self.files, query, scope, regex, max_results)
 
     def get_release_info(self) -> DataFrame:
         return self.source.release_info()

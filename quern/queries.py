@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as t
 from quern.functions import sql, urls, vectors
-from quern.operators import bundle, catalog, chunking, embedding, evaluation, lexical, ranking, rerank, web
+from quern.operators import bundle, catalog, chunking, embedding, evaluation, lexical, ranking, rerank, trigram, web
 from quern.plans.retriever import Retriever
 from quern.session import spread, table, working_folder
 from quern.sources import corpus, golden
@@ -603,6 +603,20 @@ def grep_scoped(spark, sf):
     return catalog.search_text(files(spark, sf), "the", scope="src4", max_results=10)
 
 
+def trigrams(spark: SparkSession, sf: str) -> trigram.TrigramIndex:
+    return trigram.TrigramIndex.load(spark, _written(spark, sf, "trigrams", lambda folder: trigram.build(spread(files(spark, sf)), folder)))
+
+
+@query(_grep_sql("contains(x, 'License')"))
+def grep_literal_indexed(spark, sf):
+    return trigrams(spark, sf).search(files(spark, sf), "License", max_results=None)
+
+
+@query(_grep_sql("regexp_matches(x, '[0-9]{3}-[0-9]{4}')"))
+def grep_regex_indexed(spark, sf):
+    return trigrams(spark, sf).search(files(spark, sf), "[0-9]{3}-[0-9]{4}", regex=True, max_results=None)
+
+
 @query("SELECT source AS folder, count(*) AS n, list(source || '/' || doc_id || '.md' ORDER BY source || '/' || doc_id || '.md') AS files FROM documents GROUP BY source")
 def files_by_folder(spark, sf):
     return catalog.files_by_folder(files(spark, sf))
