@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.urls import links, main_text, mirror_path
@@ -37,6 +37,23 @@ def outcome(urls: DataFrame, stored: DataFrame, fetched: DataFrame) -> DataFrame
     )
 
 
+def store_fetched(urls: DataFrame, stored: DataFrame, fetched: DataFrame, folder: str) -> dict[str, int]:
+    """Write (section, path, text) of the pages that were fetched and not stored yet; the crawl's counters, taken in the same pass."""
+    known = urls.withColumn("path", mirror_path(F.col("url"))).join(stored.select("path", F.lit(True).alias("__there")).distinct(), "path", "left")
+    body = known.join(fetched.select("url", main_text(F.col("html")).alias("text")), "url", "left")
+    skipped, there = F.col("__there").isNotNull(), F.col("text").isNotNull()
+    seen = Observation()
+    told = body.observe(
+        seen,
+        F.count(F.when(skipped, 1)).alias("skipped"),
+        F.count(F.when(~skipped & there, 1)).alias("fetched"),
+        F.count(F.when(~skipped & ~there, 1)).alias("errors"),
+        F.coalesce(F.sum(F.when(~skipped, F.octet_length("text"))), F.lit(0)).alias("bytes"),
+    )
+    told.where(~skipped & there).select("section", "path", "text").write.mode("overwrite").parquet(folder)
+    return seen.get
+
+
 def write_record(spark: SparkSession, path: str, source_url: str, crawled_at: str, crawler_sha: str, sections: DataFrame | None = None, engine: str = "none", stealth: bool = False) -> dict:
     """Write the record of a crawl as JSON, which a crawl source reads; with the counters of :func:`outcome`, summed."""
     record = {"source_url": source_url, "crawled_at": crawled_at, "crawler_sha": crawler_sha, "engine": engine, "stealth": stealth}

@@ -19,7 +19,7 @@ from quern.functions import sql, urls, vectors
 from quern.operators import bundle, catalog, chunking, embedding, evaluation, lexical, ranking, rerank, trigram, web
 from quern.plans.retriever import Retriever
 from quern.session import spread, table, working_folder
-from quern.sources import corpus, golden
+from quern.sources import corpus, golden, reader
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -529,6 +529,28 @@ def overlap_chunks(spark, sf):
     return chunking.chunks(markdown(spark, sf))
 
 
+def damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """(publication, file, content): the markdown files, some unreadable, some not UTF-8, some blank."""
+    number = F.regexp_extract("file", r"(\d+)", 1).cast("int")
+    whole = F.col("text").cast("binary")
+    content = F.when(number % 11 == 0, F.lit(None)).when(number % 7 == 0, F.concat(F.unhex(F.lit("FF")), whole)).when(number % 5 == 0, F.lit(" \n").cast("binary")).otherwise(whole)
+    return markdown(spark, sf).select("publication", "file", content.alias("content"))
+
+
+_ASIDE = f"""WITH {MD}, n AS (SELECT publication, file, count(*) FILTER (text <> '') AS n FROM secs GROUP BY ALL),
+told AS (SELECT *, regexp_extract(file, '([0-9]+)', 1)::INT AS k FROM md),
+judged AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'read' WHEN k % 7 = 0 AND strlen(head || body) + 1 <= 2000 THEN 'decode' WHEN k % 7 <> 0 AND k % 5 = 0 THEN 'parse' WHEN strlen(head || body) + (k % 7 = 0)::INT > 2000 THEN 'size' END AS stage FROM told)
+SELECT publication, file, stage, CASE WHEN stage IS NULL THEN n ELSE 0 END AS chunks FROM judged JOIN n USING (publication, file)"""
+
+
+@query(_ASIDE)
+def chunk_quarantine(spark, sf):
+    folder = _written(spark, sf, "chunks-aside", lambda folder: chunking.write_chunks(damaged(spark, sf), folder, 2000))
+    chunks, aside = chunking.read_chunks(spark, folder)
+    rows = chunks.select("publication", "file", F.lit(None).cast("string").alias("stage"), F.lit(1).alias("one")).unionByName(aside.select("publication", "file", "stage", F.lit(0).alias("one")))
+    return rows.groupBy("publication", "file", "stage").agg(F.sum("one").alias("chunks"))
+
+
 @query(f"WITH {MD} SELECT publication, file, pos - 1 AS pos, regexp_matches(text, '(?m)^```') AS is_code FROM secs")
 def code_flag(spark, sf):
     p = chunking.with_frontmatter(markdown(spark, sf)).select("publication", "file", F.posexplode(t.sections(F.col("body"))).alias("pos", "s"))
@@ -632,6 +654,20 @@ def source_scan(spark, sf):
     return mirror(spark, sf).files().select("path", "publication", "file", "branch", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
+@query(f"WITH {MD} SELECT publication || '/' || file AS path, publication, file, length(head || body) AS chars, sha256(head || body) AS sha256 FROM md")
+def source_reader(spark, sf):
+    reader.register(spark)
+    rows = spark.read.format("quern_markdown").load(mirror(spark, sf).root)
+    return rows.select("path", "publication", "file", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256"))
+
+
+@query(f"WITH {MD} SELECT publication || '/' || file AS path, length(head || body) AS chars FROM md WHERE publication = 'talk2'")
+def source_reader_pruned(spark, sf):
+    reader.register(spark)
+    rows = spark.read.format("quern_markdown").load(mirror(spark, sf).root).where("publication = 'talk2'")
+    return rows.select("path", F.length("text").cast("long").alias("chars"))
+
+
 @query(r"""SELECT page_id, split_part(path, '/', 1) AS publication, CASE WHEN contains(path, '/') THEN substr(path, instr(path, '/') + 1) ELSE path END AS file
 FROM (SELECT page_id, ltrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') AS path FROM pages)""")
 def path_metadata(spark, sf):

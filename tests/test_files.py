@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import urls
 from quern.operators import bundle, catalog, chunking, embedding, lexical, web
 from quern.plans.retriever import Corpus, Retriever
-from quern.sources import corpus, golden
+from quern.sources import corpus, golden, reader
 from quern.streaming import ingest
 
 PAGE = "---\ntitle: {t}\nproduct_area: Core\nlast_updated: 2024-05-01\n---\n# {t}\nBody of {t}\n## More\nneedle-{t} here\nlast line\n"
@@ -122,6 +122,51 @@ def test_missing_files(spark, mirror):
             call()
 
 
+def test_data_source(spark, mirror, tmp_path):
+    reader.register(spark)
+    plain = corpus.LocalSource(spark, mirror).files().select("path", "publication", "file", "text")
+    rows = spark.read.format("quern_markdown").load(mirror)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, plain.collect()))
+    assert [r["path"] for r in rows.where("publication = 'ref'").collect()] == ["ref/x+y.md"] and rows.where("publication = 'root.md'").count() == 1 and rows.where("publication = '../docs'").count() == 0
+    one = reader.MarkdownReader(mirror)
+    list(one.pushFilters([reader.EqualTo(("publication",), "guide")]))
+    assert [p.paths for p in one.partitions()] == [["guide/a.md", "guide/sub/b c.md"]]  # no other folder is listed
+    many = [(f"f{i}", reader.BYTES_A_TASK // 3, 0) for i in range(7)]
+    assert [len(p.paths) for p in reader.dealt(many)] == [3, 3, 1] and reader.dealt([]) == []
+
+
+def test_data_source_as_a_stream(spark, mirror, tmp_path):
+    reader.register(spark)
+
+    def run():
+        q = spark.readStream.format("quern_markdown").load(mirror).select("path").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(90)
+
+    run()
+    (Path(mirror) / "guide/late.md").write_text("x")
+    run()
+    assert sorted(r["path"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["guide/a.md", "guide/late.md", "guide/sub/b c.md", "ref/x+y.md", "root.md"]
+
+
+def test_files_that_fail_are_set_aside(spark, tmp_path):
+    rows = [("p", "good.md", b"## A\ntext\n## B\nmore"), ("p", "bad.md", b"\xff\xfe"), ("p", "big.md", b"x" * 101), ("p", "gone.md", None), ("p", "blank.md", b" \r\n"), ("q", "heads.md", b"---\ntitle: t\n---\n## A\n## B\n")]
+    files = spark.createDataFrame(rows, "publication string, file string, content binary")
+    told = chunking.write_chunks(files, str(tmp_path / "c"), 100)
+    assert told == {"chunks": 2, "files": 1, "read": 1, "size": 1, "decode": 1, "parse": 1, "chunk": 1}
+    chunks, aside = chunking.read_chunks(spark, str(tmp_path / "c"))
+    plain = chunking.chunks(spark.createDataFrame([("p", "good.md", rows[0][2].decode())], "publication string, file string, text string"))
+    assert sorted(map(tuple, chunks.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    assert {r["file"]: (r["stage"], r["reason"]) for r in aside.collect()} == {"bad.md": ("decode", "not UTF-8"), "big.md": ("size", "101 bytes, more than 100"), "gone.md": ("read", "no content"), "blank.md": ("parse", "nothing but white space"), "heads.md": ("chunk", "no section with text")}
+
+
+def test_counters_of_a_crawl_in_the_pass_that_writes(spark, tmp_path):
+    links = spark.createDataFrame([("s", "https://h/a/1"), ("s", "https://h/a/2"), ("s", "https://h/a/3")], "section string, url string")
+    stored = spark.createDataFrame([("markdown/a/1",)], "path string")
+    fetched = spark.createDataFrame([("https://h/a/2", "<p>é</p>"), ("https://h/a/3", None)], "url string, html string")
+    assert web.store_fetched(links, stored, fetched, str(tmp_path / "f")) == {"skipped": 1, "fetched": 1, "errors": 1, "bytes": 2}
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "f")).collect()] == [("s", "markdown/a/2", "é")]
+
+
 def test_golden(spark, tmp_path):
     path = tmp_path / "g.jsonl"
     path.write_text('{"query": "q1", "expected_files": ["a"], "expected_publications": ["p"]}\n\n{"query": "q2"}\n')
@@ -223,20 +268,45 @@ def test_snapshot_and_restore(spark, tmp_path):
     saved = bundle.snapshot(spark, folder, store)
     spark.createDataFrame([("z", "q")], "id string, text string").write.mode("overwrite").parquet(f"{folder}/chunks")
     bundle.restore(spark, saved, folder)
-    assert [r["id"] for r in bundle.open_bundle(spark, folder).chunks.collect()] == ["a"]
+    ids = lambda: [r["id"] for r in bundle.open_bundle(spark, folder).chunks.collect()]
+    assert ids() == ["a"] and not bundle.validate(spark, folder).where("present AND NOT (rows_ok AND digest_ok)").count()
+    again = bundle.snapshot(spark, folder, str(tmp_path / "store2"))  # of what the pointer names
+    assert bundle.file_digests(spark, f"{again}/chunks").count() == bundle.file_digests(spark, f"{saved}/chunks").count()
     with pytest.raises(ValueError):
         bundle.snapshot(spark, folder, f"{folder}/inside")
     (tmp_path / "other").mkdir()
     with pytest.raises(ValueError):
         bundle.restore(spark, saved, str(tmp_path / "other"))
-    spark.createDataFrame([("z", "q")], "id string, text string").write.mode("overwrite").parquet(f"{saved}/chunks")
-    with pytest.raises(ValueError):
-        bundle.restore(spark, saved, folder)
+    bundle.restore(spark, saved, str(tmp_path / "new"))
+    assert [r["id"] for r in bundle.open_bundle(spark, str(tmp_path / "new")).chunks.collect()] == ["a"]
     assert bundle.check_source(manifest, "r")
     with pytest.warns(UserWarning):
         assert not bundle.check_source(manifest, "other")
 
 
+def test_a_restore_that_fails_leaves_the_bundle(spark, tmp_path, monkeypatch):
+    chunks = spark.createDataFrame([("a", "x y")], "id string, text string")
+    folder = str(tmp_path / "b")
+    bundle.write(folder, chunks, lexical.build_index(chunks, {"text": F.col("text")}))
+    saved = bundle.snapshot(spark, folder, str(tmp_path / "store"))
+    spark.createDataFrame([("b", "q")], "id string, text string").write.mode("overwrite").parquet(f"{folder}/chunks")
+    ids = lambda: [r["id"] for r in bundle.open_bundle(spark, folder).chunks.collect()]
+    # killed when all files are there but the pointer has not moved
+    with monkeypatch.context() as m:
+        m.setattr(bundle, "_point", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            bundle.restore(spark, saved, folder)
+    assert ids() == ["b"] and len(bundle.versions(spark, folder, remove=True)) == 1 and bundle.versions(spark, folder) == []
+    # a file of the snapshot that is damaged, one that is gone, and a snapshot that was never finished
+    part = next(Path(f"{saved}/chunks").glob("*.parquet"))
+    whole = part.read_bytes()
+    for break_it in (lambda: part.write_bytes(whole[:-1] + b"?"), part.unlink, Path(f"{saved}/FILES.json").unlink):
+        break_it()
+        with pytest.raises(ValueError):
+            bundle.restore(spark, saved, folder)
+        assert ids() == ["b"] and bundle.versions(spark, folder) == []
+
+
 def test_sql_functions(spark):
     from quern.functions import sql
 
