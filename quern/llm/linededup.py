@@ -2,8 +2,8 @@
 
 For every host the share of its pages that hold a line is the pages with the line over all
 pages of the host; lines above a ratio (and on ``min_pages`` pages) are boilerplate of that host
-and go from all its pages. Only a page whose lines are all such lines is left as it is: it holds
-nothing of its own, so it is a copy of other pages, which is for the near-duplicate operators to
+and go from all its pages, also from a page that has no others. With ``spare`` such a page is left as it
+is: it holds nothing of its own, so it is a copy of other pages, which is for the near-duplicate operators to
 decide. A line whose share equals the ratio stays.
 
 Only a 64-bit hash of each line and its host are shuffled, summed before the shuffle, so a
@@ -46,7 +46,7 @@ def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame
     return common.groupBy("host").agg(F.collect_list("key").alias("flagged"))
 
 
-def line_dedup(pages: DataFrame, host: str, text: str = "text", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def line_dedup(pages: DataFrame, host: str, text: str = "text", max_ratio: float = 0.05, min_pages: int = 5, spare: bool = False) -> DataFrame:
     """``pages`` with boilerplate lines dropped from ``text``; adds n_lines and n_dropped."""
     named = F.coalesce(F.concat(F.lit("h"), pages[host].cast("string")), F.lit("none"))
     flagged = cut(boilerplate(pages.select(named.alias("host"), pages[text].alias("text")), max_ratio, min_pages))
@@ -56,8 +56,9 @@ def line_dedup(pages: DataFrame, host: str, text: str = "text", max_ratio: float
     hit = lambda line: F.coalesce(F.array_contains("flagged", line_key(line)), F.lit(False))
     joined = packed(pages, host=named).join(found, "host", "left")
     joined = joined.withColumn("kept", F.when(F.col("flagged").isNull(), lines).otherwise(F.filter(lines, lambda x: ~hit(x))))
-    alone = ~F.exists("kept", lambda x: line_key(x).isNotNull())
-    joined = joined.withColumn("kept", F.when(alone, lines).otherwise(F.col("kept")))
+    if spare:
+        alone = ~F.exists("kept", lambda x: line_key(x).isNotNull())
+        joined = joined.withColumn("kept", F.when(alone, lines).otherwise(F.col("kept")))
     length = lambda ls: F.greatest(F.coalesce(F.size(ls), F.lit(0)), F.lit(0)).cast("long")
     counted = {"n_lines": length(lines), "n_dropped": length(lines) - length(F.col("kept"))}
     return unpacked(joined, pages.columns, **{text: F.array_join("kept", "\n")}, **counted)

@@ -14,7 +14,8 @@ a shard, however large a source is. More than ``max_sources`` sources raise Valu
 
 Defined results: a null text has no words and is never taken; null is a source of its own,
 ordered last; repeated rows are rows of their own, rows of one place follow each other by key and
-size; with no words at all every target is 0. A very long text counts whole. An empty table gives
+size; with no words at all every target is 0; rows without a key
+are dealt to shards by their texts. A very long text counts whole. An empty table gives
 an empty one. Other columns pass through, whatever their names; those named size, source_size,
 target or taken are replaced.
 """
@@ -105,10 +106,12 @@ def mix(
     ``weight_of`` gives the weight of a source from its place in code-point order and its name.
     Without ``keep_text`` the texts are read once, and what was counted is written for the rest.
     """
+    # rows without a key are dealt by their texts
+    name = F.coalesce(df[key].cast("string"), F.md5(F.coalesce(df[text], F.lit("")).cast("binary")))
     counted = {
         "source": df[source].cast("string"),
-        "spread": _unit(df[key], seed, "shard", 1),
-        "place": _unit(df[key], seed, "row", 1),
+        "spread": _unit(name, seed, "shard", 1),
+        "place": _unit(name, seed, "row", 1),
         "key": df[key],
         "size": n_words(df[text]),
     }

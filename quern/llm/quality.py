@@ -170,11 +170,19 @@ def cover(examples: list[tuple[Row, bool]], precision: float = 0.95, most: int =
     return found
 
 
+#: Labelled rows that the rules are learned from, at most.
+EXAMPLES = 20_000
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", text: str = "text", cap: int = 700) -> DecisionList:
-    """The decision list of the labelled rows: about ``cap`` examples of each class, label 0 is bad."""
+    """The decision list of the labelled rows: about ``cap`` examples of each class, label 0 is bad.
+
+    However often a key is repeated among the rows, no more than ``EXAMPLES`` come to the driver.
+    """
     sample = stratified(labels.where(F.col(label).isNotNull()).select(key, label), key, label, cap)
     rows = with_statistics(docs.select(key, text).join(F.broadcast(sample), key), text)
-    rows = rows.select(F.col(key), (F.col(label) == 0).alias("__bad"), *[c.alias(n) for n, c in features().items()]).collect()
+    rows = rows.select(F.col(key), (F.col(label) == 0).alias("__bad"), *[c.alias(n) for n, c in features().items()])
+    rows = rows.orderBy(F.xxhash64(key), key, *features()).limit(EXAMPLES).collect()
     rows.sort(key=lambda r: str(r[0]))
     names = list(features())
     return cover([({n: r[n] for n in names}, r["__bad"]) for r in rows])

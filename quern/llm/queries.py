@@ -48,12 +48,9 @@ WITH lines AS (
      AND count(DISTINCT doc_id) > 0.05 * (SELECT count(*) FROM documents d WHERE d.source = lines.source)
 ), marked AS (
   SELECT l.*, f.bare IS NOT NULL AS hit FROM lines l LEFT JOIN found f ON l.source = f.source AND l.bare = f.bare
-), judged AS (
-  SELECT *, count(*) FILTER (bare <> '' AND NOT hit) OVER (PARTITION BY doc_id) = 0 AS whole FROM marked
 )
-SELECT doc_id, source, count(*) AS n_lines, count(*) FILTER (hit AND NOT whole) AS n_dropped,
-  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT hit OR whole), '') AS text
-FROM judged GROUP BY doc_id, source
+SELECT doc_id, source, count(*) AS n_lines, count(*) FILTER (hit) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT hit), '') AS text
+FROM marked GROUP BY doc_id, source
 """
 
 

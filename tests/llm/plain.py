@@ -36,7 +36,7 @@ def all_pairs(texts):
 TRIM = " \t\x0b\x0c\r"
 
 
-def plain_lines(rows, max_ratio, min_pages):
+def plain_lines(rows, max_ratio, min_pages, spare=False):
     pages, holding = Counter(h for h, _ in rows), Counter()
     for h, text in rows:
         holding.update({(h, x.strip(TRIM)) for x in (text or "").split("\n") if x.strip(TRIM)})
@@ -48,7 +48,7 @@ def plain_lines(rows, max_ratio, min_pages):
         lines = text.split("\n")
         bad = lambda x: x.strip(TRIM) and holding[h, x.strip(TRIM)] >= min_pages and holding[h, x.strip(TRIM)] > max_ratio * pages[h]
         kept = [x for x in lines if not bad(x)]
-        out.append("\n".join(kept) if any(x.strip(TRIM) for x in kept) else text)
+        out.append("\n".join(kept) if not spare or any(x.strip(TRIM) for x in kept) else text)
     return out
 
 

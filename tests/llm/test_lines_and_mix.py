@@ -17,6 +17,24 @@ def test_line_dedup_matches_a_plain_version(spark):
     assert got == plain_lines(rows, 0.2, 3)
 
 
+def test_pages_of_boilerplate_alone(spark):
+    rows = [(i, "h", "menu\nnot found\nfooter" if i < 6 else f"menu\nbody of page {i}\nfooter") for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, host string, text string")
+    got = {r["i"]: (r["text"], r["n_dropped"]) for r in linededup.line_dedup(df, "host").collect()}
+    assert all(got[i] == ("", 3) for i in range(6)) and all(got[i] == (f"body of page {i}", 2) for i in range(6, 60))
+    spared = {r["i"]: r["text"] for r in linededup.line_dedup(df, "host", spare=True).collect()}
+    assert all(spared[i] == rows[i][2] for i in range(6)) and spared[7] == "body of page 7"
+
+
+def test_rows_without_a_key_are_dealt_to_many_shards(spark):
+    df = spark.createDataFrame([(None, "s", f"{i} " * 40) for i in range(3000)], "k long, source string, text string")
+    got = mixing.mix(df, "k", "source", "text", mix_weight)
+    assert got.agg(F.sum("taken")).first()[0] == pytest.approx(120_000, rel=0.01)
+    assert df.select(F.md5(F.col("text").cast("binary")).alias("m")).distinct().count() == 3000
+    spread = mixing._unit(F.md5(F.col("text").cast("binary")), 1, "shard", 1)
+    assert df.select(spread).distinct().count() > 2900
+
+
 def test_line_dedup_without_broadcast(spark, monkeypatch):
     rows = [(i, "h", f"menu\nbody of page {i} is long enough") for i in range(20)]
     df = spark.createDataFrame(rows, "i int, host string, text string")

@@ -34,7 +34,7 @@ def test_stages_match_plain_versions(spark, sf_dir, tmp_path):
     before, after = seen[1]
     rows = before.orderBy("doc_id").collect()
     got = {r["doc_id"]: r for r in after.collect()}
-    for r, text in zip(rows, plain_lines([(r["source"], r["text"]) for r in rows], 0.05, 5), strict=True):
+    for r, text in zip(rows, plain_lines([(r["source"], r["text"]) for r in rows], 0.05, 5, spare=True), strict=True):
         assert got[r["doc_id"]]["text"] == text and got[r["doc_id"]]["n_chars"] == len(text)
     # near duplicates: the least id of each group that all pairs of 0.8 and more make
     before, after = seen[2]
@@ -108,3 +108,14 @@ def test_near_dedup_tells_rows_of_one_id_or_none_apart(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r["doc_id"], r["text"][0]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert got == Counter([(1, "a"), (1, "b"), (None, "c"), (3, "d")])
+
+
+def test_near_dedup_tells_rows_apart_by_every_cell(spark):
+    text = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    # a value in one column is not the same value in another; a column of maps, and columns with names of the stage's own
+    rows = [(1, "en", None, {"a": 1}, "mine"), (1, None, "en", {"a": 1}, "mine"), (2, text("b"), "en", {"a": 2}, "mine"), (2, text("b"), "en", {"a": 2}, "mine"), (3, text("b") + " more", "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, m map<string, int>, __row string").withColumn("__node", F.lit("own"))
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted((r["doc_id"], r["text"] or "", r["lang"] or "", r["__row"], r["__node"]) for r in got.collect())
+    assert kept == sorted([(1, "en", "", "mine", "own"), (1, "", "en", "mine", "own"), (2, text("b"), "en", "mine", "own")])

@@ -80,3 +80,13 @@ def test_a_filter_on_the_result_costs_no_more_than_a_few_passes(spark):
     began = time.time()
     got = quality.judge(df, quality.DecisionList()).where("base_failed").select("n_repeat_words").collect()
     assert len(got) == 4 and time.time() - began < 30
+
+
+def test_repeated_labelled_rows_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "EXAMPLES", 50)
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l")] * 5000 + [(2, "x " * 40)] * 10, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "cover", lambda examples: seen.append(len(examples)) or quality.DecisionList())
+    quality.learn(docs, labels)
+    assert seen == [50]
