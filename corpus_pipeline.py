@@ -39,7 +39,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the boilerplate lines of each source from its documents that have a line of their own.
+    """Drop the boilerplate lines of each source from its documents that have a line of their own; the others are left whole, for the next stage.
 
     Rows without a source are one site; a null text stays null; repeated rows count as pages each.
     ``n_chars`` becomes the new length (null for a null text). An empty table stays empty; other
@@ -47,7 +47,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
 
     def lines(d: DataFrame) -> DataFrame:
-        return linededup.line_dedup(d, host="source").withColumn("n_chars", F.length("text").cast("long"))
+        return linededup.line_dedup(d, host="source", spare=True).withColumn("n_chars", F.length("text").cast("long"))
 
     return _aside(docs, ["doc_id", "text", "source", "n_chars"], lines)
 
@@ -55,17 +55,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each near-duplicate group (five-word shingles, similarity 0.8).
 
-    Rows are told apart by all they hold, so rows of one id and different texts are documents of
-    their own, and of equal rows one stays. Rows without an id come last in a group; a row with
-    neither id nor text always stays. Texts without a word are one group. An empty table stays empty.
+    Rows are told apart by all they hold (128 bits of a hash of their cells with their names; null cells have none), so
+    rows of one id and different texts are documents of their own, and of equal rows one stays. Rows without an id
+    come last in a group; a row with neither id nor text always stays. Texts without a word are one group; a very long
+    text is hashed in blocks. An empty table stays empty; other columns pass, whatever their names and kinds.
     """
-    blank = F.col("doc_id").isNull() & F.col("text").isNull()
-    rows = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    groups = similar.near_duplicates(rows.where(~blank).select("doc_id", "__row", "text"), "__row")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("best")
-    first = groups.groupBy("component_id").agg(best).select(F.col("best.__row").alias("__row"))
-    kept = rows.where(~blank).join(first, "__row", "left_semi").dropDuplicates(["__row"])
-    return kept.unionByName(rows.where(blank)).select(docs.columns)
+
+    def least(d: DataFrame) -> DataFrame:
+        blank = F.col("doc_id").isNull() & F.col("text").isNull()
+        told = F.to_json(F.struct(*d.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+        rows = d.withColumn("__row", F.unhex(F.left(F.sha2(told.cast("binary"), 256), F.lit(32))))
+        groups = similar.near_duplicates(rows.where(~blank).select("doc_id", "__row", "text"), "__row")
+        best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("best")
+        first = groups.groupBy("component_id").agg(best).select(F.col("best.__row").alias("__row"))
+        kept = rows.where(~blank).join(first, "__row", "left_semi").dropDuplicates(["__row"])
+        return kept.unionByName(rows.where(blank))
+
+    return _aside(docs, ["doc_id", "text"], least)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -98,7 +104,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text decoded from them.
 
-    Keeps doc_id, lang and source; any other column drops out. A null or empty text has no ids.
+    Keeps doc_id, lang and source; any other column drops out. A null or empty text has no ids; a very long text is
+    encoded whole; repeated rows give equal rows. An empty table stays empty.
     """
     return bpe.encode(docs.select("doc_id", "lang", "source", "text"), production.tokenizer_path(), keep_text=False)
 
