@@ -142,11 +142,12 @@ def _first(score: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
     return kept[np.lexsort((place[kept], -score[kept]))[:n]]
 
 
-def nearest(chunks: DataFrame, queries: DataFrame, n: int, o: Options, clusters: bool = True) -> DataFrame:
+def nearest(chunks: DataFrame, queries: DataFrame, n: int, o: Options, clusters: bool = True, by_vector: bool = True) -> DataFrame:
     """(query_id, id): the first ``n`` rows of each query by boosted vector score, by a product of blocks.
 
     Each task multiplies blocks of its rows with all queries and keeps the first n of each query, and
-    only those are shuffled. Rows without a vector don't take part.
+    only those are shuffled. Rows without a vector don't take part, but where ``by_vector`` is off: then
+    the boosts alone count.
     """
     asked = prepared(queries).collect()
     shared = chunks.sparkSession.sparkContext.broadcast([(r["__words"], r["__vector"]) for r in asked])
@@ -154,26 +155,28 @@ def nearest(chunks: DataFrame, queries: DataFrame, n: int, o: Options, clusters:
     tags = clusters and "cluster_tags" in chunks.columns
     title = F.lower("title") if o.case_insensitive_titles else F.col("title")
     vector = "packed" if "packed" in chunks.columns else "embedding"
-    rows = chunks.where(F.col(vector).isNotNull()).select("id", F.col("ordinal").cast("long").alias("ordinal"), vector, F.col("norm").cast("double").alias("norm"), title.alias("title"), *(["cluster_tags"] if tags else []))
+    rows, scored = (chunks.where(F.col(vector).isNotNull()), [vector, F.col("norm").cast("double").alias("norm")]) if by_vector else (chunks, [])
+    rows = rows.select("id", F.col("ordinal").cast("long").alias("ordinal"), *scored, title.alias("title"), *(["cluster_tags"] if tags else []))
     schema = T.StructType([T.StructField("__q", T.IntegerType()), rows.schema["id"], T.StructField("ordinal", T.LongType()), T.StructField("__s", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = shared.value
         boosts = Boosts([ws for ws, _ in told])
-        vectors = np.array([v for _, v in told], float)
+        vectors = np.array([v for _, v in told], float) if by_vector else None
         held: list = [None] * len(told)  # for each query scores, places and ids of its first n so far
         for batch in batches:
             size = batch.num_rows
             if not size or not told:
                 continue
-            e = matrix(batch.column(vector)).astype(float)
-            length = np.maximum(batch.column("norm").to_numpy(zero_copy_only=False), 1e-9)
+            if by_vector:
+                e = matrix(batch.column(vector)).astype(float) / np.maximum(batch.column("norm").to_numpy(zero_copy_only=False), 1e-9)[:, None]
             extra = boosts.counts(batch.column("title").to_pylist()) * TITLE_BOOST
             if tags:
                 extra = extra + boosts.counts(batch.column("cluster_tags").to_pylist()) * CLUSTER_BOOST
             place = batch.column("ordinal").to_numpy()
             for lo in range(0, len(told), QUERIES_AT_ONCE):
-                score = np.round(e @ vectors[lo : lo + QUERIES_AT_ONCE].T / length[:, None] + extra[:, lo : lo + QUERIES_AT_ONCE], 6)
+                part = extra[:, lo : lo + QUERIES_AT_ONCE]
+                score = np.round(e @ vectors[lo : lo + QUERIES_AT_ONCE].T + part if by_vector else part, 6)
                 for k in range(score.shape[1]):
                     best = _first(score[:, k], place, n)
                     mine = score[best, k], place[best], batch.column("id").take(pa.array(best))
@@ -294,15 +297,16 @@ def search(chunks: DataFrame, queries: DataFrame, index: lexical.LexicalIndex |
     if o.mode == "vector":
         n = o.candidate_k or o.top_k
         hits = scored_pairs(nearest(chosen_rows, queries, n, o), chosen_rows, queries, o).withColumn("score", F.col("boosted"))
-        return _fields(_with_texts(collect(ranked(hits, "score"), n, o.min_score), texts))
+        return _fields(with_texts(collect(ranked(hits, "score"), n, o.min_score), texts))
     whole = chosen_rows if index is not None or texts is None else chosen_rows.join(texts, "id")  # without an index all texts are read
     pooled = ranked(fused(pool(whole, queries, index, o), o.mode), "score")
     if o.mode == "hybrid" and o.top_k > 1:
         pooled = diverse(pooled.select("query_id", "rank", "__words", *[c for c in FIELDS if c in pooled.columns]), o.top_k)
-    return _fields(_with_texts(collect(pooled, o.top_k, o.min_score), texts))
+    return _fields(with_texts(collect(pooled, o.top_k, o.min_score), texts))
 
 
-def _with_texts(hits: DataFrame, texts: DataFrame | None) -> DataFrame:
+def with_texts(hits: DataFrame, texts: DataFrame | None) -> DataFrame:
+    """Hits with their texts, which are read for these alone."""
     if texts is None or "text" in hits.columns:
         return hits
     return texts.join(held(hits), "id")
@@ -329,8 +333,7 @@ def evaluate_search(chunks: DataFrame, queries: DataFrame, index: lexical.Lexica
     if mode == "keyword":
         # no vector counts here; without a term a row scores its title boost
         asked = F.broadcast(prepared(queries))
-        titles = chunks.select("id", "ordinal", "title").crossJoin(asked)
-        plain = best(titles.withColumn("tb", title_boost(F.col("title"), F.col("__words"))), "tb", top_k).select("query_id", "id")
+        plain = nearest(chunks, queries, top_k, o, clusters=False, by_vector=False)
         found = _within_reach(found, queries, top_k)
     else:
         plain = nearest(chunks, queries, top_k, o, clusters=False)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as t
 from quern.functions import sql, urls, vectors
 from quern.operators import bundle, catalog, chunking, embedding, evaluation, lexical, ranking, rerank, trigram, web
+from quern.plans import evaluator
 from quern.plans.retriever import Retriever
 from quern.session import spread, table, working_folder
 from quern.sources import corpus, golden, reader
@@ -500,6 +501,35 @@ def frontmatter_odd(spark, sf):
     return p.select("file", (F.size("meta") > 0).alias("found"), F.length("body").cast("long").alias("body_chars"), field("title"), field("tags"))
 
 
+def typed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(publication, file, text): a file of each document with nested front matter of numbers, dates and lists; of every seventh it is malformed."""
+    n, source, lang = F.col("doc_id").cast("string"), F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
+    head = F.format_string(
+        "---\ntitle: \"no. %s\"\nrank: %s\nratio: %s.25 # a quarter more\nchecked: %s\nreleased: 2024-02-%02d\nabout: >-\n  words of\n  %s\n"
+        "authors:\n- name: 'it''s %s'\n  tongues: [%s, \"x, y\",\n    z]\n- name: second\n  tongues:\n    - %s\nlinks:\n  home:\n    url: http://%s/%s#top\n    port: 0x1F\n  none: ~\n%s---\n",
+        n, n, n, F.when(F.col("doc_id") % 2 == 0, "yes").otherwise("off"), (F.col("doc_id") % 28 + 1).cast("int"), source,
+        source, lang, lang, source, n, F.when(F.col("doc_id") % 7 == 0, "  odd: [\n").otherwise(""),
+    )
+    return table(spark, sf, "documents").select(F.col("source").alias("publication"), n.alias("file"), F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, doc_id % 7 <> 0 AS ok, coalesce(source, 'none') AS s, coalesce(lang, 'none') AS l, coalesce(text, '') AS body FROM documents)
+SELECT doc_id::VARCHAR AS file, CASE WHEN ok THEN 'no. ' || doc_id END AS title, CASE WHEN ok THEN doc_id ELSE -1 END AS rank, CASE WHEN ok THEN doc_id + 0.25::DOUBLE ELSE -1 END AS ratio, ok AND doc_id % 2 = 0 AS checked,
+  CASE WHEN ok THEN strftime(DATE '2024-02-01' + (doc_id % 28 + 1)::INT, '%Y-%m-%d') END AS day_after, CASE WHEN ok THEN 'words of ' || s END AS about, CASE WHEN ok THEN 'it''s ' || s END AS author,
+  CASE WHEN ok THEN l || '|x, y|z|' || l END AS tongues, CASE WHEN ok THEN 'http://' || s || '/' || doc_id || '#top' END AS url, CASE WHEN ok THEN 31 ELSE -1 END AS port, ok AS told,
+  CASE WHEN ok THEN length(body) ELSE -1 END AS body_chars FROM d""")
+def frontmatter_typed(spark, sf):
+    p = chunking.with_typed_frontmatter(typed_files(spark, sf))
+    at = lambda path, kind: F.try_variant_get("data", path, kind)
+    tongues = F.concat(at("$.authors[0].tongues", "array<string>"), at("$.authors[1].tongues", "array<string>"))
+    return p.select(
+        "file", at("$.title", "string").alias("title"), F.coalesce(at("$.rank", "bigint"), F.lit(-1)).alias("rank"), F.coalesce(at("$.ratio", "double"), F.lit(-1.0)).alias("ratio"), F.coalesce(at("$.checked", "boolean"), F.lit(False)).alias("checked"),
+        F.date_add(at("$.released", "date"), 1).cast("string").alias("day_after"), at("$.about", "string").alias("about"), at("$.authors[0].name", "string").alias("author"),
+        F.array_join(tongues, "|").alias("tongues"), at("$.links.home.url", "string").alias("url"), F.coalesce(at("$.links.home.port", "int"), F.lit(-1)).alias("port"), F.col("data").isNotNull().alias("told"),
+        F.when(F.col("data").isNotNull(), F.length("body").cast("long")).otherwise(F.lit(-1)).alias("body_chars"),
+    )
+
+
 @query(f"WITH {MD} SELECT publication, file, pos - 1 AS pos, heading, text FROM secs WHERE text <> ''")
 def h2_sections(spark, sf):
     p = chunking.with_frontmatter(markdown(spark, sf)).select("publication", "file", F.posexplode(t.sections(F.col("body"))).alias("pos", "s"))
@@ -795,6 +825,24 @@ def eval_summary(spark, sf):
     return got.select("num_queries", *[F.round(c, 6).alias(c) for c in got.columns if c != "num_queries"])
 
 
+_MEASURED = """SELECT '{mode}' AS mode, g.query_id, len(list_distinct(list(file) FILTER (list_contains(ef, file)))) / 10.0 AS precision,
+  coalesce(1.0 / min(rank) FILTER (list_contains(ef, file) OR list_contains(ep, publication)), 0) AS mrr, coalesce(1.0 / min(rank) FILTER (list_contains(ef, file)), 0) AS file_mrr
+  FROM gold g LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 6) DESC, ordinal) AS rank FROM every QUALIFY rank <= 10) h ON g.query_id = h.query_id GROUP BY g.query_id"""
+_MODES = {"vector": "vec + tb", "keyword": "kw + tb", "hybrid": "0.6 * (vec + tb) + 0.4 * (CASE WHEN top > 0 THEN kw / top ELSE kw END)"}
+
+
+@query(f"""WITH {C}, {Q}, {WORDS}, {VEC}, {EXPANDED}, {BM25}, {_GOLD},
+every AS (SELECT v.*, coalesce(kw, 0) AS kw, max(coalesce(kw, 0)) OVER (PARTITION BY query_id) AS top FROM vec v LEFT JOIN kw USING (query_id, id)),
+measured AS ({" UNION ALL ".join(_MEASURED.format(mode=m, score=s) for m, s in _MODES.items())})
+SELECT mode, count(*) AS num_queries, 10 AS top_k, round(avg(coalesce(precision, 0)), 6) AS mean_precision, round(avg(mrr), 6) AS mean_mrr, round(avg(file_mrr), 6) AS mean_file_mrr,
+  round(stddev_pop(coalesce(precision, 0)), 6) AS std_precision, round(stddev_pop(mrr), 6) AS std_mrr, round(stddev_pop(file_mrr), 6) AS std_file_mrr FROM measured GROUP BY mode""")
+def eval_modes(spark, sf):
+    opened = search_bundle(spark, sf)
+    over = Retriever(opened.chunks, doc_index(spark, sf), embedding.hashing_model(DIM), texts=opened.texts)
+    got = evaluator.measure(over, asked(spark, sf), _golden(spark, sf), top_k=10, dim=DIM)
+    return got.select("mode", "num_queries", "top_k", *[F.round(f"{kind}_{c}", 6).alias(f"{kind}_{c}") for kind in ("mean", "std") for c in ("precision", "mrr", "file_mrr")])
+
+
 @query(f"WITH {C}, {_GOLD} SELECT query_id, ef AS expected_files, ep AS expected_publications FROM gold")
 def golden_containment(spark, sf):
     return _golden(spark, sf)
