@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import bundle, catalog, lexical, ranking, rerank, trigram
+from quern.operators import bundle, catalog, lexical, ranking, rerank, siblings, trigram
 from quern.operators.embedding import Model
 from quern.sources.corpus import MarkdownSource
 
@@ -45,7 +45,10 @@ class Corpus:
 
 @dataclass
 class Retriever:
-    """Ranked retrieval over chunks with embeddings, for one query or a batch in one job."""
+    """Ranked retrieval over chunks with embeddings, for one query or a batch in one job.
+
+    With ``by_siblings`` the sibling boost of chunks without tags is worked out for the queries asked.
+    """
 
     chunks: DataFrame
     index: lexical.LexicalIndex | None
@@ -53,6 +56,7 @@ class Retriever:
     scorer: Callable[[], rerank.Scorer] | None = None
     manifest: dict | None = None
     texts: DataFrame | None = None
+    by_siblings: bool = False
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, model: Model, scorer: Callable[[], rerank.Scorer] | None = None, expected: str | None = None, keep: bool = True) -> Retriever:
@@ -99,11 +103,15 @@ class Retriever:
         o.check()
         if not 1 <= o.top_k <= 50:
             raise ValueError("top_k must lie between 1 and 50")
+        chunks = self.chunks
+        if self.by_siblings and "cluster_tags" not in chunks.columns:
+            asked = ranking.prepared(asked)
+            chunks = siblings.tagged(chunks, chunks, asked)
         if not rerank_hits:
-            return ranking.search(self.chunks, asked, self.index, o, self._texts)
+            return ranking.search(chunks, asked, self.index, o, self._texts)
         if self.scorer is None:
             raise ValueError("no scorer to rerank with")
-        wide = ranking.search(self.chunks, asked, self.index, replace(o, top_k=rerank.CANDIDATES), self._texts)
+        wide = ranking.search(chunks, asked, self.index, replace(o, top_k=rerank.CANDIDATES), self._texts)
         return rerank.rerank(wide, asked, self.scorer, o.top_k)
 
     def search_code(self, query: str | list[str], **options) -> DataFrame:

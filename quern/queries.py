@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as t
 from quern.functions import sql, urls, vectors
-from quern.operators import bundle, catalog, chunking, embedding, evaluation, lexical, ranking, rerank, trigram, web
+from quern.operators import bundle, catalog, chunking, embedding, evaluation, lexical, ranking, rerank, siblings, trigram, web
 from quern.plans import evaluator
 from quern.plans.retriever import Retriever
 from quern.session import spread, table, working_folder
@@ -374,6 +374,19 @@ def cluster_boost(spark, sf):
     return chunking.cluster_tags(files(spark, sf)).select("publication", "file", F.round(ranking.cluster_boost(F.col("cluster_tags"), words), 4).alias("boost"))
 
 
+@query(f"""WITH {_TAGS}, {Q}, {WORDS} SELECT publication, file, sum(len(list_filter(ws, lambda w: contains(cluster_tags, w))))::BIGINT AS hits
+  FROM tags CROSS JOIN (SELECT list_append(ws, ((query_id * 37) % 1000)::VARCHAR) AS ws FROM words) GROUP BY publication, file""")
+def sibling_hits(spark, sf):
+    """How many words of all queries, each with a number more, stand among each file's siblings."""
+    number = (F.col("query_id") * 37 % 1000).cast("string")
+    queries = ranking.prepared(asked(spark, sf).withColumn("query", F.concat_ws(" ", "query", number)))
+    every = queries.select(F.explode("__words").alias("w")).groupBy("w").count()
+    told = siblings.tagged(files(spark, sf), files(spark, sf), queries)
+    words = told.select("publication", "file", F.explode_outer(F.split("cluster_tags", " ")).alias("w"))
+    met = words.join(F.broadcast(every), "w", "left")  # one row a word of the query set
+    return met.groupBy("publication", "file").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("hits"))
+
+
 def _pool(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.pool(search_bundle(spark, sf).chunks, asked(spark, sf), doc_index(spark, sf), ranking.Options(top_k=5, dim=DIM))
 
