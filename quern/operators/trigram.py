@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from quern.operators import catalog
 from quern.operators.lexical import small
 
-BUCKETS = 32
+#: Folders of trigrams, and parts of a folder that are sorted apart, so that no task sorts a whole folder.
+BUCKETS, PARTS = 32, 16
 #: Files whose trigrams are put together in one list; characters of a class, and trigrams of a clause, up to which it is written out.
 FILES_AT_ONCE, CLASS, CLAUSE = 2000, 16, 512
 
@@ -58,7 +59,8 @@ def build(files: DataFrame, folder: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(every[starts]), held], names=["gram", "keys"])
 
     rows = files.select(key(F.col("publication"), F.col("file")).alias("key"), "text").mapInArrow(run, "gram long, keys array<long>")
-    placed = rows.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket").sortWithinPartitions("bucket", "gram")
+    part = F.pmod(F.shiftright(F.xxhash64("gram"), 8), F.lit(PARTS))
+    placed = rows.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket", part).sortWithinPartitions("bucket", "gram")
     placed.write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
 

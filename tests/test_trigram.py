@@ -51,3 +51,16 @@ def test_few_files_are_checked(files, index):
     assert "PartitionFilters: [isnotnull(bucket" in plan and "gram" in plan.split("PushedFilters")[1]
     with pytest.raises(FileNotFoundError):
         index.search(files, "abc", "none")
+
+
+def test_a_folder_of_the_index_is_sorted_by_several_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    files = spark.range(300).select(F.lit("p").alias("publication"), F.col("id").cast("string").alias("file"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        trigram.build(files, str(tmp_path / "index"))
+    finally:
+        spark.conf.unset(name)
+    assert max(len(list(f.glob("*.parquet"))) for f in (tmp_path / "index").glob("bucket=*")) > 1
