@@ -56,18 +56,18 @@ def onnx_model(model_path: str, tokenizer_path: str, max_tokens: int = 512) -> M
 
 
 def embed(df: DataFrame, make: Callable[[], Model], dim: int, text: str = "text", batch: int = 32, retries: int = 3, wait: float = 1.0) -> DataFrame:
-    """Add ``embedding``; a model is made once a task, a batch that keeps failing gives zero vectors."""
+    """Add ``embedding``; a model is made once a task, a batch that keeps failing gives zero vectors. A task holds the texts of one batch as strings at a time."""
     schema = T.StructType([*[f for f in df.schema.fields if f.name != "embedding"], T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
-        for frame in frames:
-            texts = frame[text].fillna("").tolist()
-            parts = [_attempt(model, texts[i : i + batch], dim, retries, wait) for i in range(0, len(texts), batch)]
-            vectors = np.concatenate(parts) if parts else np.zeros((0, dim), np.float32)
-            yield frame.assign(embedding=list(vectors.astype(np.float32)))[schema.names]
+        for rows in (b.slice(at, batch) for b in batches for at in range(0, b.num_rows, batch)):
+            texts = [x or "" for x in rows.column(text).to_pylist()]
+            vectors = pa.array(_attempt(model, texts, dim, retries, wait).reshape(-1))
+            ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([rows.column(c) for c in schema.names[:-1]] + [pa.ListArray.from_arrays(ends, vectors)], names=schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def _attempt(model: Model, texts: list[str], dim: int, retries: int, wait: float) -> np.ndarray:

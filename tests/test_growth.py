@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern import queries as library
 from quern.functions.text import tokenize
-from quern.operators import lexical
+from quern.operators import embedding, lexical
 
 
 @pytest.fixture
@@ -47,3 +47,10 @@ def test_vector_searches_write_no_texts(spark, sf_dir, monkeypatch, name):
     assert library.QUERIES[name](spark, sf_dir).count() > 0
     kind = {"chunks": library.tagged_chunks, "kind": "tagged-vectors"} if "tagged" in name else {}
     assert "text" not in library.vectored(spark, sf_dir, **kind).columns
+
+
+def test_embedding_gives_out_a_batch_at_a_time(spark):
+    rows = spark.createDataFrame([(i, None if i % 50 == 0 else f"w{i}") for i in range(100)], "id long, text string").coalesce(1)
+    out = embedding.embed(rows, lambda: lambda texts: np.full((len(texts), 2), len(texts), np.float32), 2, batch=32)
+    assert sorted(r["embedding"][0] for r in out.collect()) == [4.0] * 4 + [32.0] * 96
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()  # no frame of a whole batch of Spark's
