@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern import queries as library
 from quern.functions.text import tokenize
-from quern.operators import embedding, lexical
+from quern.operators import chunking, embedding, lexical
 
 
 @pytest.fixture
@@ -54,3 +54,33 @@ def test_embedding_gives_out_a_batch_at_a_time(spark):
     out = embedding.embed(rows, lambda: lambda texts: np.full((len(texts), 2), len(texts), np.float32), 2, batch=32)
     assert sorted(r["embedding"][0] for r in out.collect()) == [4.0] * 4 + [32.0] * 96
     assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()  # no frame of a whole batch of Spark's
+
+
+def test_siblings_of_a_large_folder_are_no_task_s_alone(spark):
+    files = spark.range(3000).select(F.lit("p").alias("publication"), F.concat(F.lit("big/n"), "id", F.lit(".md")).alias("file"), F.lit("## H\ntext").alias("text"))
+    for tagged in (chunking.cluster_tags(files), chunking.chunk_table(files)):
+        told = tagged.select("file", "cluster_tags", F.spark_partition_id().alias("task")).collect()
+        stems = sorted(f"n{i}" for i in range(3000))
+        assert len(told) == 3000 and all(r["cluster_tags"] == " ".join(s for s in stems if f"big/{s}.md" != r["file"]) for r in told)
+        tasks = [r["task"] for r in told]
+        assert len(set(tasks)) > 1 and max(map(tasks.count, set(tasks))) < 2500
+
+
+@pytest.mark.parametrize("files, parts", [(256, 64), (2, 3), (1, 1)])
+def test_siblings_of_odd_names(spark, monkeypatch, files, parts):
+    """Stems with spaces, inside others, of no letters, beyond ASCII, of two files; repeated rows, nulls, files alone."""
+    if hasattr(chunking, "PARTS"):
+        monkeypatch.setattr(chunking, "PART_FILES", files)
+        monkeypatch.setattr(chunking, "PARTS", parts)
+    names = ["a/a.md", "a/a b.md", "a/b.md", "a/b b.md", "a/ab.md", "a/ab.txt", "a/é.md", "a/日本.md", "a/.md", "a/", "a/ .md", "a/z.y.md", "top.md", "", "e/", "e/x.md", "lone/a.md", "a/deep/a.md"]
+    rows = [(p, f) for p in ("p", "q é") for f in names] + [("p", "a/a.md"), ("p", None), (None, "a/a.md"), ("s", "only.md")]
+    got = chunking.cluster_tags(spark.createDataFrame(rows, "publication string, file string")).collect()
+
+    def split(file):
+        folder, _, name = file.rpartition("/")
+        stem = name[: name.rfind(".")] if name.rfind(".") > 0 else name
+        return folder, stem
+
+    whole = {(p, f) for p, f in rows if p is not None and f is not None}
+    want = {(p, f): " ".join(sorted({split(g)[1] for q, g in whole if (q, split(g)[0]) == (p, split(f)[0])} - {split(f)[1]})) for p, f in whole}
+    assert len(got) == len(want) and {(r["publication"], r["file"]): r["cluster_tags"] for r in got} == want
