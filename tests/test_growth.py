@@ -84,3 +84,12 @@ def test_siblings_of_odd_names(spark, monkeypatch, files, parts):
     whole = {(p, f) for p, f in rows if p is not None and f is not None}
     want = {(p, f): " ".join(sorted({split(g)[1] for q, g in whole if (q, split(g)[0]) == (p, split(f)[0])} - {split(f)[1]})) for p, f in whole}
     assert len(got) == len(want) and {(r["publication"], r["file"]): r["cluster_tags"] for r in got} == want
+
+
+def test_whole_tags_are_written_small(spark, tmp_path):
+    files = spark.range(3000).select(F.lit("p").alias("publication"), F.concat(F.lit("big/n"), "id", F.lit(".md")).alias("file"))
+    chunking.write_tags(files, str(tmp_path / "tags"))
+    stems = sorted(f"n{i}" for i in range(3000))
+    got = {r["file"]: r["cluster_tags"] for r in spark.read.parquet(str(tmp_path / "tags")).collect()}
+    assert got == {f"big/{s}.md": " ".join(x for x in stems if x != s) for s in stems}
+    assert 20 * sum(f.stat().st_size for f in (tmp_path / "tags").glob("*.parquet")) < sum(map(len, got.values()))  # snappy leaves over half
